@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmem.llm.util import extended
+
 SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 #: Training uses at most about this many labelled rows of each language, chosen by a hash of the id.
@@ -134,8 +136,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             langs, scores = score_texts(shared.value, b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, extended(docs.schema, lang_pred="string", score="double"))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

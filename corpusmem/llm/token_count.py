@@ -2,117 +2,30 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from functools import lru_cache
-
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Unicode white space, as the tokenizer's own pattern takes `\s` (Python's also takes \x1c-\x1f).
-_S = r"\t-\r \x85\xa0  -     　"
-#: Pre-tokens of the byte-level vocabulary (a fixed public pattern).
-_PRE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: Characters whose letter/number class is the same in every Unicode version in use; other texts go to the library whole.
-_UNUSUAL = regex.compile("[^\x00-ȳΆ-ҁ‐-‧‰-⁒€™ぁ-ゖァ-ヺ一-龥]")
-_MEMO = 400_000
-
-
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    return tok
-
-
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins of byte-level vocabularies: printable Latin-1 stays, other bytes follow from U+0100."""
-    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(keep)]
-    return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-def whole_tokens(path: str) -> frozenset[str]:
-    """Proves, with the library itself, which vocabulary strings encode alone as exactly one token.
-
-    A string that stays one pre-token and encodes as its own id counts as 1 wherever it is a pre-token. The set is
-    bounded by the vocabulary (about 50,000 short strings), so it may be broadcast.
-    """
-    tok = _tokenizer(path)
-    alphabet, pre = byte_alphabet(), regex.compile(_PRE)
-    found = []
-    for shown, token_id in tok.get_vocab(with_added_tokens=False).items():
-        try:
-            found.append((bytes(alphabet[c] for c in shown).decode("utf-8"), token_id))
-        except (KeyError, UnicodeDecodeError):
-            continue
-    kept = set()
-    for i in range(0, len(found), 5_000):
-        part = found[i : i + 5_000]
-        for (s, token_id), e in zip(part, tok.encode_batch([s for s, _ in part], add_special_tokens=False), strict=True):
-            if e.ids == [token_id] and pre.fullmatch(s) and pre.findall(s) == [s]:
-                kept.add(s)
-    return frozenset(kept)
-
-
-class Counts:
-    """Counts the tokens of texts: pre-tokens that are whole tokens count 1, others are merged once and remembered."""
-
-    def __init__(self, path: str, whole: frozenset[str]):
-        self.tok, self.whole, self.memo, self.pre = _tokenizer(path), whole, {}, regex.compile(_PRE)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-
-    def __call__(self, text: str) -> int:
-        if _UNUSUAL.search(text):
-            return len(self.tok.encode(text, add_special_tokens=False))
-        if self.cut is not None and self.cut.search(text):
-            parts = self.cut.split(text)
-            return len(parts) - 1 + sum(self.plain(x) for x in parts)
-        return self.plain(text)
-
-    def plain(self, text: str) -> int:
-        seen = Counter(self.pre.findall(text))
-        whole, memo = self.whole, self.memo
-        total, rest = 0, []
-        for s, k in seen.items():
-            if s in whole:
-                total += k
-            elif (n := memo.get(s)) is not None:
-                total += n * k
-            else:
-                rest.append(s)
-        if rest:
-            if len(memo) > _MEMO:
-                memo.clear()
-            for s, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                memo[s] = n = len(e.ids)
-                total += n * seen[s]
-        return total
+from corpusmem.llm.vocab import Encoder, whole_tokens
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens) for every row of docs: tokens of the whole text as the tokenizers library counts them.
+    """(id, n_bytes, n_tokens) for every row: tokens of the whole text as the tokenizers library counts them.
 
-    Null texts count as empty (0 bytes, 0 tokens); repeated rows give repeated results; null ids stay null; other
-    columns are not read, so clashing names do no harm. There is no shuffle: one scan, texts stay where they are read.
-    A very long text is split into pre-tokens like any other; only distinct unknown pre-tokens are merged.
+    Vocabulary strings proven to be one token alone count 1 wherever they are a pre-token; only other pre-tokens are
+    merged, each distinct one once. Null texts count as empty (0 bytes, 0 tokens); repeated rows give repeated results;
+    null ids stay null; other columns are not read, so clashing names do no harm. There is no shuffle: texts are read
+    once where they lie. A very long text is cut into pre-tokens like any other.
     """
-    sc = docs.sparkSession.sparkContext
-    whole = sc.broadcast(whole_tokens(path))
+    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def run(batches):
-        count = Counts(path, whole.value)
+        encoder = Encoder(path, whole.value, words=False)
         for b in batches:
-            text = b.column(1)
-            n_bytes = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
-            n = pa.array([count(t) if t else 0 for t in text.to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n_bytes, n], [id_col, "n_bytes", "n_tokens"])
+            n_bytes = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
+            n = [pa.array(counts, pa.int64()) for _, counts, _ in encoder.batches(b.column(1), want_ids=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), n_bytes, pa.concat_arrays(n) if n else pa.array([], pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +37,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(schema: T.StructType, **more: str) -> T.StructType:
+    """A schema with further columns, name=type."""
+    return T.StructType([*schema.fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in more.items()]])
+
+
 def text_bytes(docs: DataFrame, col: str = "text") -> int:
     """UTF-8 bytes of a text column over all rows."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(col)), F.lit(0))).first()[0]
