@@ -135,15 +135,16 @@ def _firsts(doc: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return np.sort(order[np.concatenate([[True], prints[order][1:] != prints[order][:-1]])]) if len(order) else order
 
 
-def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, spans): text as read, spans an array of (start, end) byte ranges to remove, ascending and apart.
+def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, text, spans[, long columns of `keep`]): text as read, spans an array of (start, end) byte ranges to remove, ascending and apart.
 
     Null texts are empty; texts below 50 bytes have no window and keep everything; a window that repeats only inside its
     own document stays. Rows with one id count as one document: neither repeats the other. Rows with a null id come
     before all ids, as one document. Chunks and buckets follow the total of bytes, and documents are dealt by hash, so
     neither a hot source nor a group of copies lands in one task; a passage of thousands of copies is sent once a chunk.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).cast("long").alias(f"keep_{k}") for k, c in enumerate(keep)])
+    kept = [f"keep_{k}" for k in range(len(keep))]
     total = text_bytes(rows)
     chunks, buckets = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // BUCKET_BYTES))
     chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")
@@ -242,7 +243,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.table([pa.array([x[k] for x in out], kinds[k]) for k in range(6)], names)
 
     dealt = rows.withColumn("chunk", chunk)
-    sent = stored(dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, bytes binary, lengths binary, prints binary, ids binary"))
+    sent = stored(dealt.select("id", "text", "chunk").groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, bytes binary, lengths binary, prints binary, ids binary"))
 
     def index(key, table):
         chunk_of = np.concatenate([np.full(len(x), c, np.int64) for c, x in zip(table.column("chunk").to_pylist(), table.column("lengths").to_pylist(), strict=True)])
@@ -320,11 +321,11 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     x, k = z, k + 1
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         got = pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], kind)
-        return pa.table([table.column("id"), table.column("no_id"), text, got], ["id", "no_id", "text", "spans"])
+        return pa.table([table.column("id"), table.column("no_id"), text, got, *[table.column(c) for c in kept]], ["id", "no_id", "text", "spans", *kept])
 
-    out = dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(cut, "id long, no_id boolean, text string, spans array<struct<start:long,end:long>>")
+    out = dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(cut, ", ".join(["id long, no_id boolean, text string, spans array<struct<start:long,end:long>>", *[f"{c} long" for c in kept]]))
     kind = docs.schema[id_col].dataType.simpleString()
-    return out.select(F.when(~F.col("no_id"), F.col("id")).cast(kind).alias(id_col), F.col("text").alias(text_col), "spans")
+    return out.select(F.when(~F.col("no_id"), F.col("id")).cast(kind).alias(id_col), F.col("text").alias(text_col), "spans", *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)])
 
 
 def digest(marked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
