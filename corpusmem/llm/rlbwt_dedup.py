@@ -7,7 +7,7 @@ equal windows have equal anchors. That gives the job its partitions:
 1. Anchors are counted by hash: only those of two documents or more can stand in a repeat.
 2. Around each such anchor lies a passage of at most 80 bytes that holds every window over it. Documents are dealt in
    bounded chunks; a chunk sends each distinct passage once, with its smallest document, to the anchor's bucket.
-3. A bucket builds the run-length BWT of its distinct passages. Match lengths with the lexicographic neighbour are
+3. A bucket builds the run-length BWT of its distinct passages (but for those alone at their anchor). Match lengths with the lexicographic neighbour are
    computed at the ends of runs only and streamed to all other places (inside a run they fall by one per byte). Where a
    length is 50 or more, neighbours share a window, whose smallest document is thus known.
 4. Chunks mark the windows of their documents, and cut the union of the marked windows.
@@ -27,7 +27,7 @@ from corpusmem.llm.util import extended, mix, range_hashes, slices, stored, text
 LENGTH = 50
 GRAM = 20
 #: Bytes of text that a chunk of documents, and a bucket of anchors, stand for.
-CHUNK_BYTES, BUCKET_BYTES = 24_000_000, 16_000_000
+CHUNK_BYTES, BUCKET_BYTES = 12_000_000, 2_000_000
 _REACH = LENGTH - GRAM
 _SPAN = LENGTH + _REACH
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -67,13 +67,15 @@ def passages(data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.
     return doc, begin, end, mix(range_hashes(data, begin, end) ^ mix((at - begin).astype(np.uint64)))
 
 
-def repeated_windows(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For distinct passages with a smallest document each: the starts of the windows that a smaller document has too.
+def repeated_windows(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
+    """For distinct passages with a smallest document each: the windows that a smaller document has too, bit s for start s.
 
     The run-length BWT of the passages (each closed by an end mark) is built from their sorted suffixes. r run ends are
     sampled; only there are neighbours compared byte by byte.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
     start = np.concatenate([[0], np.cumsum(sizes + 1)])
     n = int(start[-1])
     text = np.zeros(n + 8, np.int64)
@@ -88,16 +90,18 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
         key = key * 257 + np.where(place + k < stop, text[k : n + k], 0)
     width = 4
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
         if width > _SPAN:
             break
         later = np.where(place + width < stop, rank[np.minimum(place + width, n - 1)] + 1, 0)
         key, width = rank * (n + 1) + later, width * 2
-    # equal suffixes stand in order of their passages (stable sort), which keeps runs consistent
-    suffix = order
-    before = np.where(np.isin(suffix, start[:-1]), -1 - np.searchsorted(start, suffix), text[suffix - 1])
+    # equal suffixes stand in order of their passages, which keeps runs consistent
+    suffix = np.argsort(rank * n + place)
+    previous = np.concatenate([[0], text[: n - 1]])
+    previous[start[:-1]] = -1 - np.arange(len(sizes))
+    before = previous[suffix]
     head = np.concatenate([[True], before[1:] != before[:-1]])  # first rows of BWT runs
     # lengths in common with the row above: compared at run heads, streamed elsewhere
     common = np.full(n, -1, np.int64)
@@ -126,7 +130,9 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     hit = np.zeros(n, bool)
     hit[suffix] = least[group] < owner[suffix]
     hit &= place + LENGTH < stop
-    return [np.flatnonzero(hit[a : b - 1]) for a, b in zip(start[:-1], start[1:], strict=True)]
+    at = np.flatnonzero(hit)
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)[at]
+    return np.bincount(owner, 2.0 ** (at - start[owner]), len(sizes)).astype(np.uint64)
 
 
 def _firsts(doc: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> np.ndarray:
@@ -153,7 +159,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             ids, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 2_000_000):
                 off = offsets[a : b + 1] - offsets[a]
                 at, h = anchors(data[offsets[a] : offsets[b]], off)
                 doc = a + np.searchsorted(off, at, "right") - 1
@@ -199,7 +205,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """Anchored passages of a chunk's documents, in slices: (rows, data, offsets, doc, begin, at, passage hash, anchor)."""
         table = table.combine_chunks()
         data, offsets = utf8(table.column("text"))
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, 2_000_000):
             part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             at, h = anchors(part, off)
             if len(hashes):
@@ -236,14 +242,14 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for b in np.unique(bucket):
                 j = mine[bucket == b]
                 lengths = (end[j] - begin[j]).astype(np.uint8)
-                out.append((int(b), int(key[0].as_py()), b"".join(raw[x:y] for x, y in zip(begin[j].tolist(), end[j].tolist(), strict=True)), lengths.tobytes(), pr[j].tobytes(), ids[doc[base + j]].astype(np.int64).tobytes()))
+                out.append((int(b), int(key[0].as_py()), b"".join(raw[x:y] for x, y in zip(begin[j].tolist(), end[j].tolist(), strict=True)), lengths.tobytes(), pr[j].tobytes(), ids[doc[base + j]].astype(np.int64).tobytes(), h[j].tobytes()))
             base += len(pr)
-        names = ["bucket", "chunk", "bytes", "lengths", "prints", "ids"]
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        return pa.table([pa.array([x[k] for x in out], kinds[k]) for k in range(6)], names)
+        names = ["bucket", "chunk", "bytes", "lengths", "prints", "ids", "anchors"]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+        return pa.table([pa.array([x[k] for x in out], kinds[k]) for k in range(7)], names)
 
     dealt = rows.withColumn("chunk", chunk)
-    sent = stored(dealt.select("id", "text", "chunk").groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, bytes binary, lengths binary, prints binary, ids binary"))
+    sent = stored(dealt.select("id", "text", "chunk").groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, bytes binary, lengths binary, prints binary, ids binary, anchors binary"))
 
     def index(key, table):
         chunk_of = np.concatenate([np.full(len(x), c, np.int64) for c, x in zip(table.column("chunk").to_pylist(), table.column("lengths").to_pylist(), strict=True)])
@@ -256,10 +262,13 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         new = np.concatenate([[True], prints[order][1:] != prints[order][:-1]])
         first = order[new]
         least = ids[first]
-        texts = [raw[ends[k] - lengths[k] : ends[k]] for k in first]
-        starts = repeated_windows(texts, least)
-        masks = np.array([int(sum(1 << int(s) for s in x)) for x in starts], np.uint64)
-        every = np.array([(1 << max(0, len(t) - LENGTH + 1)) - 1 for t in texts], np.uint64)
+        # an anchor of one distinct passage has nothing to compare: only its copies repeat
+        anchor = np.frombuffer(b"".join(table.column("anchors").to_pylist()), np.uint64)[first]
+        _, which, times = np.unique(anchor, return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(times[which] > 1)
+        masks = np.zeros(len(first), np.uint64)
+        masks[mixed] = repeated_windows([raw[ends[k] - lengths[k] : ends[k]] for k in first[mixed].tolist()], least[mixed])
+        every = (np.uint64(1) << np.maximum(0, lengths[first] - LENGTH + 1).astype(np.uint64)) - np.uint64(1)
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
         # a copy of a passage that a smaller document has is covered whole; the smallest document's by its windows
@@ -299,11 +308,13 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for a, part, d, begin, _, _, pr, _ in parts:
             m = mask[base : base + len(pr)]
             base += len(pr)
-            edge = np.zeros(len(part) + 1, np.int64)
+            window = np.zeros(len(part) + 1, bool)
             for s in range(_REACH + 1):
-                on = begin[(m >> np.uint64(s)) & np.uint64(1) == 1] + s
-                np.add.at(edge, on, 1)
-                np.add.at(edge, on + LENGTH, -1)
+                window[begin[(m >> np.uint64(s)) & np.uint64(1) == 1] + s] = True
+            on = np.flatnonzero(window)
+            edge = np.zeros(len(part) + 1, np.int64)
+            edge[on] = 1
+            edge[on + LENGTH] -= 1
             covered = np.cumsum(edge[:-1]) > 0
             lo, hi = a, a + int(np.searchsorted(offsets - offsets[a], len(part), "left"))
             step = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_dir: dict[str, str] = {}
 
 
@@ -33,7 +34,12 @@ def stored(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts lineage and survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # the job's shuffle files go with it, the table stays
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
