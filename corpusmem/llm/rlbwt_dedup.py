@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmem.llm.util import extended, mix, range_hashes, slices, stored, text_bytes, utf8
+from corpusmem.llm.util import extended, gram_hashes, mix, range_hashes, slices, stored, text_bytes, utf8
 
 LENGTH = 50
 GRAM = 20
@@ -30,7 +30,7 @@ GRAM = 20
 CHUNK_BYTES, BUCKET_BYTES = 12_000_000, 2_000_000
 _REACH = LENGTH - GRAM
 _SPAN = LENGTH + _REACH
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+_TOP = np.uint32(0xFFFFFFFF)
 
 
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -48,16 +48,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(data)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    start = np.arange(n - GRAM + 1)
-    h = range_hashes(data, start, start + GRAM) >> np.uint64(1)
+    full = gram_hashes(data, GRAM)
+    h = (full >> np.uint64(33)).astype(np.uint32)  # 31 bits rank the grams
     for e in offsets[1:-1]:  # grams that cross into the next document
         h[max(0, e - GRAM + 1) : e] = _TOP
     width = _REACH + 1
     least = _slide(h, width, np.minimum)
-    pad = np.zeros(width - 1, np.uint64)
+    pad = np.zeros(width - 1, np.uint32)
     most = _slide(np.concatenate([pad, least, pad]), width, np.maximum)
     at = np.flatnonzero((h == most) & (h != _TOP))
-    return at, h[at]
+    return at, full[at]
 
 
 def passages(data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,11 +84,11 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
     text[:n][body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
     stop = np.repeat(start[1:], sizes + 1)  # one past the end mark of each place's passage
     place = np.arange(n)
-    # ranks of suffixes by their first 4, 8, 16, ... symbols; an end mark counts as 0 and ends the suffix
+    # ranks of suffixes by their first 7, 14, 28, ... symbols; an end mark counts as 0 and ends the suffix
     key = np.zeros(n, np.int64)
-    for k in range(4):
+    for k in range(7):
         key = key * 257 + np.where(place + k < stop, text[k : n + k], 0)
-    width = 4
+    width = 7
     while True:
         order = np.argsort(key)
         rank = np.empty(n, np.int64)

@@ -115,6 +115,15 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all runs of `size` bytes."""
+    n = len(data)
+    up, down = powers(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_TABLE[data] * up[:n], out=sums[1:])
+    return mix((sums[size:] - sums[: n - size + 1]) * down[: n - size + 1])
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words of a run of documents (A-Z as a-z), and for each document the range of its words."""
     space = (data == 32) | ((data >= 9) & (data <= 13))
