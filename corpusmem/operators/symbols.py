@@ -12,7 +12,7 @@ from corpusmem.functions.text import mangled, trim
 
 @dataclass(frozen=True)
 class Rule:
-    """Lines that match are declarations; the name is the first non-empty group of `groups` (none: `name`)."""
+    """Lines that match are declarations; the name is the group of that number, or `name` if given."""
 
     pattern: str
     kind: str
@@ -65,18 +65,18 @@ def lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame
 
 def declaration(line: Column, ext: Column) -> Column:
     """struct(name, kind) of the declaration on a line, or null."""
-    nothing = F.lit(None).cast("struct<name:string,kind:string>")
-
     def found(language: str) -> Column:
-        out = None
+        hits = []
         for rule in RULES[language]:
-            name = F.coalesce(*[F.nullif(F.regexp_extract(line, rule.pattern, g), F.lit("")) for g in rule.groups], F.lit(rule.name))
+            if rule.name:
+                name = F.when(line.rlike(rule.pattern), rule.name).otherwise("")
+            else:
+                name = F.regexp_extract(line, rule.pattern, rule.groups[0])
+            if rule.groups == (2,):
+                name = F.when(F.regexp_extract(line, rule.pattern, 1).isin(*CONTROL), "").otherwise(name)
             kind = F.when(line.contains("impl"), "impl").otherwise("type") if language == "rust" and rule.kind == "type" else F.lit(rule.kind)
-            hit = F.struct(name.alias("name"), kind.alias("kind"))
-            if language == "c" and rule.groups == (2,):
-                hit = F.when(~F.regexp_extract(line, rule.pattern, 1).isin(*CONTROL), hit)
-            out = (F if out is None else out).when(line.rlike(rule.pattern), hit)
-        return out.otherwise(nothing)
+            hits.append(F.struct(name.alias("name"), kind.alias("kind")))
+        return F.get(F.filter(F.array(*hits), lambda h: h["name"] != ""), F.lit(0))
 
     out = F
     for language, extensions in LANGUAGES.items():

@@ -62,18 +62,15 @@ def next_manifest(plan: DataFrame, manifest: DataFrame, now) -> DataFrame:
 
 def extract(changed: DataFrame, config: Config = Config()) -> DataFrame:
     """Entries (project, path, seq, ...) of changed files (project, path, kind, text): chunks of documents, declarations
-    of code. Files are told apart by project and path throughout."""
-    key = F.concat_ws("\n", "project", "path").alias("key")
-    names = changed.select(key, "project", "path")
-    docs = chunk.chunks(changed.where("kind = 'doc'").select(key, "text"), config.chunk_chars, config.max_chunks, "key")
-    docs = docs.join(names, "key").drop("key")
-    made = chunk.doc_entries(docs.withColumn("path", F.concat_ws("\n", "project", "path")))
+    of code. Files are told apart by project and path: both travel as one key, which is taken apart at the end."""
+    keyed = changed.select(F.concat_ws("\n", "project", "path").alias("path"), "kind", "text")
+    docs = chunk.doc_entries(chunk.chunks(keyed.where("kind = 'doc'"), config.chunk_chars, config.max_chunks))
+    code = symbols.symbol_entries(keyed.where("kind = 'code'"))
+    rows = docs.unionByName(code)
     own = F.split(F.col("path"), "\n")
-    strip = lambda c: F.replace(c, F.concat(own[0], F.lit("\n")), F.lit(""))
-    made = made.select(own[0].alias("project"), own[1].alias("path"), "seq", F.concat(mangled(own[1]), F.lit("#"), F.col("seq").cast("string")).alias("id"), "type", strip(F.col("title")).alias("title"), "summary", "keywords", own[1].alias("source_path"), "source_line", "text")
-    code = changed.where("kind = 'code'")
-    found = symbols.symbol_entries(code).join(code.select("project", "path"), "path")
-    return made.unionByName(found.select(made.columns))
+    bare = lambda c: F.replace(F.col(c), F.concat(own[0], F.lit("\n")), F.lit(""))
+    ident = F.concat(mangled(own[1]), F.lit("#"), F.col("seq").cast("string"))
+    return rows.select(own[0].alias("project"), own[1].alias("path"), "seq", ident.alias("id"), "type", bare("title").alias("title"), bare("summary").alias("summary"), "keywords", own[1].alias("source_path"), "source_line", "text")
 
 
 def inventory(manifest: DataFrame, entries: DataFrame, notes: DataFrame) -> DataFrame:
