@@ -175,7 +175,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 bucket = (h % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else []
-                for lo, hi in zip(cut, [*cut[1:], len(order)], strict=True):
+                for lo, hi in zip(cut, [*cut[1:], len(order)], strict=False):
                     k = order[lo:hi]
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket[k[0]]], pa.int32()), "h": pa.array([h[k].tobytes()], pa.binary()), "c": pa.array([c[k].astype(np.int32).tobytes()], pa.binary()), "i": pa.array([np.where(many[k], 0, mix(i[k].astype(np.uint64)) | np.uint64(1)).astype(np.uint64).tobytes()], pa.binary())})
 
@@ -196,7 +196,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         h, c = h[keep], c[keep]
         order = np.argsort(c, kind="stable")
         cut = np.flatnonzero(np.concatenate([[True], np.diff(c[order]) != 0])) if len(order) else []
-        out = [(int(c[order[lo]]), np.unique(h[order[lo:hi]]).tobytes()) for lo, hi in zip(cut, [*cut[1:], len(order)], strict=True)]
+        out = [(int(c[order[lo]]), np.unique(h[order[lo:hi]]).tobytes()) for lo, hi in zip(cut, [*cut[1:], len(order)], strict=False)]
         return pa.table({"chunk": pa.array([x for x, _ in out], pa.int32()), "h": pa.array([x for _, x in out], pa.binary())})
 
     repeated = stored(found.groupBy("bucket").applyInArrow(several, "chunk int, h binary"))
