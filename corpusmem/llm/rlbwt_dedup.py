@@ -27,7 +27,7 @@ from corpusmem.llm.util import extended, gram_hashes, mix, range_hashes, slices,
 LENGTH = 50
 GRAM = 20
 #: Bytes of text that a chunk of documents, and a bucket of anchors, stand for.
-CHUNK_BYTES, BUCKET_BYTES = 12_000_000, 2_000_000
+CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 1_000_000
 _REACH = LENGTH - GRAM
 _SPAN = LENGTH + _REACH
 _TOP = np.uint32(0xFFFFFFFF)
@@ -78,12 +78,12 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     start = np.concatenate([[0], np.cumsum(sizes + 1)])
     n = int(start[-1])
-    text = np.zeros(n + 8, np.int64)
+    text = np.zeros(n + 8, np.int16)
     body = np.ones(n, bool)
     body[start[1:] - 1] = False
-    text[:n][body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-    stop = np.repeat(start[1:], sizes + 1)  # one past the end mark of each place's passage
-    place = np.arange(n)
+    text[:n][body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + 1
+    stop = np.repeat(start[1:].astype(np.int32), sizes + 1)  # one past the end mark of each place's passage
+    place = np.arange(n, dtype=np.int32)
     # ranks of suffixes by their first 7, 14, 28, ... symbols; an end mark counts as 0 and ends the suffix
     key = np.zeros(n, np.int64)
     for k in range(7):
@@ -99,7 +99,7 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
         key, width = rank * (n + 1) + later, width * 2
     # equal suffixes stand in order of their passages, which keeps runs consistent
     suffix = np.argsort(rank * n + place)
-    previous = np.concatenate([[0], text[: n - 1]])
+    previous = np.concatenate([[0], text[: n - 1]]).astype(np.int64)
     previous[start[:-1]] = -1 - np.arange(len(sizes))
     before = previous[suffix]
     head = np.concatenate([[True], before[1:] != before[:-1]])  # first rows of BWT runs
@@ -159,7 +159,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             ids, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, b in slices(offsets, 2_000_000):
+            for a, b in slices(offsets, 1_000_000):
                 off = offsets[a : b + 1] - offsets[a]
                 at, h = anchors(data[offsets[a] : offsets[b]], off)
                 doc = a + np.searchsorted(off, at, "right") - 1
@@ -205,7 +205,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """Anchored passages of a chunk's documents, in slices: (rows, data, offsets, doc, begin, at, passage hash, anchor)."""
         table = table.combine_chunks()
         data, offsets = utf8(table.column("text"))
-        for a, b in slices(offsets, 2_000_000):
+        for a, b in slices(offsets, 1_000_000):
             part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             at, h = anchors(part, off)
             if len(hashes):

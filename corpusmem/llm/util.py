@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is stored: the job's shuffle files go with it, and batches for Python stay small.
+_WHILE_STORED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _local_dir: dict[str, str] = {}
 
 
@@ -34,12 +35,14 @@ def stored(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts lineage and survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")  # the job's shuffle files go with it, the table stays
+    before = {k: spark.conf.get(k, None) for k in _WHILE_STORED}
+    for k, v in _WHILE_STORED.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
