@@ -422,7 +422,8 @@ def _(rows):
     return rank.document_frequency(rank.postings(rows, F.col("txt"))).join(stats, "pool").select("pool", "term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
-def _scored(queries, rows, text=F.col("txt")):
+def _scored(queries, rows):
+    text = F.col("txt")
     return rank.scores(rank.query_terms(queries), rank.postings(rows, text), rank.lengths(rows, text))
 
 

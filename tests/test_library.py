@@ -1,7 +1,10 @@
 """The library's operators on the literals of their definitions, and properties: blocked = nested loop, incremental = full."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
 import pytest
@@ -213,6 +216,12 @@ def test_every_query_is_registered():
     assert {f"{k}{i}_" for k, n in (("s", 15), ("d", 10), ("y", 9), ("t", 5), ("r", 12), ("j", 4), ("n", 5), ("w", 7)) for i in range(1, n + 1)} <= {n.split("_")[0] + "_" for n in names}
 
 
+def test_entry_imports_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 60 and e.oracle_sql()"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
 @pytest.mark.parametrize("name", ["r4_top_k", "d5_doc_entries"])
 def test_entry_runs(spark, name):
     import __spark_entry__ as entry
