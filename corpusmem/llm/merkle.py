@@ -109,15 +109,14 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     near = neighbours(docs, id_col, text_col)
-    keyed = rows.withColumn("print", fingerprint(F.col("text")))
-    heads = keyed.join(near, "id").groupBy("prev").agg(F.min(F.struct(F.expr("substring(text, 1, need)").alias("head"), F.col("print").alias("next_print"), F.lit(0))).alias("h"))
+    # both joins below read one exchange of texts and fingerprints by id
+    keyed = rows.where("id is not null").withColumn("print", fingerprint(F.col("text")))
+    heads = keyed.join(near, "id").groupBy("prev").agg(F.min(F.struct(F.expr("substring(text, 1, need)").alias("head"), F.col("print").alias("next_print"))).alias("h"))
     heads = heads.select(F.col("prev").alias("id"), F.col("h.head").alias("head"), F.col("h.next_print").alias("next_print"))
-    n = F.length("text").cast("long")
-    cut = F.floor(n / 4)
-    joined = keyed.join(heads, "id", "left").withColumn("n_chars", n)
-    head = F.coalesce("head", "text")
-    edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), head.substr(F.lit(1), cut.cast("int")))
-    out = joined.select("id", "n_chars", edited.alias("edited"), "print", F.coalesce("next_print", "print").alias("next_print"))
+    nobody = rows.where("id is null").withColumn("print", fingerprint(F.col("text"))).withColumn("head", F.col("text")).withColumn("next_print", F.col("print"))
+    joined = keyed.join(heads, "id").select(nobody.columns).union(nobody).withColumn("n_chars", F.length("text").cast("long"))
+    edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.expr("substring(head, 1, cast(floor(n_chars / 4) as int))"))
+    out = joined.select("id", "n_chars", edited.alias("edited"), "print", "next_print")
     out = out.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "print", "next_print", fingerprint(F.col("edited")).alias("edited_print"))
     return out.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", F.col("print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"),
