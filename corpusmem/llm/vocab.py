@@ -23,7 +23,9 @@ _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028
 LETTER, NUMBER, OTHER, SPACE, UNSETTLED = range(5)
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: The memo of a task is emptied beyond so many entries.
-MEMO = 1_500_000
+MEMO = 600_000
+#: Bytes of text cut and hashed at once, and new pre-tokens given to the library at once.
+SLICE, NEW = 1_000_000, 4_096
 
 
 @lru_cache(maxsize=1)
@@ -171,7 +173,10 @@ class Encoder:
         if not known.all():
             new = np.flatnonzero(~known)
             text = codes.tobytes().decode("utf-32-le")
-            got = [e.ids for e in self.tok.encode_batch_fast([text[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], add_special_tokens=False)]
+            got = []
+            for k in range(0, len(new), NEW):
+                some = new[k : k + NEW]
+                got += [e.ids for e in self.tok.encode_batch_fast([text[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], add_special_tokens=False)]
             sizes = np.array([len(x) for x in got], np.int64)
             keys = np.concatenate([self.keys, each[new]])
             order = np.argsort(keys, kind="stable")
@@ -182,9 +187,9 @@ class Encoder:
         return i
 
     def batches(self, column: pa.Array, want_ids: bool):
-        """Yields (row range, token counts, ids or None), a few MB of text at a time; ids of all rows follow each other."""
+        """Yields (row range, token counts, ids or None), about SLICE bytes of text at a time; ids of all rows follow each other."""
         data, offsets = utf8(column)
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, SLICE):
             part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             odd = self._odd(part, off)
             if odd.any():
