@@ -12,7 +12,7 @@ token is rare (in few sets) or frequent:
   all f - 1 exceed m. Light sets index their combinations too, but a combination without a heavy set is dropped.
 
 Sets tied by a candidate form groups; within a group and a band of similar sizes all pairs are verified exactly, in
-blocks of bounded size, as products of membership matrices, and each block returns links that span its components.
+tiles of bounded size, as products of membership matrices, and each block returns links that span its components.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ THRESHOLD = (90, 100)
 RARE = 4
 #: Frequent tokens of a prefix are dealt into classes of about so many.
 CLASS = 8
-#: Sets in one block of the verification.
+#: Sets in one slice of the verification; a tile is two slices.
 BLOCK = 1_000
 
 
@@ -215,12 +215,19 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, size: int =
     groups = groups.join(sizes, ["component", "band"])
     parts = lambda k: F.ceil(F.col(k) / BLOCK).cast("int")
     below = sizes.select("component", (F.col("band") + 1).alias("band"), F.col("k").alias("k_below"))
-    spread = groups.join(below, ["component", "band"], "left")
-    slot = F.pmod(F.xxhash64("id"), parts("k").cast("long")).cast("int")
-    # its own slice checks it against all slices of its band; as a guest it goes to every slice of its own band and of the band below
-    own = spread.select("id", "component", "band", F.explode(F.sequence(F.lit(0), parts("k") - 1)).alias("part"), slot.alias("slot")).select("id", "component", "band", "part", (F.col("slot") == F.col("part")).alias("own"))
-    guest = spread.where("k_below is not null").select("id", "component", (F.col("band") - 1).alias("band"), F.explode(F.sequence(F.lit(0), parts("k_below") - 1)).alias("part"), F.lit(False).alias("own"))
-    routes = own.union(guest).select("id", F.struct("component", "band").alias("block"), "part", "own")
+    above = sizes.select("component", (F.col("band") - 1).alias("band"), F.col("k").alias("k_above"))
+    spread = groups.join(below, ["component", "band"], "left").join(above, ["component", "band"], "left")
+    spread = spread.withColumn("slot", F.pmod(F.xxhash64("id"), parts("k").cast("long")).cast("int"))
+    # a tile holds two slices of a band, or a slice each of a band and of the next; small neighbours share one tile
+    tile = lambda band, kind, p, q, own: (F.struct("component", band.alias("band")).alias("block"), F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q")).alias("part"), own.alias("own"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), parts(k) - 1)).alias("t")
+    own, t, slot, here = F.lit(True), F.col("t"), F.col("slot"), F.col("band")
+    inside = spread.select("*", every("k")).select("id", *tile(here, 0, F.least(slot, t), F.greatest(slot, t), slot <= t))
+    small = lambda other: (F.col("k") <= BLOCK) & (F.col(other) <= BLOCK)
+    host = spread.where(F.col("k_above").isNotNull() & ~small("k_above")).select("*", every("k_above")).select("id", *tile(here, 1, slot, t, own))
+    guest = spread.where(F.col("k_below").isNotNull() & ~small("k_below")).select("*", every("k_below")).select("id", *tile(here - 1, 1, t, slot, ~own))
+    near = spread.where(small("k_below")).select("id", *tile(here - 1, 0, F.lit(0), F.lit(0), ~own))
+    routes = inside.union(host).union(guest).union(near)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     links = stored(link_blocks(routes.join(texts, "id").select("block", "part", "own", "id", "text"), threshold, size))
     linked = components(links).withColumnRenamed("id", "rep")
