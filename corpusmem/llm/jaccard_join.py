@@ -157,14 +157,7 @@ def link_blocks(texts: DataFrame, threshold: tuple[int, int], size: int) -> Data
         keep = np.bincount(group)[group] > 1
         col = np.unique(group[keep], return_inverse=True)[1]
         at = row[order][keep]
-        parent = np.arange(len(ids))
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+        label = np.arange(len(ids))
         links, step = [], 256
         left = np.flatnonzero(own)
         width = int(col.max()) + 1 if len(col) else 0
@@ -180,13 +173,12 @@ def link_blocks(texts: DataFrame, threshold: tuple[int, int], size: int) -> Data
                 overlap += m[some] @ m.T
             both = overlap.astype(np.int64)
             ok = den * both >= num * (n[some][:, None] + n[None, :] - both)
-            for x, y in zip(*np.nonzero(ok), strict=True):
-                x = some[x]
-                if x != y:
-                    p, q = find(x), find(y)
-                    if p != q:
-                        parent[p] = q
-                        links.append((int(ids[x]), int(ids[y])))
+            for x, hits in zip(some, ok, strict=True):
+                y = np.flatnonzero(hits & (label != label[x]))
+                if len(y):
+                    joined, first = np.unique(label[y], return_index=True)
+                    links += [(int(ids[x]), int(ids[z])) for z in y[first]]
+                    label[np.isin(label, joined)] = label[x]
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return texts.groupBy("block", "part").applyInArrow(verify, "a long, b long")
