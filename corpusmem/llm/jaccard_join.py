@@ -1,7 +1,8 @@
 """Near-duplicate join of documents by Jaccard similarity of word shingles.
 
-Candidates come from token-combination prefixes. The shingles of a document ("tokens") stand in a global order (by
-hash). A set of n tokens that reaches the threshold with another misses at most floor(n / 10) = m of its tokens there,
+Candidates come from token-combination prefixes. The shingles of a document ("tokens") stand in a global order: rarest
+first, by counts over all documents in a hashed table of fixed size, then by hash. So a prefix leaves out the passages
+that many documents share; tokens that meet in the table only cost speed. A set of n tokens that reaches the threshold with another misses at most floor(n / 10) = m of its tokens there,
 so it may be judged by a prefix: m + 1 tokens would do, and the prefix is extended beyond. Counted over all prefixes, a
 token is rare (in few sets) or frequent:
 
@@ -35,6 +36,8 @@ THRESHOLD = (90, 100)
 RARE = 4
 #: Frequent tokens of a prefix are dealt into classes of about so many.
 CLASS = 8
+#: Bits of the hashed table of token counts: 2 ** 18 counts, whatever the input.
+TABLE = 18
 #: Sets in one slice of the verification; a tile is two slices.
 BLOCK = 1_000
 
@@ -64,9 +67,32 @@ def _bands(n: int, threshold: tuple[int, int]) -> list[int]:
     return list(range(_band(max(1, -(-n * num // den))), _band(n * den // num) + 1))
 
 
+def token_counts(docs: DataFrame, size: int, text_col: str) -> np.ndarray:
+    """How often tokens stand in all documents, by the first TABLE bits of their hash: always 2 ** TABLE numbers."""
+
+    def run(batches):
+        counts = np.zeros(1 << TABLE, np.int64)
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for a, b in slices(offsets):
+                hashes, lo, hi = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                some = [shingles(hashes[x:y], size) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                counts += np.bincount((np.concatenate(some) >> np.uint64(64 - TABLE)).view(np.int64), minlength=1 << TABLE)
+        slot = np.flatnonzero(counts)
+        for i in range(0, len(slot), 10_000):
+            part = slot[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["slot", "n"])
+
+    found = docs.select(text_col).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << TABLE, np.int64)
+    table[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return table
+
+
 def shingle_sets(docs: DataFrame, threshold: tuple[int, int], size: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n, d1, d2, prefix): number of shingles, a 128-bit digest of the set, and the first tokens of its order."""
     kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(token_counts(docs, size, text_col))
 
     def run(batches):
         for batch in batches:
@@ -78,7 +104,11 @@ def shingle_sets(docs: DataFrame, threshold: tuple[int, int], size: int, id_col:
                     own = np.unique(shingles(hashes[x:y], size).view(np.int64))
                     digest = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
                     n.append(len(own)), d1.append(digest[0]), d2.append(digest[1])
-                    prefix.append(own[: prefix_length(len(own), threshold)] if misses_any(len(own), threshold) else own[:0])
+                    if misses_any(len(own), threshold):
+                        often = shared.value[(own.view(np.uint64) >> np.uint64(64 - TABLE)).view(np.int64)]
+                        prefix.append(own[np.argsort(often, kind="stable")[: prefix_length(len(own), threshold)]])
+                    else:
+                        prefix.append(own[:0])
                 cols = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n", "d1", "d2", "prefix"])
 
@@ -94,16 +124,16 @@ def misses_any(n: int, threshold: tuple[int, int]) -> bool:
 def candidates(sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(a, b) pairs that tie all sets which may link (and others): sets has one row (id, n, prefix) for each distinct set."""
     num, den = threshold
-    tokens = sets.select("id", "n", F.posexplode("prefix").alias("rank", "tok"))
+    tokens = sets.select("id", "n", F.explode("prefix").alias("tok"))
     shared = tokens.groupBy("tok").count().where("count > 1")
-    rows = tokens.join(shared.hint("shuffle_hash"), "tok").groupBy("id", "n").agg(F.collect_list(F.struct("rank", "tok", (F.col("count") <= RARE).alias("rare"))).alias("t"))
+    rows = tokens.join(shared.hint("shuffle_hash"), "tok").groupBy("id", "n").agg(F.collect_list(F.struct("tok", (F.col("count") <= RARE).alias("rare"))).alias("t"))
 
     def sign(batches):
         for batch in batches:
             out = {k: [] for k in ("sig", "single", "id", "n", "need", "w", "heavy")}
             for i, n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 t = t.values
-                rank, tok, rare = (t.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                tok, rare = (t.field(k).to_numpy(zero_copy_only=False) for k in range(2))
                 length = prefix_length(n, threshold)
                 m = misses(n, threshold)
                 common = np.sort(tok[~rare])
