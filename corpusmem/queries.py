@@ -386,7 +386,7 @@ def _(rows):
 
 @_query("t2_token_set", f"SELECT path, array_to_string({_distinct(_toks('substr(text, 1, 400)'))}, ' ') AS tokens FROM {{0}}", DOCS)
 def _(rows):
-    return rows.select("path", F.array_join(fn.token_set(F.substring("text", 1, 400)), " ").alias("tokens"))
+    return rows.select("path", F.array_join(fn.token_set(F.col("text")), " ").alias("tokens"))
 
 
 @_query("t3_entry_text", f"SELECT id, {_ENTRY_TEXT} AS txt FROM {{0}}", ENTRIES)

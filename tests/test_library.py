@@ -63,6 +63,22 @@ def test_tokens(spark):
     assert all(r["k"] == _tokens(texts[r["i"]]) for r in got)
 
 
+def _tables(tmp_path, spark, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_token_set_reads_whole_texts(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(("w", "中文", "B_")) + str(rnd.randrange(400)) for _ in range(n)) for n in (0, 5, 300, 3000)]
+    at = _tables(tmp_path, spark, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    got = {int(r["path"]): r["tokens"] for r in entry.queries()["t2_token_set"](spark, at).collect()}
+    assert got == {i: " ".join(dict.fromkeys(_tokens(t))) for i, t in enumerate(texts)}
+
+
 def test_summary(spark):
     at = lambda t: _one(spark, fn.summary(F.col("t")), t, schema="t string")
     assert len(at("S" * 900)) == 300 and at("S" * 900).endswith("…")
