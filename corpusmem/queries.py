@@ -1,12 +1,14 @@
 """Registered queries of the library's own operators: shapes derived from the given tables, and SQL that says the same.
 
 Derivations are SQL that Spark and DuckDB both read ({documents} names a table), so both sides start from equal rows.
+Entries are made by the library's chunker instead; their SQL has the same chunks from a recursion.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,16 +24,28 @@ _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _O: dict[str, str] = {}
 
 
-def _rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+class Made(NamedTuple):
+    """A source that DataFrame operations make of derivations; `sql` has the same rows for DuckDB."""
+
+    make: Callable[..., DataFrame]
+    sources: tuple[str, ...]
+    sql: str
+
+
+def _rows(spark: SparkSession, sf_dir: str, sql: str | Made) -> DataFrame:
+    if isinstance(sql, Made):
+        return sql.make(*[_rows(spark, sf_dir, s) for s in sql.sources])
     names = set(re.findall(r"\{(\w+)\}", sql))
     return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
 
-def _duck(sql: str) -> str:
+def _duck(sql: str | Made) -> str:
+    if isinstance(sql, Made):
+        return sql.sql
     return re.sub(r"\{(\w+)\}", r"\1", sql).replace("{{", "{")
 
 
-def _query(name: str, oracle: str | None, *sources: str):
+def _query(name: str, oracle: str | None, *sources: str | Made):
     """Registers f(*DataFrames of sources) under a name; the oracle reads the sources as {0}, {1}, ..."""
 
     def wrap(f):
@@ -64,12 +78,17 @@ NOTES = (
     "select 'p' || " + V("u.conv_id % 4") + " as project, 'n' || " + V("u.conv_id * 100 + u.turn") + " as id, u.conv_id * 100 + u.turn as seq, u.text as problem, a.text as solution, "
     "case when u.conv_id % 3 = 0 then 'src/' || " + V("u.conv_id") + " || '.py' end as source_file, u.conv_id as day from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant' where u.role = 'user'"
 )
+SYMBOLS = (
+    "select 's' || " + V("item_id") + " as id, 'symbol' as type, name || ' (function)' as title, 'function ' || name as summary, split(name || ' function', ' ') as keywords, 'src/a.py' as source_path, cast(item_id + 1 as int) as source_line "
+    "from (select item_id, lower(regexp_extract(text, '^[A-Za-z]+ ([A-Za-z]+)', 1)) as name from {benchmark}) b"
+)
 ENTRIES = (
     "select 'd' || " + V("doc_id") + " as id, 'doc' as type, substr(text, 1, 40) as title, substr(text, 1, 300) as summary, split(lang, ' ') as keywords, 'docs/' || source || '.md' as source_path, cast(doc_id % 50 + 1 as int) as source_line from {documents} "
-    "union all select 's' || " + V("item_id") + ", 'symbol', name || ' (function)', 'function ' || name, split(name || ' function', ' '), 'src/a.py', cast(item_id + 1 as int) from (select item_id, lower(regexp_extract(text, '^[A-Za-z]+ ([A-Za-z]+)', 1)) as name from {benchmark}) b"
+    "union all " + SYMBOLS
 )
-ASKED = "select item_id as query_id, 0 as variant, substr(text, 1, 40) as text from {benchmark}"
-VARIANTS = ASKED + " union all select item_id, 1, substr(text, 41, 40) from {benchmark}"
+ASKED = "select item_id as query_id, 0 as variant, text from {benchmark}"
+# the second variant is the whole text of the next item: one that held the first, or was part of it, would decide every maximum
+VARIANTS = ASKED + " union all select a.item_id, 1, b.text from {benchmark} a join {benchmark} b on b.item_id = a.item_id + 1"
 EVENTS = "select 'f' || " + V("user_id") + " as path, event_type as sha, ts as observed_at, event_id as seq, case when event_id % 5 = 0 then 'absent' else 'present' end as kind from {events}"
 
 # --- SQL of the shared functions ---------------------------------------------------------------------------------
@@ -118,6 +137,17 @@ c AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY sec, k) - 1 AS
 SELECT * FROM c WHERE chunk < {most}"""
 
 
+def _chunk_entries(docs: DataFrame, symbols_: DataFrame) -> DataFrame:
+    return chunk.doc_entries(chunk.chunks(docs)).select(symbols_.columns).unionByName(symbols_)
+
+
+_CHUNK_ENTRIES = (
+    f"SELECT path || '#' || chunk AS id, 'doc' AS type, CASE WHEN title <> '' THEN title ELSE path END AS title, {_summary('text')} AS summary, list_slice({_distinct(_toks('title'))}, 1, 5) AS keywords, path AS source_path, CAST(line AS INT) AS source_line "
+    f"FROM ({_chunks_sql(3000, 40).replace('{0}', '(' + _duck(DOCS) + ')')}) UNION ALL {_duck(SYMBOLS)}"
+)
+CHUNK_ENTRIES = Made(_chunk_entries, (DOCS, SYMBOLS), _CHUNK_ENTRIES)
+
+
 def _declared(ln: str, ext: str) -> tuple[str, str]:
     """CASE expressions of a declaration's name and kind, from the rule table."""
     name, kind = "CASE", "CASE"
@@ -389,7 +419,7 @@ def _(rows):
     return rows.select("path", F.array_join(fn.token_set(F.col("text")), " ").alias("tokens"))
 
 
-@_query("t3_entry_text", f"SELECT id, {_ENTRY_TEXT} AS txt FROM {{0}}", ENTRIES)
+@_query("t3_entry_text", f"SELECT id, {_ENTRY_TEXT} AS txt FROM {{0}}", CHUNK_ENTRIES)
 def _(rows):
     return rows.select("id", fn.entry_text().alias("txt"))
 
@@ -413,7 +443,7 @@ def _(rows):
     return rank.postings(rows, F.col("txt"))
 
 
-POOLS = "select type as pool, id, title || ' ' || summary as txt from (" + ENTRIES + ") e"
+POOLS = Made(lambda docs, symbols_: _chunk_entries(docs, symbols_).select(F.col("type").alias("pool"), "id", F.concat("title", F.lit(" "), "summary").alias("txt")), (DOCS, SYMBOLS), f"SELECT type AS pool, id, title || ' ' || summary AS txt FROM ({_CHUNK_ENTRIES})")
 
 
 @_query("r2_statistics", f"SELECT p.pool, term, df, n, round(a, 6) AS avgdl FROM (SELECT pool, t AS term, count(DISTINCT id) AS df FROM (SELECT pool, id, unnest({_toks('txt')}) AS t FROM {{0}}) GROUP BY ALL) p JOIN (SELECT pool, count(*) AS n, avg(len({_toks('txt')})) AS a FROM {{0}} GROUP BY pool) s ON s.pool = p.pool", POOLS)
@@ -437,7 +467,7 @@ def _(queries, rows):
     return rank.search(queries, rows, F.col("txt")).select("query_id", "rank", "id", "score")
 
 
-@_query("r5_merged_variants", f"WITH {_bm25(_ENTRY_ROWS, 'SELECT * FROM {0}')} SELECT query_id, rank, id, score FROM k WHERE rank <= 8", VARIANTS, ENTRIES)
+@_query("r5_merged_variants", f"WITH {_bm25(_ENTRY_ROWS, 'SELECT * FROM {0}')} SELECT query_id, rank, id, score FROM k WHERE rank <= 8", VARIANTS, CHUNK_ENTRIES)
 def _(queries, entries):
     return rank.search(queries, rank.layered(entries), fn.entry_text()).select("query_id", "rank", "id", "score")
 
@@ -461,12 +491,12 @@ def _(rows):
     return models.expand(rows.select("query_id", "text"), rows.select("query_id", "answer"))
 
 
-@_query("r9_relative_score", f"WITH {_bm25(_ENTRY_ROWS, 'SELECT * FROM {0}')} SELECT query_id, rank, id, rel_score FROM k WHERE rank <= 20", ASKED, ENTRIES)
+@_query("r9_relative_score", f"WITH {_bm25(_ENTRY_ROWS, 'SELECT * FROM {0}')} SELECT query_id, rank, id, rel_score FROM k WHERE rank <= 20", ASKED, CHUNK_ENTRIES)
 def _(queries, entries):
     return rank.search(queries, rank.layered(entries), fn.entry_text(), 99).select("query_id", "rank", "id", "rel_score")
 
 
-@_query("r10_layer_filter", f"WITH {_bm25(f'SELECT type AS pool, id, {_ENTRY_TEXT} AS txt FROM {{1}}', 'SELECT * FROM {0}', chr(112) + 'ool = ' + repr('doc'))} SELECT query_id, pool, rank, id, score FROM k WHERE rank <= 8", ASKED, ENTRIES)
+@_query("r10_layer_filter", f"WITH {_bm25(f'SELECT type AS pool, id, {_ENTRY_TEXT} AS txt FROM {{1}}', 'SELECT * FROM {0}', chr(112) + 'ool = ' + repr('doc'))} SELECT query_id, pool, rank, id, score FROM k WHERE rank <= 8", ASKED, CHUNK_ENTRIES)
 def _(queries, entries):
     return rank.search(queries, rank.layered(entries, "doc"), fn.entry_text()).drop("rel_score")
 
@@ -481,7 +511,7 @@ def _cited(queries, entries):
     return rank.cite(rank.search(queries, rank.layered(entries), fn.entry_text()), entries, links.links(entries))
 
 
-@_query("r11_citations", f"{_CITED} SELECT query_id, rank, id, title, source, refs FROM ct", ASKED, ENTRIES)
+@_query("r11_citations", f"{_CITED} SELECT query_id, rank, id, title, source, refs FROM ct", ASKED, CHUNK_ENTRIES)
 def _(queries, entries):
     return _cited(queries, entries).select("query_id", "rank", "id", "title", "source", F.array_join("refs", "; ").alias("refs"))
 
@@ -494,14 +524,14 @@ MISSES = ASKED + " union all select 1000000 + item_id, 0, 'łł' from {benchmark
     f"""{_CITED}, an AS (SELECT query_id, '## Memory (docs + symbols)' || chr(10) || chr(10) || string_agg('### ' || title || ' (score: ' || rel_score || ')' || chr(10) || '- source: ' || source || chr(10) || '- ' || summary || CASE WHEN refs <> '' THEN chr(10) || '- references: ' || refs ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS a FROM ct GROUP BY query_id),
     fin AS (SELECT q.query_id, coalesce(a, 'No memory matches for "' || q.text || '".') AS a FROM {{0}} q LEFT JOIN an ON an.query_id = q.query_id)
     SELECT query_id, CASE WHEN length(a) > 2000 THEN substr(a, 1, 2000) || chr(10) || chr(10) || '...[truncated at 2000 chars]' ELSE a END AS answer FROM fin""",
-    MISSES, ENTRIES,
+    MISSES, CHUNK_ENTRIES,
 )
 def _(queries, entries):
     return rank.render(queries, _cited(queries, entries), 2000)
 
 
 # --- joins and notes ---------------------------------------------------------------------------------------------
-@_query("j1_symbol_links", f"WITH {_LINKS % (0, 0)} SELECT doc_id, symbol_id FROM lk", ENTRIES)
+@_query("j1_symbol_links", f"WITH {_LINKS % (0, 0)} SELECT doc_id, symbol_id FROM lk", CHUNK_ENTRIES)
 def _(entries):
     return links.links(entries)
 

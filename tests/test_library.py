@@ -132,6 +132,23 @@ def test_links_blocked_equal_nested(spark):
     assert sorted(links.links(table).collect()) == sorted(links.nested_loop_links(table).collect())
 
 
+def test_entries_of_all_chunks_and_whole_queries(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    long = " ".join(["filler"] * 420) + "\n\n" + "zephyr meets lateword " + " ".join(["other"] * 300)
+    docs = [(0, long, "en", "web"), (1, "zephyr " + "plain " * 20, "en", "web"), (2, "nothing here", "en", "web")]
+    items = [(0, "ask lateword " + "qqqq " * 10 + "zephyr"), (1, "say never " + "vvvv " * 20 + "nothing")]
+    at = _tables(tmp_path, spark, documents=(docs, "doc_id long, text string, lang string, source string"), benchmark=(items, "item_id long, text string"))
+    rows = lambda name: entry.queries()[name](spark, at).collect()
+    hits = lambda name, query: {r["id"] for r in rows(name) if r["query_id"] == query}
+    assert {r["id"] for r in rows("t3_entry_text")} == {"0#0", "0#1", "1#0", "2#0", "s0", "s1"}
+    assert hits("r3_bm25_scores", 0) == hits("r4_top_k", 0) == {"0", "1"} and hits("r4_top_k", 1) == {"2"}
+    assert hits("r9_relative_score", 0) == {"0#1", "1#0", "s0"} and hits("r10_layer_filter", 1) == {"2#0"}
+    assert hits("r5_merged_variants", 0) == {"0#1", "1#0", "2#0", "s0", "s1"}
+    assert {tuple(r) for r in rows("j1_symbol_links")} == {("0#1", "s0")}
+    assert {(r["id"], r["refs"]) for r in rows("r11_citations") if r["id"] == "0#1"} == {("0#1", "lateword (function) @ src/a.py:1")}
+
+
 NOTE = notes.SCHEMA
 
 
