@@ -71,7 +71,7 @@ CODE = (
     "when 4 then '  public static int ' || nm || '(int a) {{' when 5 then nm || '() {{' when 6 then 'def ' || nm else 'const ' || nm || ' = async (a) => {{' end || ' // note' || chr(10) || 'return x;' || chr(13) || chr(10) || case p_partkey % 8 when 0 then 'class C' || nm || ':' when 2 then 'type ' || nm || ' struct {{' when 3 then 'pub(crate) async fn ' || nm || '() {{' when 4 then 'else if (a) {{' else 'class ' || nm || ' {{' end as text "
     "from (select p_partkey, " + NAMES + " as nm from {part}) t"
 )
-LISTING = "select 'p' || " + V("doc_id % 3") + " as project, 'd/f' || " + V("doc_id") + " || case doc_id % 4 when 0 then '.py' when 1 then '.TXT' when 2 then '.md' else '.bin' end as path, text, n_chars as size from {documents} where doc_id % 13 <> 0"
+LISTING = "select 'p' || " + V("doc_id % 3") + " as project, 'd/f' || " + V("doc_id") + " || case doc_id % 4 when 0 then '.py' when 1 then '.TXT' when 2 then '.md' else '.bin' end as path, text, n_chars as size from {documents}"
 HASHED = LISTING.replace("text, n_chars", "text, sha2_256 as sha256, n_chars")
 BANNER = "select doc_id, case doc_id % 4 when 0 then '=== A loaded: X, Version=1.0.0.0' || chr(10) || '== TYPE x ' || text when 1 then '====' || chr(10) || text when 2 then '=== B' || chr(10) || ' Version=1.2.3.4 ' || text else text end as text from {documents}"
 NOTES = (
@@ -230,7 +230,8 @@ def _(rows):
     return rows.select("path", files.store_key(F.col("path"), "/org", case_insensitive=True).alias("key"))
 
 
-MANIFEST = LISTING.replace("doc_id % 13 <> 0", "doc_id % 11 <> 0").replace("text, n_chars", "case when doc_id % 7 = 0 then text || 'x' else text end as text, n_chars")
+LISTED = LISTING + " where doc_id % 13 <> 0"
+MANIFEST = (LISTING + " where doc_id % 11 <> 0").replace("text, n_chars", "case when doc_id % 7 = 0 then text || 'x' else text end as text, n_chars")
 _PLAN = f"""a AS (SELECT *, sha256(text) AS sha, CASE WHEN {_EXT} IN ('.txt', '.md') THEN 'doc' WHEN {_EXT} = '.py' THEN 'code' END AS kind FROM {{0}}),
 m AS (SELECT *, sha256(text) AS sha, CASE WHEN {_EXT} IN ('.txt', '.md') THEN 'doc' WHEN {_EXT} = '.py' THEN 'code' END AS kind FROM {{1}}),
 pl AS (SELECT coalesce(a.project, m.project) AS project, coalesce(a.path, m.path) AS path, coalesce(a.kind, m.kind) AS kind,
@@ -246,12 +247,12 @@ def _plan(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     return index.change_plan(listing.withColumn("sha256", F.sha2("text", 256)), _manifest(manifest), 0.01)
 
 
-@_query("s7_change_plan", f"WITH {_PLAN} SELECT * FROM pl", LISTING, MANIFEST)
+@_query("s7_change_plan", f"WITH {_PLAN} SELECT * FROM pl", LISTED, MANIFEST)
 def _(listing, manifest):
     return _plan(listing, manifest).select("project", "path", "kind", "status")
 
 
-@_query("s8_report", f"WITH {_PLAN} SELECT project, count(*) FILTER (WHERE status IN ('new', 'changed') AND kind = 'doc') AS docs, count(*) FILTER (WHERE status IN ('new', 'changed') AND kind = 'code') AS code, count(*) FILTER (WHERE status IN ('unchanged', 'oversize', 'dump')) AS skipped, count(*) FILTER (WHERE status = 'removed') AS removed, count(*) FILTER (WHERE status = 'failed') AS n_failed FROM pl GROUP BY project", LISTING, MANIFEST)
+@_query("s8_report", f"WITH {_PLAN} SELECT project, count(*) FILTER (WHERE status IN ('new', 'changed') AND kind = 'doc') AS docs, count(*) FILTER (WHERE status IN ('new', 'changed') AND kind = 'code') AS code, count(*) FILTER (WHERE status IN ('unchanged', 'oversize', 'dump')) AS skipped, count(*) FILTER (WHERE status = 'removed') AS removed, count(*) FILTER (WHERE status = 'failed') AS n_failed FROM pl GROUP BY project", LISTED, MANIFEST)
 def _(listing, manifest):
     return index.report(_plan(listing, manifest)).drop("failed")
 
@@ -261,12 +262,12 @@ def _(rows):
     return rows.select("doc_id", files.is_dump(F.col("text")).alias("dump"))
 
 
-@_query("s10_single_index", f"WITH {_PLAN} SELECT * FROM pl WHERE path IN (SELECT path FROM {{2}})", LISTING, MANIFEST, "select 'd/f' || " + V("doc_id") + " || '.md' as path from {documents}")
+@_query("s10_single_index", f"WITH {_PLAN} SELECT * FROM pl WHERE path IN (SELECT path FROM {{2}})", LISTED, MANIFEST, "select 'd/f' || " + V("doc_id") + " || '.md' as path from {documents}")
 def _(listing, manifest, asked):
     return index.index_single(listing.withColumn("sha256", F.sha2("text", 256)), _manifest(manifest), asked, 0.01).select("project", "path", "kind", "status")
 
 
-@_query("s11_upsert", "SELECT project, path, sha256(text) AS id FROM {1} x WHERE NOT EXISTS (SELECT 1 FROM {0} y WHERE y.project = x.project AND y.path = x.path AND size % 2 = 0) UNION ALL SELECT project, path, sha256(text) FROM {0} WHERE size % 2 = 0", LISTING, MANIFEST)
+@_query("s11_upsert", "SELECT project, path, sha256(text) AS id FROM {1} x WHERE NOT EXISTS (SELECT 1 FROM {0} y WHERE y.project = x.project AND y.path = x.path AND size % 2 = 0) UNION ALL SELECT project, path, sha256(text) FROM {0} WHERE size % 2 = 0", LISTED, MANIFEST)
 def _(listing, manifest):
     entry = lambda df: df.select("project", "path", F.sha2("text", 256).alias("id"))
     touched = listing.where("size % 2 = 0")
@@ -536,13 +537,19 @@ def _(entries):
     return links.links(entries)
 
 
-@_query("j2_manifest_diff", "SELECT project, path FROM {1} m WHERE NOT EXISTS (SELECT 1 FROM {0} l WHERE l.project = m.project AND l.path = m.path) AND lower(path) NOT LIKE '%.bin'", LISTING, MANIFEST)
+@_query("j2_manifest_diff", "SELECT project, path FROM {1} m WHERE NOT EXISTS (SELECT 1 FROM {0} l WHERE l.project = m.project AND l.path = m.path) AND lower(path) NOT LIKE '%.bin'", LISTED, MANIFEST)
 def _(listing, manifest):
     return _plan(listing, manifest).where("status = 'removed'").select("project", "path")
 
 
-OLD_NOTES, NEW_NOTES = NOTES + " and u.turn = 0", NOTES.replace("u.text as problem", "case when u.conv_id % 2 = 0 then substr(z.text, 1, 4 * length(z.text) / 5) else u.text end as problem").replace("where u.role", "join {conversations} z on z.conv_id = u.conv_id and z.turn = 0 where u.role") + " and u.turn = 2"
-NEW_NOTES = NEW_NOTES.replace("4 * length(z.text) / 5", "cast(floor(4 * length(z.text) / 5.0) as int)")
+# every note is on one side: of a conversation's notes (day is its number) the first, third, ... are old, the others new;
+# near copies of the old notes of every other conversation are new notes besides
+_NTH = "(select n.*, row_number() over (partition by day order by seq) as nth from (" + NOTES + ") n) o"
+OLD_NOTES = "select project, id, seq, problem, solution, source_file, day from " + _NTH + " where nth % 2 = 1"
+NEW_NOTES = (
+    "select project, id, seq, problem, solution, source_file, day from " + _NTH + " where nth % 2 = 0 "
+    "union all select project, id || 'c', seq + 50, substr(problem, 1, cast(floor(4 * length(problem) / 5.0) as int)), solution, source_file, day from " + _NTH + " where nth % 2 = 1 and day % 2 = 0"
+)
 _OVERLAP = """a AS (SELECT project, id, seq, problem, list_distinct({t}) AS tk FROM {{0}}), b AS (SELECT project, id, seq, problem, solution, source_file, day, list_distinct({t}) AS tk FROM {{1}}),
 o AS (SELECT b.project, b.id AS left_id, a.id AS right_id, a.seq, len(list_intersect(a.tk, b.tk)) AS overlap, len(a.tk) AS na, len(b.tk) AS nb FROM a JOIN b ON a.project = b.project),
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, left_id ORDER BY overlap DESC, seq) AS r FROM o WHERE least(na, nb) > 0 AND overlap / least(na, nb) >= 0.6) WHERE r = 1)""".format(t=_toks("problem"))
@@ -559,7 +566,7 @@ def _(old, new):
     return links.best_overlap(sets(new), sets(old))
 
 
-@_query("j4_posting_join", f"WITH {_bm25('SELECT * FROM {1}', 'SELECT * FROM {0}')} SELECT query_id, id, round(score, 4) AS score FROM s", VARIANTS.replace("union all", "where item_id % 2 = 0 union all"), DOC_ROWS)
+@_query("j4_posting_join", f"WITH {_bm25('SELECT * FROM {1}', 'SELECT * FROM {0}')} SELECT query_id, id, round(score, 4) AS score FROM s", VARIANTS, DOC_ROWS)
 def _(queries, rows):
     return _scored(queries, rows).select("query_id", "id", F.round("score", 4).alias("score"))
 
@@ -595,7 +602,8 @@ def _(rows):
     return notes.forget(_noted(rows), rows.where("day % 5 = 0").select("project", F.col("id").alias("query"))).select("project", "id")
 
 
-KEYWORDS = "select 'p' || " + V("conv_id % 4") + " as project, substr(text, 1, 30) as query from {conversations} where conv_id % 9 = 0 and role = 'user'"
+# every user turn asks the notes of the project after its own: in its own it would name its own note, and none would stay
+KEYWORDS = "select 'p' || " + V("(conv_id + 1) % 4") + " as project, text as query from {conversations} where role = 'user'"
 
 
 @_query("n5_forget_by_keywords", f"SELECT project, id FROM {{0}} n WHERE NOT EXISTS (SELECT 1 FROM {{1}} q WHERE q.project = n.project AND len(list_intersect({_toks('q.query')}, {_toks(chr(110) + '.problem || chr(32) || n.solution')})) / least(len(list_distinct({_toks('q.query')})), len(list_distinct({_toks('n.problem || chr(32) || n.solution')}))) >= 0.5)", NOTES, KEYWORDS)

@@ -185,6 +185,29 @@ def test_forget(spark):
     assert [r["id"] for r in by_words.collect()] == ["n1"]
 
 
+def test_queries_read_all_rows(spark, tmp_path):
+    import __spark_entry__ as entry
+    from corpusmem import queries as own
+
+    docs = [(i, f"text {i}", "en", "web", 6) for i in range(30)]
+    turns = {0: ["user", "assistant"] * 3, 9: ["system"] + ["user", "assistant"] * 2, 13: ["user", "assistant"]}
+    talk = [(c, t, role, f"{role}{c}x{t} " + f"only{c}x{t} " * 9 + f"last{c}x{t}") for c, roles in turns.items() for t, role in enumerate(roles)]
+    items = [(i, f"ask text {i}") for i in range(4)]
+    at = _tables(tmp_path, spark, documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"), conversations=(talk, "conv_id long, turn int, role string, text string"), benchmark=(items, "item_id long, text string"))
+    rows = lambda name: entry.queries()[name](spark, at).collect()
+    assert len(rows("s2_extension_routing")) == len(rows("s15_code_first")) == len(rows("s3_size_cap")) == 30
+    assert sum(r["entries"] for r in rows("s13_inventory")) == 30 and {(r["path"], r["status"]) for r in rows("s7_change_plan")} > {("d/f13.TXT", "removed")}
+    assert {r["query_id"] for r in rows("j4_posting_join")} == {0, 1, 2, 3}
+    side = lambda sql: {r["id"] for r in own._rows(spark, at, sql).collect()}
+    old, new = side(own.OLD_NOTES), side(own.NEW_NOTES)
+    assert old == {"n0", "n4", "n901", "n1300"} and new == {"n2", "n903", "n0c", "n4c"}
+    assert {(r["left_id"], r["right_id"]) for r in rows("j3_overlap_join")} == {("n0c", "n0"), ("n4c", "n4")}
+    assert len(rows("n1_remember")) == len(rows("n2_remember_in_order")) == 6
+    asked = {(r["project"], r["query"]) for r in own._rows(spark, at, own.KEYWORDS).collect()}
+    assert asked == {(f"p{(c + 1) % 4}", text) for c, _, role, text in talk if role == "user"}
+    assert {r["id"] for r in rows("n5_forget_by_keywords")} == {"n0", "n2", "n4", "n901", "n903", "n1300"}
+
+
 def test_model_hook(spark):
     entries = spark.createDataFrame([("a", "T", "old", ["t"], "text a"), ("b", "U", "old", ["u"], "text b")], "id string, title string, summary string, keywords array<string>, text string")
     answers = models.ask(entries, lambda texts: ['```json\n{"title":"Payment","summary":"Pays.","keywords":[]}\n```' if t.endswith("a") else "no" for t in texts])
