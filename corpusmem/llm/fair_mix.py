@@ -44,6 +44,17 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
     return t.select("source", "source_size", "rank", F.coalesce(shared, F.col("source_size") * 2.0).alias("target"))
 
 
+def reachable(copies: DataFrame, total: int) -> DataFrame:
+    """copies with the words before their slot, of slots that start before 150 % of all words; no later one can be taken.
+
+    Slots are 2 * RANGES + 1 rows at most, whatever the input. They are broadcast, so that the late copies, which share
+    the last slot, are dropped where they are and not gathered in one task.
+    """
+    slots = copies.groupBy("slot").agg(F.sum("size").alias("own"))
+    slots = slots.select("slot", (F.sum("own").over(W.orderBy("slot")) - F.col("own")).alias("before"))
+    return copies.join(F.broadcast(slots.where(2 * F.col("before") < 3 * total)), "slot")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, size, source_size, target, taken[, copies and the columns of `keep`]) for every row of docs.
 
@@ -70,12 +81,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix",
     copies = up_to.where("size > 0").select("id", "uid", "size", "hash", "rank", "source_size", "target", (F.col("before") + F.col("up_to")).alias("up_to"), copy)
     copies = copies.withColumn("finish", (F.col("copy") * F.col("source_size") + F.col("up_to")) / F.col("target"))
     copies = stored(copies.select("id", "uid", "size", "hash", "rank", "copy", "finish", F.least(F.floor(F.col("finish") * RANGES), F.lit(2 * RANGES)).alias("slot")))
-    slots = copies.groupBy("slot").agg(F.sum("size").alias("own"))
-    # at most 2 * RANGES + 1 rows, whatever the input
-    slots = slots.select("slot", (F.sum("own").over(W.orderBy("slot")) - F.col("own")).alias("before"))
     order = W.partitionBy("slot").orderBy("finish", "rank", "hash", "id", "uid", "copy").rowsBetween(W.unboundedPreceding, 0)
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
-    mixed = copies.withColumn("in_slot", F.sum("size").over(order)).join(slots, "slot").where(2 * (F.col("before") + F.col("in_slot")) <= 3 * total)
+    mixed = reachable(copies, total).withColumn("in_slot", F.sum("size").over(order)).where(2 * (F.col("before") + F.col("in_slot")) <= 3 * total)
     taken = mixed.groupBy("uid").agg(F.sum("size").alias("taken"), F.count("*").alias("copies"))
     out = rows.join(taken, "uid", "left").join(sources.withColumnRenamed("source", "s"), rows["source"].eqNullSafe(F.col("s")))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *([F.coalesce("copies", F.lit(0)).cast("long").alias("copies"), *[F.col(f"keep_{c}").alias(c) for c in keep]] if keep else []))

@@ -315,6 +315,19 @@ def test_mix(docs, rows, empty):
     assert fair_mix.mix(empty).collect() == []
 
 
+def test_mix_drops_late_copies_before_the_window(spark, monkeypatch):
+    table = spark.createDataFrame([(i, "w " * (1 + i % 7), "aabc"[i % 4]) for i in range(900)], "doc_id long, text string, source string")
+    kept = []
+    monkeypatch.setattr(fair_mix, "stored", lambda df, f=fair_mix.stored: kept.append(f(df)) or kept[-1])
+    total = sum(1 + i % 7 for i in range(900))
+    assert 1.5 * total - 7 <= sum(r["taken"] for r in fair_mix.mix(table).collect()) <= 1.5 * total
+    copies = next(df for df in kept if "slot" in df.columns)
+    last = f"slot = {2 * fair_mix.RANGES}"
+    assert copies.where(last).count() > 50
+    left = fair_mix.reachable(copies, total)
+    assert left.where(last).count() == 0 and left.agg(F.sum("size")).first()[0] >= 1.5 * total - 7
+
+
 def test_fingerprints(spark, docs, rows, empty):
     got = {r["doc_id"]: r for r in merkle.compare_edited(docs).collect()}
     texts = sorted((i, t or "") for i, t, *_ in rows)
