@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -82,19 +84,26 @@ def fold(stored: list[dict], new: list[dict], n_files: int) -> list[dict]:
 def remember_in_order(notes: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
     """New notes of each project added one after the other by seq. A project's state is at most 2000 notes.
 
-    Projects are folded apart, each in one group: the order within a project is the semantics.
+    Notes come sorted by project, stored ones first, in Arrow batches; only the state is carried from batch to batch.
     """
     both = notes.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True))).join(files, "project", "left")
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("seq").astype(object).where(lambda t: t.notna(), None)
-        rows = table.to_dict("records")
-        n_files = int(rows[0]["n_files"] or 0)
-        out = fold([r for r in rows if not r["fresh"]], [r for r in rows if r["fresh"]], n_files)
-        return pd.DataFrame([[n[c] for c in names] for n in out], columns=names)
-
-    return both.groupBy("project").applyInPandas(run, SCHEMA)
+    def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = lambda state: pd.DataFrame([[n[c] for c in names] for n in state], columns=names)
+        project, state = None, []
+        for table in tables:
+            rows = table.astype(object).where(lambda t: t.notna(), None).to_dict("records")
+            for key, own in groupby(rows, lambda r: r["project"]):
+                if key != project and state:
+                    yield out(state)
+                    state = []
+                project, own = key, list(own)
+                state = fold(state + [r for r in own if not r["fresh"]], [r for r in own if r["fresh"]], int(own[0]["n_files"] or 0))
+        if state:
+            yield out(state)
+
+    return both.repartition("project").sortWithinPartitions("project", "fresh", "seq").mapInPandas(run, SCHEMA)
 
 
 def forget(notes: DataFrame, requests: DataFrame) -> DataFrame:

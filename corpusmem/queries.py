@@ -582,7 +582,11 @@ def _(old, new):
     return notes.remember(_noted(old), _noted(new)).select("project", "id", "problem", "solution", "source_file")
 
 
-@_query("n2_remember_in_order", None, OLD_NOTES, NEW_NOTES)
+# projects of 25 conversations each: their number grows with the table
+_BY_25 = "select 'p' || " + V("cast(floor(day / 25) as bigint)") + " as project, id, seq, problem, solution, source_file, day from ({}) b"
+
+
+@_query("n2_remember_in_order", None, _BY_25.replace("({})", "(" + OLD_NOTES + ")"), _BY_25.replace("({})", "(" + NEW_NOTES + ")"))
 def _(old, new):
     counts = old.select("project").distinct().withColumn("n_files", F.lit(60))
     return notes.remember_in_order(_noted(old), _noted(new), counts)

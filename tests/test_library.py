@@ -167,6 +167,25 @@ def test_notes_fold(spark):
     assert notes.remember_in_order(none, cjk, files_).count() == 2
 
 
+def test_notes_fold_in_bounded_batches(spark):
+    rnd = random.Random(8)
+    old = [_note(i, " ".join(rnd.sample("abcdefghij", 4)), i, f"p{i % 3}") for i in range(30)]
+    new = [_note(100 + i, " ".join(rnd.sample("abcdefghijklmnop", 4)) + f" t{i // 2}", 50 + i, f"p{i % 3}") for i in range(400)]
+    names = [c.split()[0] for c in NOTE.split(", ")]
+    want = set()
+    for p in ("p0", "p1", "p2"):
+        own = lambda rows: [dict(zip(names, r, strict=True)) for r in rows if r[0] == p]  # noqa: B023, E731
+        want |= {(p, n["id"], n["problem"]) for n in notes.fold(own(old), own(new), 60)}
+    files_ = spark.createDataFrame([(f"p{k}", 60) for k in range(3)], "project string, n_files int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = notes.remember_in_order(spark.createDataFrame(old, NOTE), spark.createDataFrame(new, NOTE), files_)
+        assert {(r["project"], r["id"], r["problem"]) for r in got.collect()} == want
+        assert "MapInPandas" in got._jdf.queryExecution().toString() and "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_notes_batch_and_prune(spark):
     old = spark.createDataFrame([_note(1, "pdfjs import fails on Node 24"), _note(2, "something else here")], NOTE)
     new = spark.createDataFrame([_note(3, "pdfjs import fails on Node 24 again", 5, solution="new")], NOTE)
