@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -19,36 +23,75 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: While a table is stored: the job's shuffle files go with it, and batches for Python stay small.
 _WHILE_STORED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _local_dir: dict[str, str] = {}
+_storing: dict[int, int] = {}
+_lock = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset (local tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master (tests) may leave it unset."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: intermediates need a folder that all executors share")
     if "dir" not in _local_dir:
         _local_dir["dir"] = "file://" + tempfile.mkdtemp(prefix="corpusmem-")
     return _local_dir["dir"]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: cuts lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in _WHILE_STORED}
-    for k, v in _WHILE_STORED.items():
-        spark.conf.set(k, v)
+@contextmanager
+def _while_stored(spark: SparkSession):
+    """Holds the settings above for as long as a thread of this session stores a table, and then restores them."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        if not _storing.get(key):
+            _before[key] = {k: spark.conf.get(k, None) for k in _WHILE_STORED}
+            for k, v in _WHILE_STORED.items():
+                spark.conf.set(k, v)
+        _storing[key] = _storing.get(key, 0) + 1
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+        with _lock:
+            _storing[key] -= 1
+            if not _storing[key]:
+                for k, v in _before.pop(key).items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+_before: dict[int, dict[str, str | None]] = {}
+
+
+class Work:
+    """The tables that one call of an operator writes in the shared folder: Parquet, so lineage ends there and a lost
+    executor loses nothing. clear() removes them once the operator has stored what its result needs."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark).rstrip('/')}/t-{uuid.uuid4().hex}"
+        with _while_stored(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths.clear()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """One table of a Work that is left in the shared folder, as a result reads it."""
+    return Work(df.sparkSession).store(df)
 
 
-def extended(schema: T.StructType, **more: str) -> T.StructType:
+def extended(schema: T.StructType, **more: str | T.DataType) -> T.StructType:
     """A schema with further columns, name=type."""
-    return T.StructType([*schema.fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in more.items()]])
+    kind = lambda v: v if isinstance(v, T.DataType) else T._parse_datatype_string(v)
+    return T.StructType([*schema.fields, *[T.StructField(k, kind(v)) for k, v in more.items()]])
 
 
 def text_bytes(docs: DataFrame, col: str = "text") -> int:
@@ -81,6 +124,8 @@ def slices(offsets: np.ndarray, limit: int = 4_000_000):
         i = j
 
 
+#: Words beyond so many bytes are hashed by a digest: sums of powers modulo 2 ** 64 meet for long patterned strings.
+LONG_WORD = 64
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
@@ -110,7 +155,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end): equal bytes give equal hashes wherever they stand."""
+    """64-bit hashes of the byte ranges [start, end): equal bytes give equal hashes wherever they stand. For short ranges."""
     n = len(data)
     up, down = powers(n)
     sums = np.zeros(n + 1, np.uint64)
@@ -139,7 +184,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
     low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     bounds = np.searchsorted(starts, offsets)
-    return range_hashes(low, starts, ends), bounds[:-1], bounds[1:]
+    hashes = range_hashes(low, starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        hashes[i] = np.frombuffer(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return hashes, bounds[:-1], bounds[1:]
 
 
 def shingles(hashes: np.ndarray, size: int = 3) -> np.ndarray:
