@@ -23,12 +23,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmem.llm.components import components
-from corpusmem.llm.util import mix, shingles, slices, stored, utf8, words
+from corpusmem.llm.util import Work, mix, shingles, slices, stored, utf8, words
 
 #: Jaccard threshold as a fraction, 90 / 100; smaller sets than LEAST can only link with equal sets.
 THRESHOLD = (90, 100)
@@ -38,8 +39,8 @@ RARE = 4
 CLASS = 8
 #: Bits of the hashed table of token counts: 2 ** 18 counts, whatever the input.
 TABLE = 18
-#: Sets in one slice of the verification; a tile is two slices.
-BLOCK = 1_000
+#: Sets, and shingles of all of them, in one slice of the verification; a tile is two slices.
+BLOCK, BLOCK_SHINGLES = 1_000, 2_000_000
 
 
 def misses(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
@@ -121,7 +122,7 @@ def misses_any(n: int, threshold: tuple[int, int]) -> bool:
     return den * n >= num * (n + 1) or den * (n - 1) >= num * n > 0
 
 
-def candidates(sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def candidates(sets: DataFrame, work: Work, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(a, b) pairs that tie all sets which may link (and others): sets has one row (id, n, prefix) for each distinct set."""
     num, den = threshold
     tokens = sets.select("id", "n", F.explode("prefix").alias("tok"))
@@ -153,7 +154,7 @@ def candidates(sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataF
             kinds = {"sig": pa.int64(), "single": pa.bool_(), "id": pa.int64(), "n": pa.int64(), "need": pa.int64(), "heavy": pa.bool_()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
-    signed = stored(rows.select("id", "n", "t").mapInArrow(sign, "sig long, single boolean, id long, n long, need long, heavy boolean"))
+    signed = work.store(rows.select("id", "n", "t").mapInArrow(sign, "sig long, single boolean, id long, n long, need long, heavy boolean"))
     one = signed.where("single")
     # at most RARE sets have the token
     left, right = one.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("need").alias("needa")), one.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("need").alias("needb"))
@@ -166,11 +167,21 @@ def candidates(sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataF
 
 
 def link_blocks(texts: DataFrame, threshold: tuple[int, int], size: int) -> DataFrame:
-    """Verified links (a, b) that span the components within each block. texts: (block, own, id, text), see similar()."""
+    """Of each tile, links (a, b) that span its components, and (a, null, n): n documents that link with a's set here.
+
+    texts: (block, part, own, id, copies, text), see similar(). A tile of two slices compares its own sets with all; each
+    pair of different sets is counted in one tile only, where it stands across the slices or the slice is alone.
+    """
     num, den = threshold
 
     def verify(key, table):
-        ids = table.column("id").to_numpy()
+        alone = key[1].as_py()
+        alone = alone["kind"] == 0 and alone["p"] == alone["q"]
+        if pc.count_distinct(table.column("id")).as_py() < table.num_rows:  # repeated rows
+            seen = {x: i for i, x in reversed(list(enumerate(zip(table.column("id").to_pylist(), table.column("text").to_pylist(), strict=True))))}
+            table = table.take(pa.array(sorted(seen.values()), pa.int64()))
+        ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
+        partners = np.zeros(len(ids), np.int64)
         own = table.column("own").to_numpy(zero_copy_only=False)
         data, offsets = utf8(table.column("text"))
         sets = []
@@ -203,62 +214,77 @@ def link_blocks(texts: DataFrame, threshold: tuple[int, int], size: int) -> Data
                 overlap += m[some] @ m.T
             both = overlap.astype(np.int64)
             ok = den * both >= num * (n[some][:, None] + n[None, :] - both)
+            ok[np.arange(len(some)), some] = False
+            counted = ok if alone else ok & ~own[None, :]
+            partners[some] += counted @ copies
+            partners += np.where(own, 0, copies[some] @ counted)
             for x, hits in zip(some, ok, strict=True):
                 y = np.flatnonzero(hits & (label != label[x]))
                 if len(y):
                     joined, first = np.unique(label[y], return_index=True)
                     links += [(int(ids[x]), int(ids[z])) for z in y[first]]
                     label[np.isin(label, joined)] = label[x]
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        some = np.flatnonzero(partners)
+        a = [x for x, _ in links] + ids[some].tolist()
+        b = [y for _, y in links] + [None] * len(some)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([0] * len(links) + partners[some].tolist(), pa.int64())})
 
-    return texts.groupBy("block", "part").applyInArrow(verify, "a long, b long")
+    return texts.groupBy("block", "part").applyInArrow(verify, "a long, b long, n long")
 
 
 def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row: the size of its shingle set and the least id its links reach.
+    """(id, n_shingles, component_id, n_links) for every row: the size of its shingle set, the least id its links reach,
+    and with how many other documents it links.
 
     Two documents link when their sets' intersection is at least threshold times their union; empty sets (null texts,
     texts without a word) link with nothing. Equal sets are one class from the start, whatever their number, so copies
-    are never paired. Links span components; no pair of different sets at the threshold is lost. Repeated rows with one
-    id are one document of the graph and come back as often as they are given; a row with a null id has its own set size
-    and a null component. Texts must be unique by id for the result to be one set a document: of several texts under one
-    id, all links count.
+    are never paired, only counted. Links span components; no pair of different sets at the threshold is lost. Repeated
+    rows with one id are one document of the graph (but count as many partners) and come back as often as they are given;
+    a row with a null id has its own set size, a null component and no links. Texts must be unique by id for the result
+    to be one set a document: of several texts under one id, all links count. Other columns are not read.
     """
     num, den = threshold
-    table = stored(shingle_sets(docs, threshold, size, id_col, text_col))
+    work = Work(docs.sparkSession)
+    table = work.store(shingle_sets(docs, threshold, size, id_col, text_col))
     real = table.where("n > 0 and id is not null")
-    classes = stored(real.groupBy("d1", "d2", "n").agg(F.min(F.col("id").cast("long")).alias("rep"), F.first("prefix").alias("prefix")))
-    ties = stored(candidates(classes.where(F.size("prefix") > 0).select(F.col("rep").alias("id"), "n", "prefix"), threshold))
-    groups = components(ties).join(classes.select(F.col("rep").alias("id"), "n"), "id")
+    classes = work.store(real.groupBy("d1", "d2", "n").agg(F.min(F.col("id").cast("long")).alias("rep"), F.first("prefix").alias("prefix"), F.count("*").alias("copies")))
+    ties = work.store(candidates(classes.where(F.size("prefix") > 0).select(F.col("rep").alias("id"), "n", "prefix"), work, threshold))
+    groups = components(ties, keep=work).join(classes.select(F.col("rep").alias("id"), "n", "copies"), "id")
     # bands by size: partners are in the same band or the next; each band is checked against itself and the next
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("long")
     groups = groups.withColumn("band", band)
-    sizes = groups.groupBy("component", "band").agg(F.count("*").alias("k"))
+    # sets of a band are about equally large: a slice has at most BLOCK of them and about BLOCK_SHINGLES shingles
+    slice_of = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_SHINGLES / F.max("n"))))
+    sizes = groups.groupBy("component", "band").agg(F.ceil(F.count("*") / slice_of).cast("int").alias("k"))
     groups = groups.join(sizes, ["component", "band"])
-    parts = lambda k: F.ceil(F.col(k) / BLOCK).cast("int")
     below = sizes.select("component", (F.col("band") + 1).alias("band"), F.col("k").alias("k_below"))
     above = sizes.select("component", (F.col("band") - 1).alias("band"), F.col("k").alias("k_above"))
     spread = groups.join(below, ["component", "band"], "left").join(above, ["component", "band"], "left")
-    spread = spread.withColumn("slot", F.pmod(F.xxhash64("id"), parts("k").cast("long")).cast("int"))
-    # a tile holds two slices of a band, or a slice each of a band and of the next; small neighbours share one tile
+    spread = spread.withColumn("slot", F.pmod(F.xxhash64("id"), F.col("k").cast("long")).cast("int"))
+    # a tile holds two slices of a band, or a slice each of a band and of the next; neighbours of one slice share a tile
     tile = lambda band, kind, p, q, own: (F.struct("component", band.alias("band")).alias("block"), F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q")).alias("part"), own.alias("own"))
-    every = lambda k: F.explode(F.sequence(F.lit(0), parts(k) - 1)).alias("t")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)).alias("t")
     own, t, slot, here = F.lit(True), F.col("t"), F.col("slot"), F.col("band")
-    inside = spread.select("*", every("k")).select("id", *tile(here, 0, F.least(slot, t), F.greatest(slot, t), slot <= t))
-    small = lambda other: (F.col("k") <= BLOCK) & (F.col(other) <= BLOCK)
-    host = spread.where(F.col("k_above").isNotNull() & ~small("k_above")).select("*", every("k_above")).select("id", *tile(here, 1, slot, t, own))
-    guest = spread.where(F.col("k_below").isNotNull() & ~small("k_below")).select("*", every("k_below")).select("id", *tile(here - 1, 1, t, slot, ~own))
-    near = spread.where(small("k_below")).select("id", *tile(here - 1, 0, F.lit(0), F.lit(0), ~own))
+    inside = spread.select("*", every("k")).select("id", "copies", *tile(here, 0, F.least(slot, t), F.greatest(slot, t), slot <= t))
+    small = lambda other: (F.col("k") == 1) & (F.col(other) == 1)
+    host = spread.where(F.col("k_above").isNotNull() & ~small("k_above")).select("*", every("k_above")).select("id", "copies", *tile(here, 1, slot, t, own))
+    guest = spread.where(F.col("k_below").isNotNull() & ~small("k_below")).select("*", every("k_below")).select("id", "copies", *tile(here - 1, 1, t, slot, ~own))
+    near = spread.where(small("k_below")).select("id", "copies", *tile(here - 1, 0, F.lit(0), F.lit(0), ~own))
     routes = inside.union(host).union(guest).union(near)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    links = stored(link_blocks(routes.join(texts, "id").select("block", "part", "own", "id", "text"), threshold, size))
-    linked = components(links).withColumnRenamed("id", "rep")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    found = work.store(link_blocks(routes.join(texts, "id").select("block", "part", "own", "id", "copies", "text"), threshold, size))
+    linked = components(found.where("b is not null"), keep=work).withColumnRenamed("id", "rep")
+    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     # classes that share an id (repeated ids with different texts) and equal sets meet through the least id of the class
-    whole = classes.join(linked, "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("c"))
-    out = table.join(whole, ["d1", "d2", "n"], "left")
+    whole = classes.join(linked, "rep", "left").join(counts, "rep", "left")
+    whole = whole.select("d1", "d2", "n", F.coalesce("component", "rep").alias("c"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    out = table.drop("prefix").join(whole, ["d1", "d2", "n"], "left")
     kind = docs.schema[id_col].dataType.simpleString()
     component = F.when(F.col("id").isNotNull(), F.coalesce(F.col("c").cast(kind), F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    links = F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    out = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), links.alias("n_links")))
+    work.clear()
+    return out
 
 
 def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
