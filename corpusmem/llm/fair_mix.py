@@ -55,22 +55,15 @@ def reachable(copies: DataFrame, total: int) -> DataFrame:
     return copies.join(F.broadcast(slots.where(2 * F.col("before") < 3 * total)), "slot")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, size, source_size, target, taken[, copies and the columns of `keep`]) for every row of docs.
+def _taken(docs: DataFrame, weights: tuple[int, ...], seed: str, id_col: str, source_col: str, text_col: str, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows (row, id, source, size, hash, uid), sources with targets, and what the mix takes: (uid, taken, copies).
 
-    Documents of a source stand in order of md5(id, seed), twice over (a document may be taken twice at most). A copy's
-    virtual finish time is its source's words up to its end divided by the source's target. Copies are put in ranges of
-    that time, and the mix takes them in global order of (time, source, hash, id, copy) up to 150 % of all words: words
-    before a range come from the ranges' sums, words within it from a window, so neither a hot source nor the global
-    order is ever one task. Words before a document in its source come the same way, by ranges of the hash.
-
-    Null texts have size 0 and are taken 0 words; a null source is a source of its own, the last; null ids are hashed as
-    the empty text; repeated rows are documents of their own. An empty table gives an empty one. Other columns are read
-    only if they are in `keep`.
+    row holds all columns of docs if `whole`; whatever their names, they meet none of ours. All three are stored tables.
     """
-    cols = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in keep]]
-    rows = docs.select(*cols).withColumn("hash", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(seed)).cast("binary")))
-    rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if whole else F.lit(None)
+    rows = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
+    rows = rows.withColumn("hash", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(seed)).cast("binary")))
+    rows = stored((rows if whole else rows.drop("row")).withColumn("uid", F.monotonically_increasing_id()))
     sources = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights))
     known = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).select("id", "uid", "size", "hash", "rank", "source_size", "target").withColumn("range", F.substring("hash", 1, 4))
     ranges = known.groupBy("rank", "range").agg(F.sum("size").alias("own"))
@@ -84,6 +77,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix",
     order = W.partitionBy("slot").orderBy("finish", "rank", "hash", "id", "uid", "copy").rowsBetween(W.unboundedPreceding, 0)
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
     mixed = reachable(copies, total).withColumn("in_slot", F.sum("size").over(order)).where(2 * (F.col("before") + F.col("in_slot")) <= 3 * total)
-    taken = mixed.groupBy("uid").agg(F.sum("size").alias("taken"), F.count("*").alias("copies"))
+    taken = stored(mixed.groupBy("uid").agg(F.sum("size").alias("taken"), F.count("*").alias("copies")))
+    return rows, sources, taken
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(id, size, source_size, target, taken) for every row of docs.
+
+    Documents of a source stand in order of md5(id, seed), twice over (a document may be taken twice at most). A copy's
+    virtual finish time is its source's words up to its end divided by the source's target. Copies are put in ranges of
+    that time, and the mix takes them in global order of (time, source, hash, id, copy) up to 150 % of all words: words
+    before a range come from the ranges' sums, words within it from a window, so neither a hot source nor the global
+    order is ever one task. Words before a document in its source come the same way, by ranges of the hash.
+
+    Null texts have size 0 and are taken 0 words; a null source is a source of its own, the last; null ids are hashed as
+    the empty text; repeated rows are documents of their own. An empty table gives an empty one. Other columns are not
+    read, so clashing names do no harm.
+    """
+    rows, sources, taken = _taken(docs, weights, seed, id_col, source_col, text_col, False)
     out = rows.join(taken, "uid", "left").join(sources.withColumnRenamed("source", "s"), rows["source"].eqNullSafe(F.col("s")))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *([F.coalesce("copies", F.lit(0)).cast("long").alias("copies"), *[F.col(f"keep_{c}").alias(c) for c in keep]] if keep else []))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows that the mix takes, with all columns of docs and no other; a document taken twice is two rows.
+
+    Columns may have any names, `size` or `taken` among them: they travel in a struct. See mix() for the other cases.
+    """
+    rows, _, taken = _taken(docs, weights, seed, id_col, source_col, text_col, True)
+    out = rows.select("uid", "row").join(taken.select("uid", "copies"), "uid")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
