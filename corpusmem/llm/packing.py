@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
 def pack(parts: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
     """Adds sequence_id and offset to a table of pieces (id, start, length, ...).
 
-    Pieces are dealt by hash to shards of about SHARD_WINDOWS windows, whose number follows the total; in a shard, full
+    Pieces are dealt by a hash of id, start and row to shards of about SHARD_WINDOWS windows, whose number follows the total; in a shard, full
     pieces stand alone and the others are packed by differencing. A shard's size is bounded however skewed documents or
     sources are, since a piece has at most `capacity` tokens. Repeated rows are pieces of their own. An empty table
     gives an empty one.
@@ -145,7 +145,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
         shard = key[0].as_py()
         return table.append_column("sequence_id", pa.array(shard * (1 << 24) + window, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    shard = F.pmod(F.xxhash64(F.col(id_col).cast("string"), "start", "ids_crc32"), F.lit(shards)).alias("__shard")
+    # the row's place in the stored table spreads repeated rows too
+    shard = F.pmod(F.xxhash64(F.col(id_col).cast("string"), "start", F.monotonically_increasing_id()), F.lit(shards)).alias("__shard")
     return parts.groupBy(shard).applyInArrow(run, schema)
 
 
