@@ -15,16 +15,23 @@ SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 #: Training uses at most about this many labelled rows of each language, chosen by a hash of the id.
 SAMPLE_PER_LANG = 4_000
+#: Longer texts are counted in slices of so many characters, and scored by their counts.
+SLICE = 100_000
 #: A model of more labels than this is refused: its matrix is broadcast, 64 Ki doubles a label.
 MAX_LABELS = 256
 _U = np.uint32
 
 
-def _grams(text: str) -> np.ndarray:
-    """Buckets of all character n-grams of the lower-cased text, a space on either side."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
+def _codes(text: str) -> np.ndarray:
+    """Code points of the lower-cased text, a space on either side."""
+    return np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
+
+
+def _grams(codes: np.ndarray, last: bool = True) -> np.ndarray:
+    """Buckets of all character n-grams that begin in codes; not the last: only those that begin before its last 3."""
+    longest = max(SIZES)
     out, h = [], np.zeros(len(codes), np.uint32)
-    for k in range(max(SIZES)):
+    for k in range(longest):
         m = len(codes) - k
         if m <= 0:
             break
@@ -32,10 +39,22 @@ def _grams(text: str) -> np.ndarray:
         h = h ^ (h >> _U(15))
         if k + 1 in SIZES:
             g = (h + _U(k * 0x9E3779B1 & 0xFFFFFFFF)) * _U(0xC2B2AE35)
-            out.append((g ^ (g >> _U(16))) & _U(BUCKETS - 1))
+            g = (g ^ (g >> _U(16))) & _U(BUCKETS - 1)
+            out.append(g if last else g[: len(codes) - longest + 1])
     return np.concatenate(out)
 
 
+def gram_counts(text: str) -> np.ndarray:
+    """Counts of all buckets of a text, in slices: memory doesn't follow its length beyond that of its code points."""
+    codes, sums = _codes(text), np.zeros(BUCKETS, np.int64)
+    for a in range(0, len(codes), SLICE):
+        b = a + SLICE + max(SIZES) - 1
+        sums += np.bincount(_grams(codes[a:b], b >= len(codes)), minlength=BUCKETS)
+        if b >= len(codes):
+            break
+    return sums
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -79,7 +98,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for b in batches:
             for l, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if has_letter(t):
-                    sums[index[l]] += np.bincount(_grams(t), minlength=BUCKETS)
+                    sums[index[l]] += gram_counts(t)
         at = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(sums[at], pa.int64())], ["l", "b", "n"])
 
@@ -109,38 +128,46 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.nd
             rows.clear(), parts.clear(), sizes.clear()
 
     for i, t in enumerate(texts):
-        if has_letter(t):
-            g = _grams(t)
-            rows.append(i), parts.append(g), sizes.append(len(g))
-            held += len(g)
-            if held > 500_000:
-                flush()
-                held = 0
+        if not has_letter(t):
+            continue
+        if len(t) > SLICE:
+            sums = gram_counts(t) @ model.matrix + model.prior
+            best = int(sums.argmax())
+            langs[i], scores[i] = model.langs[best], 1 / np.exp(sums - sums[best]).sum()
+            continue
+        g = _grams(_codes(t))
+        if held + len(g) > 500_000:
+            flush()
+            held = 0
+        rows.append(i), parts.append(g), sizes.append(len(g))
+        held += len(g)
     flush()
     return langs, scores
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' columns with lang_pred and score appended; only the text is an input of the prediction.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs' columns with the predicted language and its posterior appended; only the text is an input of the prediction.
 
     A null text or one without a letter gives `und` with score 0. Ties go to the first language in code point order.
-    Existing columns lang_pred and score are replaced. The matrix is broadcast; its size is bounded by MAX_LABELS.
+    `into` names the two columns; a column of docs with one of these names is an error. The matrix is broadcast; its
+    size is bounded by MAX_LABELS. Repeated rows give repeated results.
     """
-    docs = docs.drop("lang_pred", "score")
+    if clash := set(into) & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} exist; name others by `into`")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    names = [*docs.columns, "lang_pred", "score"]
+    names = [*docs.columns, *into]
 
     def run(batches):
         for b in batches:
             langs, scores = score_texts(shared.value, b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
-    return docs.mapInArrow(run, extended(docs.schema, lang_pred="string", score="double"))
+    return docs.mapInArrow(run, extended(docs.schema, **{into[0]: "string", into[1]: "double"}))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Trains on the labelled rows outside the held-out fold and predicts every row: (id, held_out, lang_pred, score)."""
     model = train(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("__text"))
-    return predict(rows, model, id_col, "__text").drop("__text")
+    return predict(rows, model, "__text").drop("__text")
