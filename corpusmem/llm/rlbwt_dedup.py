@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmem.llm.util import extended, gram_hashes, mix, range_hashes, slices, stored, text_bytes, utf8
+from corpusmem.llm.util import Work, extended, gram_hashes, mix, range_hashes, slices, stored, text_bytes, utf8
 
 LENGTH = 50
 GRAM = 20
@@ -64,7 +64,12 @@ def passages(data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.
     """For anchors at `at`: their document, and the passage [begin, end) around each, with a hash of it."""
     doc = np.searchsorted(offsets, at, "right") - 1
     begin, end = np.maximum(at - _REACH, offsets[doc]), np.minimum(at + LENGTH, offsets[doc + 1])
-    return doc, begin, end, mix(range_hashes(data, begin, end) ^ mix((at - begin).astype(np.uint64)))
+    return doc, begin, end, passage_hashes(data, begin, end, at)
+
+
+def passage_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each passage's bytes and of where its anchor stands in it; at most 80 bytes, so patterns don't break the hash."""
+    return mix(range_hashes(data, begin, end) ^ mix((at - begin).astype(np.uint64)))
 
 
 def repeated_windows(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
@@ -142,14 +147,14 @@ def _firsts(doc: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> np.ndarray:
 
 
 def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, text, spans[, long columns of `keep`]): text as read, spans an array of (start, end) byte ranges to remove, ascending and apart.
+    """(id, text, spans[, the columns of `keep`]): text as read, spans an array of (start, end) byte ranges to remove, ascending and apart.
 
     Null texts are empty; texts below 50 bytes have no window and keep everything; a window that repeats only inside its
     own document stays. Rows with one id count as one document: neither repeats the other. Rows with a null id come
     before all ids, as one document. Chunks and buckets follow the total of bytes, and documents are dealt by hash, so
     neither a hot source nor a group of copies lands in one task; a passage of thousands of copies is sent once a chunk.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).cast("long").alias(f"keep_{k}") for k, c in enumerate(keep)])
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"keep_{k}") for k, c in enumerate(keep)])
     kept = [f"keep_{k}" for k in range(len(keep))]
     total = text_bytes(rows)
     chunks, buckets = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // BUCKET_BYTES))
@@ -235,35 +240,37 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         table, ids, parts, doc, prints, first, slice_of = gather(table, known(repeated))
         out = []
         base = 0
-        for k, (_, part, _, begin, end, _, pr, h) in enumerate(parts):
+        for k, (_, part, _, begin, end, at, pr, h) in enumerate(parts):
             raw = part.tobytes()
             mine = first[slice_of[first] == k] - base
             bucket = (h[mine] % np.uint64(buckets)).astype(np.int64)
             for b in np.unique(bucket):
                 j = mine[bucket == b]
-                lengths = (end[j] - begin[j]).astype(np.uint8)
-                out.append((int(b), int(key[0].as_py()), b"".join(raw[x:y] for x, y in zip(begin[j].tolist(), end[j].tolist(), strict=True)), lengths.tobytes(), pr[j].tobytes(), ids[doc[base + j]].astype(np.int64).tobytes(), h[j].tobytes()))
+                lengths, places = (end[j] - begin[j]).astype(np.uint8), (at[j] - begin[j]).astype(np.uint8)
+                out.append((int(b), int(key[0].as_py()), b"".join(raw[x:y] for x, y in zip(begin[j].tolist(), end[j].tolist(), strict=True)), lengths.tobytes(), places.tobytes(), ids[doc[base + j]].astype(np.int64).tobytes()))
             base += len(pr)
-        names = ["bucket", "chunk", "bytes", "lengths", "prints", "ids", "anchors"]
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-        return pa.table([pa.array([x[k] for x in out], kinds[k]) for k in range(7)], names)
+        names = ["bucket", "chunk", "bytes", "lengths", "places", "ids"]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        return pa.table([pa.array([x[k] for x in out], kinds[k]) for k in range(6)], names)
 
     dealt = rows.withColumn("chunk", chunk)
-    sent = stored(dealt.select("id", "text", "chunk").groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, bytes binary, lengths binary, prints binary, ids binary, anchors binary"))
+    work = Work(docs.sparkSession)  # gone once the marks are stored
+    sent = work.store(dealt.select("id", "text", "chunk").groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, bytes binary, lengths binary, places binary, ids binary"))
 
     def index(key, table):
         chunk_of = np.concatenate([np.full(len(x), c, np.int64) for c, x in zip(table.column("chunk").to_pylist(), table.column("lengths").to_pylist(), strict=True)])
         lengths = np.frombuffer(b"".join(table.column("lengths").to_pylist()), np.uint8).astype(np.int64)
-        prints = np.frombuffer(b"".join(table.column("prints").to_pylist()), np.uint64)
         ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
         raw = b"".join(table.column("bytes").to_pylist())
         ends = np.cumsum(lengths)
+        data, at = np.frombuffer(raw, np.uint8), ends - lengths + np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint8)
+        prints = passage_hashes(data, ends - lengths, ends, at)
         order = np.lexsort((ids, prints))
         new = np.concatenate([[True], prints[order][1:] != prints[order][:-1]])
         first = order[new]
         least = ids[first]
         # an anchor of one distinct passage has nothing to compare: only its copies repeat
-        anchor = np.frombuffer(b"".join(table.column("anchors").to_pylist()), np.uint64)[first]
+        anchor = range_hashes(data, at[first], at[first] + GRAM)
         _, which, times = np.unique(anchor, return_inverse=True, return_counts=True)
         mixed = np.flatnonzero(times[which] > 1)
         masks = np.zeros(len(first), np.uint64)
@@ -281,6 +288,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.table({"chunk": pa.array([x[0] for x in out], pa.int32()), "prints": pa.array([x[1] for x in out], pa.binary()), "masks": pa.array([x[2] for x in out], pa.binary())})
 
     marks = stored(sent.groupBy("bucket").applyInArrow(index, "chunk int, prints binary, masks binary"))
+    work.clear()
     # each chunk reads its anchors and its marks together
     both = repeated.select("chunk", "h", F.lit(None).cast("binary").alias("prints"), F.lit(None).cast("binary").alias("masks")).unionByName(marks.select("chunk", F.lit(None).cast("binary").alias("h"), "prints", "masks"))
 
@@ -334,7 +342,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         got = pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], kind)
         return pa.table([table.column("id"), table.column("no_id"), text, got, *[table.column(c) for c in kept]], ["id", "no_id", "text", "spans", *kept])
 
-    out = dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(cut, ", ".join(["id long, no_id boolean, text string, spans array<struct<start:long,end:long>>", *[f"{c} long" for c in kept]]))
+    out = dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(cut, extended(rows.select("id", "no_id", "text").schema, spans="array<struct<start:long,end:long>>", **{c: rows.schema[c].dataType for c in kept}))
     kind = docs.schema[id_col].dataType.simpleString()
     return out.select(F.when(~F.col("no_id"), F.col("id")).cast(kind).alias(id_col), F.col("text").alias(text_col), "spans", *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)])
 
