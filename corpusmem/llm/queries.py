@@ -110,15 +110,19 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
-_TREE = """array_to_string(list_transform(regexp_split_to_array({t}, '\\n\\n+'), lambda s: array_to_string(list_transform(string_split(s, chr(10)), lambda p: array_to_string(
+_TREE = """array_to_string(list_transform(string_split({t}, chr(10) || chr(10)), lambda s: array_to_string(list_transform(string_split(s, chr(10)), lambda p: substr(sha256(p), 1, 32) || array_to_string(
   list_transform(list_filter(string_split(regexp_replace(regexp_replace(p, '([.!?;:,dkz]) ', '\\1 ' || chr(1), 'g'), '([^' || chr(1) || '\\n]{{200}})', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda x: substr(md5(x), 1, 8)), '')), ',')), '|')"""
-_ROOT = """md5(array_to_string(list_transform(string_split({t}, '|'), lambda s: md5(array_to_string(list_transform(string_split(s, ','), lambda p: md5(p)), ''))), '')) || '/' || {t}"""
-_LEAVES = """list_distinct(regexp_extract_all(regexp_replace(substr({t}, 34), '[,|]', '', 'g'), '.{{8}}'))"""
-_NEAR = """CASE WHEN substr({a}, 1, 32) = substr({b}, 1, 32) THEN 1.0 WHEN len({x}) + len({y}) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"""
+_ROOT = """sha256(array_to_string(list_transform(string_split({t}, '|'), lambda s: sha256(array_to_string(list_transform(string_split(s, ','), lambda p: substr(p, 1, 32)), ''))), '')) || '/' || {t}"""
+_LEAVES = """regexp_extract_all(array_to_string(list_transform(string_split(replace(substr({t}, 66), '|', ','), ','), lambda p: substr(p, 33)), ''), '.{{8}}')"""
+# leaves in common, with repeats: by counts of each
+_BOTH = """(SELECT coalesce(sum(least(u.k, w.k)), 0) FROM (SELECT v, count(*) AS k FROM (SELECT unnest({x}) AS v) GROUP BY v) u JOIN (SELECT v, count(*) AS k FROM (SELECT unnest({y}) AS v) GROUP BY v) w USING (v))"""
+_NEAR = """CASE WHEN substr({a}, 1, 64) = substr({b}, 1, 64) THEN 1.0 ELSE 2.0 * {both} / (len({x}) + len({y}) + 2) END"""
+_EDITS = """array_to_string(flatten(list_transform(list_filter(range(1, greatest(len(sa), len(sb)) + 1), lambda i: sa[i] IS DISTINCT FROM sb[i]), lambda i: list_transform(
+  list_filter(range(1, greatest(coalesce(len(string_split(sa[i], ',')), 0), coalesce(len(string_split(sb[i], ',')), 0)) + 1), lambda j: string_split(sa[i], ',')[j] IS DISTINCT FROM string_split(sb[i], ',')[j]), lambda j: (i - 1) || '.' || (j - 1)))), ' ')"""
 
 
-def _near(a: str, b: str) -> str:
-    return f"CAST({_NEAR.format(a=a, b=b, x=_LEAVES.format(t=a), y=_LEAVES.format(t=b))} AS DOUBLE)"
+def _near(a: str, b: str, x: str, y: str) -> str:
+    return f"CAST({_NEAR.format(a=a, b=b, x=x, y=y, both=_BOTH.format(x=x, y=y))} AS DOUBLE)"
 
 
 _OP10 = f"""
@@ -126,8 +130,9 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT *, length(text) AS n_chars, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS nxt FROM d),
 e AS (SELECT doc_id, n_chars, text, nxt, substr(text, 1, n_chars - n_chars // 4) || substr(nxt, 1, n_chars // 4) AS edited FROM n),
 t AS (SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_TREE.format(t='text')} AS a, {_TREE.format(t='edited')} AS b, {_TREE.format(t='nxt')} AS c FROM e),
-f AS (SELECT doc_id, n_chars, edited_sha256, {_ROOT.format(t='a')} AS fingerprint, {_ROOT.format(t='b')} AS edited_fingerprint, {_ROOT.format(t='c')} AS next_print FROM t)
-SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256, fingerprint, edited_fingerprint, {_near('fingerprint', 'edited_fingerprint')} AS near_edited, {_near('fingerprint', 'next_print')} AS near_next FROM f
+f AS (SELECT doc_id, n_chars, edited_sha256, {_ROOT.format(t='a')} AS fingerprint, {_ROOT.format(t='b')} AS edited_fingerprint, {_ROOT.format(t='c')} AS next_print, string_split(a, '|') AS sa, string_split(b, '|') AS sb FROM t),
+v AS (SELECT *, {_LEAVES.format(t='fingerprint')} AS x, {_LEAVES.format(t='edited_fingerprint')} AS y, {_LEAVES.format(t='next_print')} AS z FROM f)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256, fingerprint, edited_fingerprint, {_near('fingerprint', 'edited_fingerprint', 'x', 'y')} AS near_edited, {_near('fingerprint', 'next_print', 'x', 'z')} AS near_next, {_EDITS} AS edits FROM v
 """
 
 
