@@ -2,8 +2,10 @@
 
 Pre-tokens are found for whole slices of documents with array operations, hashed, and looked up in a memo that starts
 with the vocabulary strings proven to be one token alone. Only pre-tokens never seen before go through the library's
-merges. Texts with rare characters (whose class or case may differ between Unicode versions) or with strings of special
-tokens go to the library whole, so results are always the library's.
+merges. A hash only finds a candidate: its characters are compared with those of the pre-token, within the slice and in
+the memo. Texts with rare characters (whose class or case may differ between Unicode versions), with strings of special
+tokens, with very long pre-tokens or with one whose hash another string has go to the library whole, so results are
+always the library's.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 MEMO = 600_000
 #: Bytes of text cut and hashed at once, and new pre-tokens given to the library at once.
 SLICE, NEW = 1_000_000, 4_096
+#: A text with a longer pre-token goes to the library whole.
+LONG = 64
 
 
 @lru_cache(maxsize=1)
@@ -80,6 +84,18 @@ def whole_tokens(path: str) -> list[tuple[str, int]]:
     return kept
 
 
+def _differ(a: np.ndarray, at: np.ndarray, lengths: np.ndarray, b: np.ndarray, bt: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether runs of a differ from runs of b, pair by pair."""
+    out = lengths != others
+    n = np.where(out, 0, lengths)
+    ends = np.cumsum(n)
+    place = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+    wrong = a[np.repeat((at - ends + n).astype(np.int32), n) + place] != b[np.repeat((bt - ends + n).astype(np.int32), n) + place]
+    if wrong.any():
+        out[np.searchsorted(ends, np.flatnonzero(wrong), "right")] = True
+    return out
+
+
 class Encoder:
     """Encodes Arrow string columns. words: the vocabulary of lower-cased words with ends; else byte-level pre-tokens."""
 
@@ -103,6 +119,7 @@ class Encoder:
         order = np.argsort(keys)
         self.keys, self.sizes, self.firsts = keys[order], np.ones(len(keys), np.int64), np.arange(len(keys))
         self.ids = np.array([i for _, i in self.start], np.uint32)[fit][one][order]
+        self.text, self.begins, self.lengths = codes.astype(np.uint16), at[:-1][one][order], np.diff(at)[one][order]
 
     def _hashes(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         up, down = powers(len(codes))
@@ -147,25 +164,38 @@ class Encoder:
             starts, ends = starts[keep], ends[keep]
         return starts, ends
 
-    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Memo entries of all pre-tokens of settled documents, and how many each document has."""
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Memo entries of all pre-tokens of settled documents, how many each document has, and which ones need the library."""
         codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
         if self.words:
             codes = self.low[codes]
         if not len(codes):
-            return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+            return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1, bool)
         starts, ends = self._cut(codes, at)
+        n = np.diff(np.searchsorted(starts, at))
+        doc = np.repeat(np.arange(len(n)), n)
+        bad = np.zeros(len(n), bool)
+        bad[doc[ends - starts > LONG]] = True
+        if bad.any():
+            keep = ~bad[doc]
+            starts, ends, doc = starts[keep], ends[keep], doc[keep]
         hashes = self._hashes(codes, starts, ends)
         order = np.argsort(hashes)
-        hashes = hashes[order]
-        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-        entry = self._entries(hashes[new], starts[order[new]], ends[order[new]], codes)
-        each = np.empty(len(order), np.int64)
-        each[order] = entry[np.cumsum(new) - 1]
-        return each, np.diff(np.searchsorted(starts, at))
-
-    def _entries(self, each: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]) if len(order) else np.zeros(0, bool)
+        first = order[new]
+        entry, wrong = self._entries(hashes[first], starts[first], ends[first], codes)
+        group = np.empty(len(order), np.int32)
+        group[order] = np.cumsum(new, dtype=np.int32) - 1
+        wrong = wrong[group] | _differ(codes, starts, ends - starts, codes, starts[first][group], (ends - starts)[first][group])
+        each = entry[group]
+        if wrong.any():
+            bad[doc[wrong]] = True
+            each = each[~bad[doc]]
+        return each, np.where(bad, 0, n), bad
+
+    def _entries(self, each: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Memo entries of distinct pre-tokens by their hashes, new ones added; and where another string has the hash."""
         if len(self.keys) > MEMO:
             self.forget()
         i = np.minimum(np.searchsorted(self.keys, each), max(0, len(self.keys) - 1))
@@ -177,14 +207,17 @@ class Encoder:
             for k in range(0, len(new), NEW):
                 some = new[k : k + NEW]
                 got += [e.ids for e in self.tok.encode_batch_fast([text[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in got], np.int64)
+            sizes, lengths = np.array([len(x) for x in got], np.int64), ends[new] - starts[new]
             keys = np.concatenate([self.keys, each[new]])
             order = np.argsort(keys, kind="stable")
             firsts = np.concatenate([self.firsts, len(self.ids) + np.cumsum(sizes) - sizes])
+            begins = np.concatenate([self.begins, len(self.text) + np.cumsum(lengths) - lengths])
             self.ids = np.concatenate([self.ids, np.array([y for x in got for y in x], np.uint32)])
+            self.text = np.concatenate([self.text, codes[np.repeat(starts[new] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())].astype(np.uint16)])
             self.keys, self.sizes, self.firsts = keys[order], np.concatenate([self.sizes, sizes])[order], firsts[order]
+            self.begins, self.lengths = begins[order], np.concatenate([self.lengths, lengths])[order]
             i = np.searchsorted(self.keys, each)
-        return i
+        return i, _differ(codes, starts, ends - starts, self.text, self.begins[i], self.lengths[i])
 
     def batches(self, column: pa.Array, want_ids: bool):
         """Yields (row range, token counts, ids or None), about SLICE bytes of text at a time; ids of all rows follow each other."""
@@ -195,9 +228,10 @@ class Encoder:
             if odd.any():
                 keep = np.repeat(~odd, np.diff(off))
                 lengths = np.where(odd, 0, np.diff(off))
-                entry, n = self._plain(part[keep], np.concatenate([[0], np.cumsum(lengths)]))
+                entry, n, bad = self._plain(part[keep], np.concatenate([[0], np.cumsum(lengths)]))
             else:
-                entry, n = self._plain(part, off)
+                entry, n, bad = self._plain(part, off)
+            odd |= bad
             docs = np.repeat(np.arange(b - a), n)
             sizes = self.sizes[entry]
             counts = np.bincount(docs, sizes, b - a).astype(np.int64)
