@@ -22,42 +22,38 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose text has a language: rejects null texts, texts without a letter and undecided ones.
 
-    lang becomes the predicted language. The model is trained on the labelled rows of its own input, all folds.
+    lang becomes the predicted language. The model is trained on the labelled rows of its own input, all folds; without
+    labelled rows nothing has a language. Repeated rows fare alike; other columns stay, whatever their names.
     """
-    names = docs.columns
-    found = lang_id.predict(docs, lang_id.train(docs))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred").cast(docs.schema["lang"].dataType)).select(names)
+    found = lang_id.predict(docs, lang_id.train(docs), into=("__lang", "__score"))
+    kept = found.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_SCORE))
+    return kept.withColumn("lang", F.col("__lang").cast(docs.schema["lang"].dataType)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at five-word shingles and a similarity of 0.8 stays, the one with the least id."""
+    """One document of each group at five-word shingles and a similarity of 0.8 stays, the one with the least id.
+
+    Null ids and texts without a word stay; rows that repeat the id that stays are kept as they are.
+    """
     return jaccard_join.keep_one(docs, threshold=(80, 100), size=5)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 bytes or more that a document with a smaller id has; all documents stay, n_chars follows.
 
-    Texts are cut where they are marked and meet the other columns of their row by id.
+    Null texts become empty; rows with one id don't repeat each other; other columns stay, whatever their names.
     """
-    names = docs.columns
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    keyed = rows.select(F.col("__row"), F.col("doc_id"), "text")
-    cut = rlbwt_dedup.without_repeats(rlbwt_dedup.mark_repeats(keyed, keep=("__row",)))
-    rest = rows.drop("text", "n_chars").join(cut.select("__row", "text"), "__row")
-    kind = docs.schema["n_chars"].dataType
-    return rest.withColumn("n_chars", F.length("text").cast(kind)).select(names)
+    cut = rlbwt_dedup.without_repeats(rlbwt_dedup.mark_repeats(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text"))))
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents, up to twice each, by the mix; a document taken twice is two rows."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    mixed = fair_mix.mix(docs, keep=rest)
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    """Takes documents, up to twice each, by the mix; a document taken twice is two rows. Texts without a word go."""
+    return fair_mix.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens: one row a piece."""
+    """Packs what is left into sequences of 2048 tokens: one row a piece. A document taken twice is packed twice."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
