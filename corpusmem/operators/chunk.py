@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import islice
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,58 +18,81 @@ from corpusmem.functions.text import mangled, summary, token_set, trim
 _HEADING = r"\A[^\S\n]*#{1,6}[^\S\n]"
 
 
+_SECTIONS = "array<struct<section:int,title:string,line:int,body:string>>"
+
+
+def section_array(text: Column) -> Column:
+    """The sections of a text in order: headings start them, a preamble is one without title; blank ones go.
+
+    Texts are cut by one regular expression at heading lines; line numbers are summed along the array, so no text is
+    shuffled for them.
+    """
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
+
+    def add(acc: Column, raw: Column) -> Column:
+        heading = trim(F.regexp_replace(F.regexp_extract(raw, r"\A([^\n]*)", 1), F.lit(rf"\A{WS}*#{{1,6}}{WS}*"), F.lit("")))
+        own = F.struct(F.size(acc["s"]).alias("section"), F.when(raw.rlike(_HEADING), heading).otherwise("").alias("title"), acc["line"].alias("line"), trim(raw).alias("body"))
+        lines = F.length(raw) - F.length(F.replace(raw, F.lit("\n")))
+        return F.struct(F.array_append(acc["s"], own).alias("s"), (acc["line"] + lines).cast("int").alias("line"))
+
+    start = F.struct(F.array().cast(_SECTIONS).alias("s"), F.lit(1).alias("line"))
+    return F.filter(F.aggregate(F.split(plain, r"(?<=\n)(?=[^\S\n]*#{1,6}[^\S\n])"), start, add)["s"], lambda s: s["body"] != "")
+
+
 def sections(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """(key, section, title, line, body): headings start sections, a preamble is a section without title; blank ones go.
+    """(key, section, title, line, body): see section_array."""
+    return docs.select(key, F.inline(section_array(F.col(text))))
+
 
-    Texts are cut by one regular expression at heading lines; only section lengths in lines are summed within a document.
+def cuts(text: str, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of a long text's chunks, white space at their ends left out.
+
+    A chunk ends at the last blank line within the limit, or else the last space, or else at the limit; breaks in its
+    first half don't count. The places of all breaks are found once.
     """
-    plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    parts = docs.select(key, F.posexplode(F.split(plain, r"(?<=\n)(?=[^\S\n]*#{1,6}[^\S\n])")).alias("section", "raw"))
-    lines = F.length("raw") - F.length(F.replace("raw", F.lit("\n")))
-    before = W.partitionBy(key).orderBy("section").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumn("line", (F.coalesce(F.sum(lines).over(before), F.lit(0)) + 1).cast("int"))
-    first = F.regexp_extract("raw", r"\A([^\n]*)", 1)
-    title = F.when(F.col("raw").rlike(_HEADING), trim(F.regexp_replace(first, F.lit(rf"\A{WS}*#{{1,6}}{WS}*"), F.lit("")))).otherwise("")
-    return parts.select(key, "section", title.alias("title"), "line", trim(F.col("raw")).alias("body")).where("body <> ''")
+    breaks = [[m.start() for m in re.finditer(p, text)] for p in ("(?=\n\n)", " ")]
+    solid = re.compile(rf"[^{re.escape(WS_CHARS)}]")
+    end_of = re.compile(rf"[{re.escape(WS_CHARS)}]*\Z")
+    begin = 0
+    while len(text) - begin > limit:
+        found = (places[i] for places in breaks if (i := bisect_right(places, begin + limit) - 1) >= 0)
+        end = next((at for at in found if at - begin >= limit / 2), begin + limit)
+        stop = begin + len(text[begin:end].rstrip(WS_CHARS))
+        if stop > begin:
+            yield begin, stop
+        onward = solid.search(text, end)
+        begin = onward.start() if onward else len(text)
+    if begin < len(text):
+        yield begin, end_of.search(text, begin).start()
 
 
 def split_block(block: str, line: int, chunk_chars: int, max_chunks: int) -> list[dict]:
-    """Cuts a long block at blank lines, else spaces, else anywhere; a cut before the middle of a chunk is not taken."""
+    """The chunks of a long block with their first lines; a break between chunks counts as one line."""
     out = []
-    while len(block) > chunk_chars and len(out) <= max_chunks:
-        at = block.rfind("\n\n", 0, chunk_chars + 2)
-        if at < chunk_chars * 0.5:
-            at = block.rfind(" ", 0, chunk_chars + 1)
-        if at < chunk_chars * 0.5:
-            at = chunk_chars
-        part = block[:at].strip(WS_CHARS)
-        if part:
-            out.append({"text": part, "line": line})
-        line += part.count("\n") + 1
-        block = block[at:].strip(WS_CHARS)
-    if block:
-        out.append({"text": block, "line": line})
+    for begin, end in islice(cuts(block, chunk_chars), max_chunks + 1):
+        out.append({"text": block[begin:end], "line": line})
+        line += block.count("\n", begin, end) + 1
     return out
 
 
 def chunks(docs: DataFrame, chunk_chars: int = 3000, max_chunks: int = 40, key: str = "path", text: str = "text") -> DataFrame:
     """(key, chunk, title, text, line): the first max_chunks chunks of each document; sizes below 1 mean the defaults.
 
-    Sections within the limit pass as they are; only longer ones enter the Arrow function.
+    Sections and chunks are numbered within the document's row, so there is no shuffle. Only documents with a section
+    over the limit enter the Arrow function. Repeated rows are documents of their own.
     """
     chunk_chars, max_chunks = (int(v) if v and v >= 1 else d for v, d in ((chunk_chars, 3000), (max_chunks, 40)))
-    found = sections(docs, key, text)
-
-    @F.pandas_udf("array<struct<text:string,line:int>>")
-    def cut(body: pd.Series, line: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else split_block(b, int(n), chunk_chars, max_chunks) for b, n in zip(body, line, strict=True)])
-
-    long = F.length("body") > chunk_chars
-    whole = F.array(F.struct(F.col("body").alias("text"), "line"))
-    parts = F.coalesce(cut(F.when(long, F.col("body")), F.col("line")), whole)
-    rows = found.select(key, "section", "title", F.posexplode(parts).alias("k", "c"))
-    nth = F.row_number().over(W.partitionBy(key).orderBy("section", "k"))
-    return rows.withColumn("chunk", nth - 1).where(F.col("chunk") < max_chunks).select(key, "chunk", "title", F.col("c.text").alias("text"), F.col("c.line").alias("line"))
+
+    @F.pandas_udf("array<struct<title:string,text:string,line:int>>")
+    def cut(found: pd.Series) -> pd.Series:
+        parts = lambda s: split_block(s["body"], s["line"], chunk_chars, max_chunks) if len(s["body"]) > chunk_chars else [{"text": s["body"], "line": s["line"]}]
+        return pd.Series([None if own is None else [{"title": s["title"], **c} for s in own for c in parts(s)][:max_chunks] for own in found])
+
+    long = F.exists("s", lambda s: F.length(s["body"]) > chunk_chars)
+    whole = F.transform("s", lambda s: F.struct(s["title"].alias("title"), s["body"].alias("text"), s["line"].alias("line")))
+    rows = docs.select(key, section_array(F.col(text)).alias("s"))
+    rows = rows.select(key, F.posexplode(F.slice(F.coalesce(cut(F.when(long, F.col("s"))), whole), 1, max_chunks)).alias("chunk", "c"))
+    return rows.select(key, "chunk", F.col("c.title").alias("title"), F.col("c.text").alias("text"), F.col("c.line").alias("line"))
 
 
 def doc_entries(chunked: DataFrame, key: str = "path") -> DataFrame:

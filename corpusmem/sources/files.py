@@ -21,7 +21,8 @@ CODE = tuple(x for group in LANGUAGES.values() for x in group) + OTHER_CODE
 class TreeSource(DataSource):
     """`spark.read.format("filetree").load(root)`: all files below a root that every executor can see.
 
-    Options: content ("true": with bytes), depth (levels of directories that become partitions, 2). Unlike Spark's own
+    Options: content ("true": with bytes), maxMb (larger files have no content, 0: any size), depth (levels of directories
+    that become partitions, 2). Unlike Spark's own
     file source it returns names that start with an underscore. Unreadable directories are passed over; links to
     directories are not followed.
     """
@@ -47,6 +48,7 @@ class TreeReader(DataSourceReader):
         self.root = options["path"].removeprefix("file://").rstrip("/") or "/"
         self.content = options.get("content", "false").lower() == "true"
         self.depth = int(options.get("depth", "2"))
+        self.most = float(options.get("maxMb", "50")) * 1024 * 1024
 
     def _list(self, path: str) -> tuple[list[os.DirEntry], list[os.DirEntry]]:
         try:
@@ -57,6 +59,14 @@ class TreeReader(DataSourceReader):
         dirs = [e for e in entries if e.is_dir(follow_symlinks=False) and e.name not in IGNORED]
         return dirs, [e for e in entries if e.is_file()]
 
+    def _content(self, path: str, size: int) -> bytes | None:
+        """None for a file over the cap (a file that grew meanwhile, too)."""
+        if self.most and size > self.most:
+            return None
+        with open(path, "rb") as f:
+            found = f.read(int(self.most) + 1) if self.most else f.read()
+        return None if self.most and len(found) > self.most else found
+
     def partitions(self) -> list[InputPartition]:
         out, level = [], [self.root]
         for _ in range(self.depth):
@@ -73,15 +83,16 @@ class TreeReader(DataSourceReader):
             for f in files:
                 try:
                     s = f.stat()
-                    content = open(f.path, "rb").read() if self.content else None
+                    content = self._content(f.path, s.st_size) if self.content else None
                 except OSError:
                     continue
                 yield os.path.relpath(f.path, self.root).replace(os.sep, "/"), datetime.fromtimestamp(s.st_mtime, timezone.utc), s.st_size, content
 
 
-def read_tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, content: bool = True, max_mb: float = 50) -> DataFrame:
+    """Files below a root; those over max_mb are listed without content."""
     spark.dataSource.register(TreeSource)
-    return spark.read.format("filetree").option("content", str(content).lower()).load(root)
+    return spark.read.format("filetree").option("content", str(content).lower()).option("maxMb", str(max_mb)).load(root)
 
 
 def listed(path: Column) -> Column:
@@ -125,9 +136,9 @@ def rejected(listing: DataFrame, max_mb: float) -> DataFrame:
 
 
 def read_texts(listing: DataFrame, max_mb: float = 50) -> DataFrame:
-    """(path, size, sha256, text) of files within the cap."""
+    """(path, size, sha256, text) of files within the cap; bytes that aren't UTF-8 become replacement characters."""
     rows = listing.where(F.col("content").isNotNull() & ~oversize(F.col("size"), max_mb))
-    return rows.select("path", "size", F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
+    return rows.select("path", "size", F.sha2("content", 256).alias("sha256"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 # Marks of project roots.
