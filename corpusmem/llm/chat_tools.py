@@ -23,6 +23,23 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def parse(content: str | None):
+    """(arguments, True), or (content, False) where it isn't JSON, nests too deeply, or holds what JSON text can't say.
+
+    NaN and infinities, numbers beyond a double's range and lone surrogates are such; the content then stays as text.
+    """
+    try:
+        value = json.loads(content or "", parse_constant=_no_constant)
+        json.dumps(value, ensure_ascii=False, allow_nan=False).encode("utf-8")
+        return value, True
+    except (ValueError, RecursionError):  # UnicodeEncodeError is a ValueError
+        return content, False
+
+
 def valid(value, schema: dict) -> bool:
     """Whether a value meets a schema (type, enum, required, properties, additionalProperties, items, lengths, bounds)."""
     kind = schema.get("type")
@@ -99,22 +116,27 @@ def calls_of_turns(conversations: DataFrame) -> DataFrame:
     )
 
 
+_COLUMNS = ("conv_id", "turn", "role", "kind", "call_id", "name", "content", "after")
+
+
 def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """(conv_id, n_calls, n_linked, n_valid, n_loose, chat): one canonical JSON string for each conversation.
 
     Calls meet results in a hash join by (conversation, identifier): the first result by turn answers the first call by
     turn; other calls stay without a result, other results and results without a call count as loose and are not in the
     chat. Calls stand in topological order of `after`, then plain messages are merged in by turn. Arguments are parsed
-    and held against the schema of the call's name; unknown names, malformed or null arguments are invalid and kept as
-    text. Null conversation ids form one conversation; null turns come first; repeated rows are kept; an empty table
-    gives an empty one. A conversation's calls and messages meet in one task, as they do in its output row.
+    and held against the schema of the call's name; unknown names, malformed or null arguments (see parse) are invalid and
+    kept as text. A row with a null conversation id is a conversation of its own, so such rows never meet in one task;
+    null turns come first; repeated rows are kept; an empty table gives an empty one; other columns are not read. A
+    conversation's calls and messages meet in one task, as they do in its output row.
     """
-    first = W.partitionBy("conv_id", "call_id").orderBy(F.col("turn").asc_nulls_first(), F.col("content").asc_nulls_first())
+    messages = messages.select(*_COLUMNS, F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).otherwise(0).alias("alone"))
+    first = W.partitionBy("conv_id", "alone", "call_id").orderBy(F.col("turn").asc_nulls_first(), F.col("content").asc_nulls_first())
     calls = messages.where("kind = 'call'").withColumn("nth", F.row_number().over(first))
     results = messages.where("kind = 'result'").withColumn("nth", F.row_number().over(first))
-    answer = results.where("nth = 1").select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.lit(1).alias("one"), F.struct("content").alias("result"))
-    on = calls["conv_id"].eqNullSafe(F.col("c")) & (calls["call_id"] == F.col("i")) & (calls["nth"] == F.col("one"))
-    linked = calls.join(answer.hint("shuffle_hash"), on, "left").select("conv_id", "turn", "role", "kind", "call_id", "name", "content", "after", "result")
+    answer = results.where("nth = 1 and conv_id is not null").select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.lit(1).alias("one"), F.struct("content").alias("result"))
+    on = (calls["conv_id"] == F.col("c")) & (calls["call_id"] == F.col("i")) & (calls["nth"] == F.col("one"))
+    linked = calls.join(answer.hint("shuffle_hash"), on, "left").select("conv_id", "turn", "role", "kind", "call_id", "name", "content", "after", "alone", "result")
     others = messages.where("kind <> 'call' or kind is null").withColumn("result", F.lit(None).cast("struct<content:string>"))
     rows = linked.unionByName(others.select(linked.columns))
     kind = messages.schema["conv_id"].dataType.simpleString()
@@ -126,11 +148,8 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         calls = [calls[i] for i in topological([r["call_id"] for r in calls], [r["after"] for r in calls])]
         out, n_valid = [], 0
         for r in calls:
-            try:
-                args = json.loads(r["content"] or "")
-                ok = r["name"] in schemas and valid(args, schemas[r["name"]])
-            except ValueError:
-                args, ok = r["content"], False
+            args, ok = parse(r["content"])
+            ok = ok and r["name"] in schemas and valid(args, schemas[r["name"]])
             n_valid += ok
             item = {"arguments": args, "id": r["call_id"], "name": r["name"], "turn": r["turn"], "valid": ok}
             out.append(item | ({"result": r["result"]["content"]} if r["result"] else {}))
@@ -147,7 +166,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         n = [len(calls), n_linked, n_valid, sum(r["kind"] == "result" for r in rows) - n_linked]
         return pa.table([pa.array([key[0].as_py()], table.schema.field("conv_id").type), *[pa.array([x], pa.int64()) for x in n], pa.array([text])], ["conv_id", "n_calls", "n_linked", "n_valid", "n_loose", "chat"])
 
-    return rows.groupBy("conv_id").applyInArrow(chat, f"conv_id {kind}, n_calls long, n_linked long, n_valid long, n_loose long, chat string")
+    return rows.groupBy("conv_id", "alone").applyInArrow(chat, f"conv_id {kind}, n_calls long, n_linked long, n_valid long, n_loose long, chat string")
 
 
 def digest(chats: DataFrame) -> DataFrame:
