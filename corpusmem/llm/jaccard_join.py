@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmem.llm.components import components
-from corpusmem.llm.util import Work, mix, shingles, slices, stored, utf8, words
+from corpusmem.llm.util import Work, lean, mix, shingles, slices, stored, utf8, words
 
 #: Jaccard threshold as a fraction, 90 / 100; smaller sets than LEAST can only link with equal sets.
 THRESHOLD = (90, 100)
@@ -40,7 +40,7 @@ CLASS = 8
 #: Bits of the hashed table of token counts: 2 ** 18 counts, whatever the input.
 TABLE = 18
 #: Sets, and shingles of all of them, in one slice of the verification; a tile is two slices.
-BLOCK, BLOCK_SHINGLES = 1_000, 2_000_000
+BLOCK, BLOCK_SHINGLES = 1_000, 750_000
 
 
 def misses(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
@@ -71,6 +71,7 @@ def _bands(n: int, threshold: tuple[int, int]) -> list[int]:
 def token_counts(docs: DataFrame, size: int, text_col: str) -> np.ndarray:
     """How often tokens stand in all documents, by the first TABLE bits of their hash: always 2 ** TABLE numbers."""
 
+    @lean
     def run(batches):
         counts = np.zeros(1 << TABLE, np.int64)
         for batch in batches:
@@ -95,6 +96,7 @@ def shingle_sets(docs: DataFrame, threshold: tuple[int, int], size: int, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(token_counts(docs, size, text_col))
 
+    @lean
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -129,6 +131,7 @@ def candidates(sets: DataFrame, work: Work, threshold: tuple[int, int] = THRESHO
     shared = tokens.groupBy("tok").count().where("count > 1")
     rows = tokens.join(shared.hint("shuffle_hash"), "tok").groupBy("id", "n").agg(F.collect_list(F.struct("tok", (F.col("count") <= RARE).alias("rare"))).alias("t"))
 
+    @lean
     def sign(batches):
         for batch in batches:
             out = {k: [] for k in ("sig", "single", "id", "n", "need", "w", "heavy")}
@@ -174,6 +177,7 @@ def link_blocks(texts: DataFrame, threshold: tuple[int, int], size: int) -> Data
     """
     num, den = threshold
 
+    @lean
     def verify(key, table):
         alone = key[1].as_py()
         alone = alone["kind"] == 0 and alone["p"] == alone["q"]

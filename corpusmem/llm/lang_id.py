@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmem.llm.util import extended
+from corpusmem.llm.util import extended, lean
 
 SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 16
@@ -93,6 +93,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = rows.where(unit < share[F.col("l")]).select("l", "t")
     index = {l: i for i, l in enumerate(langs)}
 
+    @lean
     def count(batches):
         sums = np.zeros((len(langs), BUCKETS), np.int64)
         for b in batches:
@@ -158,6 +159,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[s
     at = docs.columns.index(text_col)
     names = [*docs.columns, *into]
 
+    @lean
     def run(batches):
         for b in batches:
             langs, scores = score_texts(shared.value, b.column(at).to_pylist())

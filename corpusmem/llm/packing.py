@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmem.llm.util import extended, stored
+from corpusmem.llm.util import extended, lean, stored
 from corpusmem.llm.vocab import Encoder, whole_tokens
 
 CAPACITY = 2048
@@ -92,6 +92,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
             out += [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
         return out
 
+    @lean
     def run(batches):
         encoder = Encoder(path, whole.value, words=True)
         for b in batches:
@@ -127,6 +128,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
     names = parts.columns
     schema = extended(parts.schema, sequence_id="long", offset="long")
 
+    @lean
     def run(key, table):
         table = table.select(names)
         order = [(c, "ascending") for c in (id_col, "start", "length", "ids_crc32") if c in names]

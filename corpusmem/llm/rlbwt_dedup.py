@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmem.llm.util import Work, extended, gram_hashes, mix, range_hashes, slices, stored, text_bytes, utf8
+from corpusmem.llm.util import Work, extended, gram_hashes, lean, mix, range_hashes, slices, stored, text_bytes, utf8
 
 LENGTH = 50
 GRAM = 20
@@ -160,6 +160,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chunks, buckets = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // BUCKET_BYTES))
     chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")
 
+    @lean
     def find(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(2))
@@ -186,6 +187,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     found = rows.withColumn("chunk", chunk).select("id", "chunk", "text").mapInArrow(find, "bucket int, h binary, c binary, i binary")
 
+    @lean
     def several(key, table):
         h = np.frombuffer(b"".join(table.column("h").to_pylist()), np.uint64)
         c = np.frombuffer(b"".join(table.column("c").to_pylist()), np.int32)
@@ -236,6 +238,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def known(table):
         return np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist() if x] or [np.zeros(0, np.uint64)]))
 
+    @lean
     def send(key, table, repeated):
         table, ids, parts, doc, prints, first, slice_of = gather(table, known(repeated))
         out = []
@@ -257,6 +260,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     work = Work(docs.sparkSession)  # gone once the marks are stored
     sent = work.store(dealt.select("id", "text", "chunk").groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, bytes binary, lengths binary, places binary, ids binary"))
 
+    @lean
     def index(key, table):
         chunk_of = np.concatenate([np.full(len(x), c, np.int64) for c, x in zip(table.column("chunk").to_pylist(), table.column("lengths").to_pylist(), strict=True)])
         lengths = np.frombuffer(b"".join(table.column("lengths").to_pylist()), np.uint8).astype(np.int64)
@@ -292,6 +296,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # each chunk reads its anchors and its marks together
     both = repeated.select("chunk", "h", F.lit(None).cast("binary").alias("prints"), F.lit(None).cast("binary").alias("masks")).unionByName(marks.select("chunk", F.lit(None).cast("binary").alias("h"), "prints", "masks"))
 
+    @lean
     def cut(key, table, both):
         prints_known = np.concatenate([np.frombuffer(x, np.uint64) for x in both.column("prints").to_pylist() if x] or [np.zeros(0, np.uint64)])
         masks_known = np.concatenate([np.frombuffer(x, np.uint64) for x in both.column("masks").to_pylist() if x] or [np.zeros(0, np.uint64)])

@@ -7,6 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmem.llm.util import lean
 from corpusmem.llm.vocab import Encoder, whole_tokens
 
 
@@ -20,6 +21,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
+    @lean
     def run(batches):
         encoder = Encoder(path, whole.value, words=False)
         for b in batches:
