@@ -134,28 +134,26 @@ def candidates(sets: DataFrame, work: Work, threshold: tuple[int, int] = THRESHO
     @lean
     def sign(batches):
         for batch in batches:
-            out = {k: [] for k in ("sig", "single", "id", "n", "need", "w", "heavy")}
-            for i, n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                t = t.values
-                tok, rare = (t.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-                length = prefix_length(n, threshold)
-                m = misses(n, threshold)
-                common = np.sort(tok[~rare])
-                need = length - len(common) - m
-                sigs = [(int(x), True) for x in tok[rare]]
+            sigs, single, need = [], [], []
+            for n, t in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                tok, rare = (t.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+                common = np.sort(tok[~rare]).view(np.uint64)
+                own = [tok[rare]]
                 for band in _bands(n, threshold):
-                    classes = common.view(np.uint64) % np.uint64(_classes(band, threshold))
+                    classes = common % np.uint64(_classes(band, threshold))
                     for c in np.unique(classes):
-                        own = common[classes == c].view(np.uint64)
-                        i1, i2 = np.triu_indices(len(own), 1)
-                        pairs = mix(mix(own[i1] + np.uint64(band)) * np.uint64(3) + own[i2]).view(np.int64)
-                        sigs += [(int(x), False) for x in pairs]
-                for s, single in sigs:
-                    out["sig"].append(s), out["single"].append(single), out["id"].append(i), out["n"].append(n)
-                    out["need"].append(need), out["heavy"].append(need <= 0)
-            del out["w"]
-            kinds = {"sig": pa.int64(), "single": pa.bool_(), "id": pa.int64(), "n": pa.int64(), "need": pa.int64(), "heavy": pa.bool_()}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
+                        some = common[classes == c]
+                        i1, i2 = np.triu_indices(len(some), 1)
+                        own.append(mix(mix(some[i1] + np.uint64(band)) * np.uint64(3) + some[i2]).view(np.int64))
+                sigs.append(np.concatenate(own))
+                single.append(np.arange(len(sigs[-1])) < len(own[0]))
+                need.append(prefix_length(n, threshold) - len(common) - misses(n, threshold))
+            if not sigs:
+                continue
+            row = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
+            need = np.array(need, np.int64)[row]
+            cols = [pa.array(np.concatenate(sigs)), pa.array(np.concatenate(single)), *[batch.column(k).take(pa.array(row)) for k in range(2)], pa.array(need), pa.array(need <= 0)]
+            yield pa.RecordBatch.from_arrays(cols, ["sig", "single", "id", "n", "need", "heavy"])
 
     signed = work.store(rows.select("id", "n", "t").mapInArrow(sign, "sig long, single boolean, id long, n long, need long, heavy boolean"))
     one = signed.where("single")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmem.llm.util import extended, lean
+from corpusmem.llm.util import extended, lean, slices, utf8
 
 SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 16
@@ -162,7 +162,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[s
     @lean
     def run(batches):
         for b in batches:
-            langs, scores = score_texts(shared.value, b.column(at).to_pylist())
+            column, langs, scores = b.column(at), [], [np.zeros(0)]
+            for i, j in slices(utf8(column)[1]):
+                some = score_texts(shared.value, column.slice(i, j - i).to_pylist())
+                langs += some[0]
+                scores.append(some[1])
+            scores = np.concatenate(scores)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     return docs.mapInArrow(run, extended(docs.schema, **{into[0]: "string", into[1]: "double"}))

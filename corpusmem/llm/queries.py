@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmem.llm import bm25_search, chat_tools, fair_mix, html_extract, jaccard_join, lang_id, merkle, packing, rlbwt_dedup, token_count
+from corpusmem.llm.util import small_batches
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,6 +19,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

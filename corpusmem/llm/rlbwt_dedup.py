@@ -146,8 +146,9 @@ def _firsts(doc: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return np.sort(order[np.concatenate([[True], prints[order][1:] != prints[order][:-1]])]) if len(order) else order
 
 
-def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), cut_texts: bool = False) -> DataFrame:
     """(id, text, spans[, the columns of `keep`]): text as read, spans an array of (start, end) byte ranges to remove, ascending and apart.
+    cut_texts: instead, (id, text[, ...]) with the spans cut out, see without_repeats().
 
     Null texts are empty; texts below 50 bytes have no window and keep everything; a window that repeats only inside its
     own document stays. Rows with one id count as one document: neither repeats the other. Rows with a null id come
@@ -344,12 +345,15 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         spans[lo + k].append((x - int(off[k]), z - int(off[k])))
                     x, k = z, k + 1
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        if cut_texts:
+            text = pa.array([remaining(t, s) for t, s in zip(text.to_pylist(), spans, strict=True)], pa.string())
+            spans = [[] for _ in spans]
         got = pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], kind)
         return pa.table([table.column("id"), table.column("no_id"), text, got, *[table.column(c) for c in kept]], ["id", "no_id", "text", "spans", *kept])
 
     out = dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(cut, extended(rows.select("id", "no_id", "text").schema, spans="array<struct<start:long,end:long>>", **{c: rows.schema[c].dataType for c in kept}))
     kind = docs.schema[id_col].dataType.simpleString()
-    return out.select(F.when(~F.col("no_id"), F.col("id")).cast(kind).alias(id_col), F.col("text").alias(text_col), "spans", *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)])
+    return out.select(F.when(~F.col("no_id"), F.col("id")).cast(kind).alias(id_col), F.col("text").alias(text_col), *([] if cut_texts else ["spans"]), *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)])
 
 
 def digest(marked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,6 +378,15 @@ def digest(marked: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return marked.select(id_col, text_col, "spans").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def remaining(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text without byte ranges; of a character cut in part nothing stays."""
+    raw, last, kept = text.encode(), 0, []
+    for start, end in spans:
+        kept.append(raw[last:start].decode("utf-8", "ignore"))
+        last = end
+    return "".join([*kept, raw[last:].decode("utf-8", "ignore")])
+
+
 def without_repeats(marked: DataFrame, text_col: str = "text") -> DataFrame:
     """Marked documents with their spans cut out of the text; a character cut in part goes whole. Drops spans."""
     names = [c for c in marked.columns if c != "spans"]
@@ -383,11 +396,7 @@ def without_repeats(marked: DataFrame, text_col: str = "text") -> DataFrame:
         for b in batches:
             texts = []
             for t, spans in zip(b.column(at).to_pylist(), b.column(spans_at).to_pylist(), strict=True):
-                raw, last, kept = t.encode(), 0, []
-                for s in spans:
-                    kept.append(raw[last : s["start"]].decode("utf-8", "ignore"))
-                    last = s["end"]
-                texts.append("".join([*kept, raw[last:].decode("utf-8", "ignore")]))
+                texts.append(remaining(t, [(s["start"], s["end"]) for s in spans]))
             cols = list(b.columns[:spans_at])
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)

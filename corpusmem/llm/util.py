@@ -64,6 +64,13 @@ def _while_stored(spark: SparkSession):
 _before: dict[int, dict[str, str | None]] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 1,000 rows for Python from here on, where the session has no number of its own: texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, _WHILE_STORED[name])
+
+
 class Work:
     """The tables that one call of an operator writes in the shared folder: Parquet, so lineage ends there and a lost
     executor loses nothing. clear() removes them once the operator has stored what its result needs."""
@@ -148,7 +155,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 4_000_000):
+def slices(offsets: np.ndarray, limit: int = 1_000_000):
     """Row ranges of at most `limit` bytes of text each (one row at least), so that a batch needs bounded memory."""
     i, n = 0, len(offsets) - 1
     while i < n:
