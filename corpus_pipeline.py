@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmem.llm import fair_mix, jaccard_join, lang_id, packing, rlbwt_dedup
 from corpusmem.llm.queries import tokenizer_path
-from corpusmem.llm.util import stored
+from corpusmem.llm.util import small_batches, stored
 
 #: A document whose language has a lower posterior is rejected.
 MIN_SCORE = 0.5
@@ -25,6 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lang becomes the predicted language. The model is trained on the labelled rows of its own input, all folds; without
     labelled rows nothing has a language. Repeated rows fare alike; other columns stay, whatever their names.
     """
+    small_batches(spark)
     found = lang_id.predict(docs, lang_id.train(docs), into=("__lang", "__score"))
     kept = found.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_SCORE))
     return kept.withColumn("lang", F.col("__lang").cast(docs.schema["lang"].dataType)).select(docs.columns)
@@ -43,7 +44,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts become empty; rows with one id don't repeat each other; other columns stay, whatever their names.
     """
-    cut = rlbwt_dedup.without_repeats(rlbwt_dedup.mark_repeats(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text"))))
+    cut = rlbwt_dedup.mark_repeats(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")), cut_texts=True)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
