@@ -9,8 +9,8 @@ token is rare (in few sets) or frequent:
 * rare tokens are indexed singly. Of its c rare (or unshared) prefix tokens a set misses at most m in any partner whose
   prefix reaches as far, so a pair must share c - m of them; where c > m that is decisive ("light" sets).
 * "heavy" sets have c <= m. Their frequent tokens are dealt into classes by hash, and all 2-token combinations within a
-  class are indexed: a class with f frequent tokens withstands f - 1 misses, and the extension makes the sum of c and
-  all f - 1 exceed m. Light sets index their combinations too, but a combination without a heavy set is dropped.
+  class are indexed: a class with f frequent tokens withstands f - 1 misses, and there are so few classes that the
+  extension makes the sum of c and all f - 1 exceed m. Light sets index their combinations too, but a combination without a heavy set is dropped.
 
 Sets tied by a candidate form groups; within a group and a band of similar sizes all pairs are verified exactly, in
 tiles of bounded size, as products of membership matrices, and each block returns links that span its components.
@@ -35,8 +35,6 @@ from corpusmem.llm.util import Work, lean, mix, shingles, slices, stored, utf8,
 THRESHOLD = (90, 100)
 #: A token in at most so many prefixes is rare.
 RARE = 4
-#: Frequent tokens of a prefix are dealt into classes of about so many.
-CLASS = 8
 #: Bits of the hashed table of token counts: 2 ** 18 counts, whatever the input.
 TABLE = 18
 #: Sets, and shingles of all of them, in one slice of the verification; a tile is two slices.
@@ -54,7 +52,10 @@ def _band(n: int) -> int:
 
 
 def _classes(band: int, threshold: tuple[int, int]) -> int:
-    return max(1, misses(int(1.25**band), threshold) // CLASS)
+    """As many classes as the extension of the smallest set that signs in this band: one less than the tokens beyond m."""
+    num, den = threshold
+    least = max(1, int(1.25**band * num / den))
+    return max(1, prefix_length(least, threshold) - misses(least, threshold) - 1)
 
 
 def prefix_length(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
@@ -64,8 +65,9 @@ def prefix_length(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
 
 
 def _bands(n: int, threshold: tuple[int, int]) -> list[int]:
+    """The bands in which a set signs: its own and those of larger partners, so any pair meets in that of its larger set."""
     num, den = threshold
-    return list(range(_band(max(1, -(-n * num // den))), _band(n * den // num) + 1))
+    return list(range(_band(n), _band(n * den // num) + 1))
 
 
 def token_counts(docs: DataFrame, size: int, text_col: str) -> np.ndarray:
