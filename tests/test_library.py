@@ -302,3 +302,22 @@ def test_entry_runs(spark, name):
     import __spark_entry__ as entry
 
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_bad_bytes_and_large_files_never_fail_a_job(spark, tmp_path):
+    (tmp_path / "bad.md").write_bytes(b"caf\xff\xc3\xa9")
+    (tmp_path / "good.md").write_text("fine")
+    (tmp_path / "large.md").write_bytes(b"x" * 3_000)
+    listing = files.read_tree(spark, str(tmp_path), max_mb=0.001)
+    assert {r["path"]: r["text"] for r in files.read_texts(listing, 0.001).collect()} == {"bad.md": "caf�é", "good.md": "fine"}
+    assert {r["path"]: r["content"] is None for r in listing.collect()} == {"bad.md": False, "good.md": False, "large.md": True}
+    assert [(r["path"], r["reason"]) for r in files.rejected(listing, 0.001).collect()] == [("large.md", "too large")]
+
+
+def test_cut_points():
+    words = "aa bb cc dd ee"
+    assert [words[a:b] for a, b in chunk.cuts(words, 6)] == ["aa bb", "cc dd", "ee"]
+    assert [(a, b) for a, b in chunk.cuts("x" * 25, 10)] == [(0, 10), (10, 20), (20, 25)]
+    lines = "one two\n\nthree four five"
+    assert [lines[a:b] for a, b in chunk.cuts(lines, 12)] == ["one two", "three four", "five"]
+    assert chunk.split_block(lines, 5, 12, 40) == [{"text": "one two", "line": 5}, {"text": "three four", "line": 6}, {"text": "five", "line": 7}]
