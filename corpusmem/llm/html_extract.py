@@ -1,4 +1,4 @@
-"""Main text of web pages: flat text blocks, classified by a small decision tree."""
+"""Main text of web pages: flat text blocks with words and link density of neighbours, classified by a small decision tree."""
 
 from __future__ import annotations
 
@@ -11,59 +11,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is never text of the page.
-_SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "button", "canvas", "audio", "video", "head")
-_RAW = ("script", "style", "textarea", "noscript", "iframe", "template", "svg")
+from corpusmem.llm import html_samples
+
+#: Elements whose content is never text of the page; RAW ones hold no markup.
+_SILENT = set("script style noscript template svg math iframe object textarea select button canvas audio video head".split())
+_RAW = set("script style textarea noscript iframe template svg".split())
+_META = set("title meta link base script style noscript template".split())
 #: Elements that end a block of text.
 _BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements and words of class, id or role that stand for something beside the article.
+_HEADINGS = {f"h{i}": i for i in range(1, 7)}
+#: Elements that another paragraph, item or heading ends.
+_LOOSE = {"p", "li", *_HEADINGS}
+#: Elements, and names in class, id or role, that hold what stands beside the article, or the article.
 _ASIDE = set("nav header footer aside form menu dialog".split())
-_ASIDE_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising adbox adslot banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall "
-    "sidebar side menu nav navbar navigation navigationbar breadcrumb breadcrumbs footer header masthead topbar share sharing social related recommended recommendations comment comments commentlist disqus respond replies reply "
-    "newsletter subscribe subscription signup login search widget widgets toolbar pagination pager skip copyright legal contentinfo complementary dialog disclaimer outbrain taboola".split()
+_STRONG = set(
+    "ad ads adv advert adverts advertisement advertisements advertising adbox adslot banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay "
+    "paywall sidebar menu nav navbar navigation breadcrumb breadcrumbs footer topbar toolbar share sharing comment comments commentlist disqus respond replies reply newsletter subscribe subscription signup login widget widgets "
+    "pagination pager skip copyright contentinfo complementary dialog outbrain taboola".split()
 )
+_WEAK = set("side header masthead social related recommended recommendations search legal disclaimer".split())
+#: Words that may stand beside those within one name, as in site-footer or ad-box; others make it another name.
+_NEUTRAL = set("site page post posts list box container wrapper wrap area section block inner outer left right top bottom item items link links bar panel form global main primary secondary row col unit slot body content title text icon image".split())
+_ARTICLE = set("article-body articlebody article-content article-text post-content post-body entry-content main-content story-body main article".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)", re.I)
+_UNSEEN = re.compile(r"""display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
+_LINK, _LINK_END = re.compile(r"<a[\s>]", re.I), re.compile(r"</a\s*>", re.I)
+_ENDS = tuple(".!?:;\u2026\u3002\uff01\uff1f")
+_QUOTES = "\"')]\u00bb\u201d\u2019"
+#: Output of this many characters is one batch, so that long pages need bounded memory.
+BATCH_CHARS = 8_000_000
 
-FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", "article", "aside", "heading")
-#: The labelled table: words and share of linked words of a block, of the one before and the one after; whether it is
-#: inside an article, beside it (menus, notices, forms and so on), a heading; and whether it belongs to the main text.
-LABELLED = np.array(
-    [
-        # menus, link lists, crumbs
-        (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 2, 1.0, 12, 0.0, 0, 1, 0, 0),
-        (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0), (6, 0.9, 3, 1.0, 5, 1.0, 0, 0, 0, 0), (12, 0.8, 9, 0.9, 30, 0.0, 0, 0, 0, 0),
-        (25, 0.9, 8, 1.0, 12, 1.0, 0, 0, 0, 0), (8, 0.6, 40, 0.0, 7, 0.8, 0, 0, 0, 0), (4, 1.0, 60, 0.0, 5, 1.0, 1, 1, 0, 0),
-        # adverts, notices, headers, footers, forms, comments
-        (10, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0), (14, 0.0, 2, 1.0, 30, 0.0, 0, 1, 0, 0), (45, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0),
-        (80, 0.0, 30, 0.0, 70, 0.0, 0, 1, 0, 0), (22, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0), (5, 0.0, 70, 0.0, 0, 0.0, 0, 1, 0, 0),
-        (60, 0.0, 5, 0.0, 40, 0.0, 1, 1, 0, 0), (30, 0.1, 45, 0.0, 50, 0.0, 1, 1, 0, 0), (3, 0.0, 20, 0.0, 15, 0.0, 1, 1, 1, 0),
-        (4, 0.0, 3, 0.0, 25, 0.0, 0, 1, 1, 0), (2, 0.0, 1, 1.0, 2, 0.0, 0, 1, 0, 0), (18, 0.3, 10, 0.0, 12, 0.5, 0, 1, 0, 0),
-        (120, 0.0, 90, 0.0, 60, 0.0, 0, 1, 0, 0), (7, 0.0, 8, 0.0, 55, 0.0, 1, 1, 0, 0), (35, 0.0, 3, 0.0, 4, 0.0, 0, 1, 0, 0),
-        # loose short lines outside any article
-        (3, 0.0, 2, 1.0, 3, 0.0, 0, 0, 0, 0), (2, 0.0, 4, 0.0, 1, 1.0, 0, 0, 0, 0), (5, 0.0, 6, 0.9, 4, 0.8, 0, 0, 0, 0),
-        (6, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 0), (4, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0), (8, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0),
-        # paragraphs of an article, long and short
-        (60, 0.0, 9, 0.0, 45, 0.0, 1, 0, 0, 1), (45, 0.0, 60, 0.0, 3, 0.0, 1, 0, 0, 1), (3, 0.0, 45, 0.0, 70, 0.0, 1, 0, 0, 1),
-        (2, 0.0, 50, 0.0, 22, 0.0, 1, 0, 0, 1), (1, 0.0, 30, 0.0, 40, 0.0, 1, 0, 0, 1), (120, 0.0, 30, 0.0, 22, 0.0, 1, 0, 0, 1),
-        (8, 0.0, 14, 0.0, 9, 0.0, 1, 0, 0, 1), (15, 0.1, 40, 0.0, 8, 0.0, 1, 0, 0, 1), (30, 0.3, 20, 0.0, 35, 0.1, 1, 0, 0, 1),
-        (10, 0.4, 50, 0.0, 60, 0.0, 1, 0, 0, 1), (4, 0.0, 3, 0.0, 2, 0.0, 1, 0, 0, 1), (200, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1),
-        (6, 0.0, 11, 0.0, 0, 0.0, 1, 0, 0, 1), (5, 0.0, 12, 0.0, 22, 0.0, 1, 0, 0, 1), (7, 1.0, 40, 0.0, 40, 0.0, 1, 0, 0, 1),
-        # headings of an article
-        (8, 0.0, 10, 0.0, 50, 0.0, 1, 0, 1, 1), (3, 0.0, 60, 0.0, 40, 0.0, 1, 0, 1, 1), (1, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 1),
-        (12, 0.0, 0, 0.0, 3, 0.0, 1, 0, 1, 1), (5, 1.0, 10, 0.0, 70, 0.0, 1, 0, 1, 1),
-        # running text and headings of pages without an article element
-        (50, 0.0, 4, 0.0, 60, 0.0, 0, 0, 0, 1), (35, 0.1, 50, 0.0, 20, 0.0, 0, 0, 0, 1), (18, 0.0, 35, 0.0, 40, 0.0, 0, 0, 0, 1),
-        (9, 0.0, 30, 0.0, 45, 0.0, 0, 0, 0, 1), (4, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 1), (12, 0.0, 20, 0.0, 15, 0.0, 0, 0, 0, 1),
-        (90, 0.2, 3, 1.0, 2, 1.0, 0, 0, 0, 1), (6, 0.0, 2, 1.0, 50, 0.0, 0, 0, 1, 1), (9, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1, 1),
-        (4, 0.0, 45, 0.0, 38, 0.0, 0, 0, 1, 1), (25, 0.0, 12, 0.0, 2, 1.0, 0, 0, 0, 1), (14, 0.0, 1, 1.0, 18, 0.0, 0, 0, 0, 1),
-        (16, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 1), (12, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0, 1), (20, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 1), (11, 0.0, 9, 0.0, 3, 0.0, 0, 0, 0, 1),
-    ]
-)
+FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", "sentence", "article", "aside", "heading")
+_MAIN, _WEAKLY, _BESIDE, _UNHEARD = 1, 2, 4, 8
 
 
 @dataclass
@@ -103,111 +87,163 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
     return Tree(label, best[1], best[2], grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
 
 
-def train(table: np.ndarray = LABELLED) -> Tree:
-    return grow(table[:, :-1].astype(float), table[:, -1].astype(int))
+def train() -> Tree:
+    """The tree of the labelled pages: each block of theirs is a row, its text's first character the label."""
+    x, y = [], []
+    for page in html_samples.pages():
+        texts, rows = blocks(page)
+        x.append(rows)
+        y += [t[0] == "+" for t in texts]
+    return grow(np.vstack(x), np.array(y, int))
+
+
+class _Open:
+    """The open elements. Each knows what it lies in, so that no step looks through the stack."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int, int]] = []  # name, kinds with those around, heading's level, last wall
+        self.places: dict[str, list[int]] = {}
+
+    def top(self) -> tuple[str, int, int, int]:
+        return self.stack[-1] if self.stack else ("", 0, 0, -1)
+
+    def push(self, name: str, kind: int) -> None:
+        _, kinds, level, wall = self.top()
+        self.places.setdefault(name, []).append(len(self.stack))
+        wall = wall if name in _LOOSE or name not in _BLOCKS else len(self.stack)
+        self.stack.append((name, kinds | kind, _HEADINGS.get(name, level), wall))
+
+    def pop(self, name: str, implied: bool = False) -> bool:
+        """Closes the innermost such element and all within; an implied end only if no other block lies between."""
+        places = self.places.get(name)
+        if not places or (implied and places[-1] < self.top()[3]):
+            return False
+        for inner, *_ in reversed(self.stack[places[-1] :]):
+            self.places[inner].pop()
+            self.stack.pop()
+        return True
+
+
+class _Next:
+    """Where a pattern is next found; asked with rising places, it reads the page once."""
+
+    def __init__(self, pattern: re.Pattern, page: str):
+        self.pattern, self.page, self.found = pattern, page, -1
+
+    def after(self, at: int) -> int:
+        if self.found < at:
+            m = self.pattern.search(self.page, at)
+            self.found = m.start() if m else len(self.page) + 1
+        return self.found
 
 
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
-    """Flat text blocks of a page in order, with decoded and trimmed text, and their features."""
+    """Flat text blocks of a page in order, with decoded and trimmed text, and their features; in linear time."""
     texts, rows = [], []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, int]] = []  # open elements with 1: article, 2: beside it, 4: silent, 8: heading
-    links = 0
+    opened = _Open()
+    link, link_end = _Next(_LINK, page), _Next(_LINK_END, page)
+    linked = 0  # 1: in a link that a block ends, 2: in one that its own tag ends
 
     def end() -> None:
         if parts:
             whole = " ".join(entities.unescape("".join(p for p, _ in parts)).split())
             if whole:
-                linked = len(entities.unescape(" ".join(p for p, a in parts if a)).split())
                 words = len(whole.split())
-                flags = 0
-                for _, k in stack:
-                    flags |= k
+                of_links = len(entities.unescape(" ".join(p for p, a in parts if a)).split())
+                _, kinds, level, _ = opened.top()
+                aside = 2 if kinds & _BESIDE else 1 if kinds & _WEAKLY else 0
+                heading = 2 if level == 1 else int(level > 0)
                 texts.append(whole)
-                rows.append((words, min(1.0, linked / words), flags & 1, (flags & 2) >> 1, (flags & 8) >> 3))
+                rows.append((words, min(1.0, of_links / words), whole.rstrip(_QUOTES).endswith(_ENDS), kinds & _MAIN, aside, heading))
             parts.clear()
 
-    at, silent = 0, 0
+    at, last = 0, page.rfind(">")
     while at < len(page):
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at) if at <= last else _UNENDED.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text and not silent:
-            parts.append((text, links > 0))
-        if m is None:
+        if text and not opened.top()[1] & _UNHEARD:
+            parts.append((text, linked > 0))
+        if m is None or at > last:
             break
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
         close, rest = bool(m[1] or m[4]), m[3] or m[6] or ""
+        if "head" in opened.places and opened.places["head"] and name not in _META and not (close and name != "head"):
+            opened.pop("head")
         if name == "a":
-            links = 0 if close else 1
+            linked = 0 if close or "href" not in rest.lower() else 2 if link_end.after(at) < link.after(at) else 1
             continue
-        if name not in _BLOCKS and name not in _SILENT:
-            if name == "br":
-                parts.append((" ", links > 0))
-            elif not close and name not in _VOID and (_marked(rest) or _HIDDEN.search(rest)) and not rest.endswith("/"):
-                end()
-                stack.append((name, 4 if _HIDDEN.search(rest) else 2))
-                silent += stack[-1][1] == 4
-            elif close and any(n == name for n, _ in stack):
-                end()
-                silent -= _pop(stack, name)
+        if name == "br":
+            parts.append((" ", linked > 0))
             continue
-        end()
-        if name in _BLOCKS:
-            links = 0
         if close:
-            silent -= _pop(stack, name)
-            continue
-        if name in _VOID:
+            if name in _BLOCKS or opened.places.get(name):
+                end()
+                linked = linked if linked == 2 else 0
+                opened.pop(name)
             continue
-        if name in _RAW:
+        if name in _RAW and not (name == "svg" and rest.endswith("/")):
             done = _RAW_END[name].search(page, at)
             at = done.end() if done else len(page)
+            if name != "script" and name != "style":
+                end()
             continue
-        if name == "body":
-            silent -= _pop(stack, "head")
-        elif name == "p" or name == "li":
-            silent -= _pop(stack, name, stop=True)
-        kind = 0
-        inside = any(k & 1 for _, k in stack)
-        if name in ("article", "main"):
-            kind = 1
-        elif name in _ASIDE and not (name == "header" and inside):
-            kind = 2
-        elif re.fullmatch("h[1-6]", name):
-            kind = 8
-        if name in _SILENT or _HIDDEN.search(rest):
-            kind = 4
-        elif rest and name not in ("body", "html", "article", "main") and _marked(rest) and not (inside and name in ("header", "h1", "h2", "h3", "h4", "h5", "h6")):
-            kind |= 2
-        stack.append((name, kind))
-        silent += kind == 4
+        kind = _kind(name, rest, opened.top()[1])
+        if name not in _BLOCKS and not kind:
+            continue
+        end()
+        linked = linked if linked == 2 else 0
+        if name in _BLOCKS:
+            opened.pop("p", implied=True)
+            if name in _LOOSE:
+                opened.pop(name, implied=True)
+        if name not in _VOID and not (name not in _BLOCKS and rest.endswith("/")):
+            opened.push(name, kind)
     end()
-    base = np.array(rows, float).reshape(-1, 5)
+    base = np.array(rows, float).reshape(-1, 6)
     near = np.zeros((len(base) + 2, 2))
     near[1:-1] = base[:, :2]
+    base[:, 3] = _within(base)
     return texts, np.hstack([base[:, :2], near[:-2], near[2:], base[:, 2:]])
 
 
-def _marked(attributes: str) -> bool:
-    return any(not _ASIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", "".join(v).lower())) for v in _NAMED.findall(attributes))
+_UNENDED = re.compile(r"<[/!?a-zA-Z]")
 
 
-def _pop(stack: list[tuple[str, int]], name: str, stop: bool = False) -> int:
-    """Closes the innermost open element of that name and what it holds; returns how many silent ones went.
+def _within(base: np.ndarray) -> np.ndarray:
+    """1 for blocks of an article, -1 for those beside it; 0 where the page has none that holds much of its text."""
+    words = base[:, 0] * (1 - base[:, 1]) * (base[:, 4] < 2)
+    inside = base[:, 3] > 0
+    held, whole = words[inside].sum(), words.sum()
+    return np.where(inside, 1, -1) if held and 4 * held >= whole else np.zeros(len(base))
 
-    stop: only if no other block with a context of its own is open within (an implied end).
-    """
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] == name:
-            gone = sum(k == 4 for _, k in stack[i:])
-            del stack[i:]
-            return gone
-        if stop and stack[i][0] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6"):
-            return 0
-    return 0
+
+def _kind(name: str, attributes: str, around: int) -> int:
+    """What an element says of the text in it."""
+    if name in _SILENT:
+        return _UNHEARD
+    kind = _MAIN if name in ("article", "main") else 0
+    if name in _ASIDE and not (name == "header" and around & _MAIN):
+        kind |= _BESIDE
+    if not attributes or attributes == "/":
+        return kind
+    if _HIDDEN.search(_QUOTED.sub("", attributes)) or _UNSEEN.search(attributes):
+        return _UNHEARD
+    if name in ("html", "body", "main"):
+        return kind
+    for _, *value in _NAMED.findall(attributes):
+        for token in re.sub("([a-z])([A-Z])", r"\1-\2", "".join(value)).lower().replace("_", "-").split():
+            words = {w for w in re.split("[^a-z]+", token) if len(w) > 1}
+            if token in _ARTICLE:
+                kind |= _MAIN
+            elif words & _STRONG and words <= _STRONG | _WEAK | _NEUTRAL:
+                kind |= _BESIDE
+            elif words & _WEAK and words <= _WEAK | _NEUTRAL and not (around & _MAIN and "header" in words):
+                kind |= _WEAKLY
+    return kind
 
 
 def main_text(page: str | None, tree: Tree) -> str:
@@ -222,15 +258,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     """(id, the columns of `keep`, text, n_chars) for every page: the article's blocks in order, joined by one newline.
 
     A null, empty or wholly silent page gives an empty text; markup that doesn't end runs to the end of the page;
-    repeated rows give repeated results. One scan, no shuffle; the tree (a few dozen nodes) goes with the task.
+    repeated rows give repeated results; a null id stays null; columns of `pages` that `keep` doesn't name don't matter,
+    and one that it names like a result gives way to it. Time is linear in a page's length. One scan, no shuffle; the
+    tree (a few dozen nodes) goes with the task.
     """
     tree = train()
-    cols = [id_col, *keep]
+    cols = [c for c in dict.fromkeys([id_col, *keep]) if c == id_col or c.lower() not in ("text", "n_chars")]
 
     def run(batches):
         for b in batches:
-            text = [main_text(h, tree) for h in b.column(len(cols)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*cols, "text", "n_chars"])
+            pages_of, at = b.column(len(cols)), 0
+            while at < len(pages_of):
+                text, size, start = [], 0, at
+                while at < len(pages_of) and size < BATCH_CHARS:
+                    text.append(main_text(pages_of[at].as_py(), tree))
+                    size += len(text[-1])
+                    at += 1
+                kept = [c.slice(start, at - start) for c in b.columns[: len(cols)]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*cols, "text", "n_chars"])
 
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in cols)
     return pages.select(*[F.col(c) for c in cols], F.col(html_col)).mapInArrow(run, f"{kinds}, text string, n_chars long")
