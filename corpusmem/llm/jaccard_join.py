@@ -39,6 +39,8 @@ RARE = 4
 TABLE = 18
 #: Sets, and shingles of all of them, in one slice of the verification; a tile is two slices.
 BLOCK, BLOCK_SHINGLES = 1_000, 750_000
+#: So many ids (8 bytes each, some 64 MB as a hashed table) may be broadcast.
+BROADCAST_IDS = 2_000_000
 
 
 def misses(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
@@ -292,6 +294,11 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, size: int =
 
 
 def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component the document with the least id stays; rows with a null id stay."""
+    """docs without near-duplicates: of each component the document with the least id stays; rows with a null id stay.
+
+    Up to BROADCAST_IDS ids that go are broadcast, so that texts stay where they are; beyond, both sides meet by a shuffle.
+    """
     gone = similar(docs, threshold, size, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, id_col, "left_anti").select(docs.columns)

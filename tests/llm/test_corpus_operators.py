@@ -144,7 +144,9 @@ def test_jaccard_random(spark):
     assert got == brute_links(rows, 90, 100, 3)
 
 
-def test_keep_one(spark, docs, rows, empty):
+@pytest.mark.parametrize("broadcast", [jaccard_join.BROADCAST_IDS, 0])
+def test_keep_one(spark, docs, rows, empty, monkeypatch, broadcast):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", broadcast)
     kept = {r["doc_id"] for r in jaccard_join.keep_one(docs).collect()}
     assert kept == {c for _, c in brute_links(rows, 90, 100, 3).values()}
     assert jaccard_join.similar(empty).collect() == []
