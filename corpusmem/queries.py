@@ -415,7 +415,11 @@ def _(rows):
     return rows.select("id", F.size(t).cast("long").alias("n"), F.array_join(t, " ").alias("tokens"))
 
 
-@_query("t2_token_set", f"SELECT path, array_to_string({_distinct(_toks('substr(text, 1, 400)'))}, ' ') AS tokens FROM {{0}}", DOCS)
+_TOKEN_SET = f"""WITH d AS (SELECT path, {_toks('text')} AS t FROM {{0}}), u AS (SELECT path, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM d), f AS (SELECT path, tok, min(i) AS i FROM u GROUP BY path, tok),
+s AS (SELECT path, string_agg(tok, ' ' ORDER BY i) AS tokens FROM f GROUP BY path) SELECT d.path, coalesce(s.tokens, '') AS tokens FROM d LEFT JOIN s ON s.path = d.path"""
+
+
+@_query("t2_token_set", _TOKEN_SET, DOCS)
 def _(rows):
     return rows.select("path", F.array_join(fn.token_set(F.col("text")), " ").alias("tokens"))
 
