@@ -13,22 +13,23 @@ def _trigrams(text):
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3))))
 
 
-def links(entries: DataFrame) -> DataFrame:
-    """(doc_id, symbol_id): the symbol's name, case aside, is a substring of the document's title, summary and keywords.
+def links(entries: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, doc_id, symbol_id): the symbol's name, case aside, is a substring of the document's title, summary and keywords.
 
     Names of three characters or more are looked up by one trigram, the one in fewest documents; candidates are verified
-    by `contains`. Distinct names are matched first and symbols joined to them afterwards.
+    by `contains`. Distinct names are matched first and symbols joined to them afterwards. With keys, such as the project,
+    only rows that agree in them are linked.
     """
     hay = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " ")))
-    docs = entries.where("type = 'doc'").select(F.col("id").alias("doc_id"), hay.alias("hay")).where(F.length("hay") >= MIN_NAME)
-    symbols = entries.where("type = 'symbol'").select(F.col("id").alias("symbol_id"), F.lower(F.col("keywords")[0]).alias("name")).where(F.length("name") >= MIN_NAME)
-    grams = docs.select("doc_id", F.explode(_trigrams(F.col("hay"))).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("k"))
-    names = symbols.select("name").distinct().select("name", F.explode(_trigrams(F.col("name"))).alias("gram"))
-    known = names.join(counts, "gram", "left").withColumn("k", F.coalesce("k", F.lit(0)))
-    rarest = known.groupBy("name").agg(F.min(F.struct("k", "gram")).alias("g")).where("g.k > 0").select("name", F.col("g.gram").alias("gram"))
-    pairs = grams.join(rarest, "gram").join(docs, "doc_id").where(F.col("hay").contains(F.col("name"))).select("doc_id", "name")
-    return pairs.join(symbols, "name").select("doc_id", "symbol_id").distinct()
+    docs = entries.where("type = 'doc'").select(*keys, F.col("id").alias("doc_id"), hay.alias("hay")).where(F.length("hay") >= MIN_NAME)
+    symbols = entries.where("type = 'symbol'").select(*keys, F.col("id").alias("symbol_id"), F.lower(F.col("keywords")[0]).alias("name")).where(F.length("name") >= MIN_NAME)
+    grams = docs.select(*keys, "doc_id", F.explode(_trigrams(F.col("hay"))).alias("gram"))
+    counts = grams.groupBy(*keys, "gram").agg(F.count("*").alias("k"))
+    names = symbols.select(*keys, "name").distinct().select(*keys, "name", F.explode(_trigrams(F.col("name"))).alias("gram"))
+    known = names.join(counts, [*keys, "gram"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    rarest = known.groupBy(*keys, "name").agg(F.min(F.struct("k", "gram")).alias("g")).where("g.k > 0").select(*keys, "name", F.col("g.gram").alias("gram"))
+    pairs = grams.join(rarest, [*keys, "gram"]).join(docs, [*keys, "doc_id"]).where(F.col("hay").contains(F.col("name"))).select(*keys, "doc_id", "name")
+    return pairs.join(symbols, [*keys, "name"]).select(*keys, "doc_id", "symbol_id").distinct()
 
 
 def linked_symbols(found: DataFrame) -> DataFrame:
