@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage: op1 to op10 and the pipeline, with SQL where SQL can say the same."""
+"""The registered queries of this subpackage: op1 to op13 and the pipeline, with SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmem.llm import bm25_search, chat_tools, fair_mix, html_extract, jaccard_join, lang_id, merkle, packing, rlbwt_dedup, token_count
+from corpusmem.llm import bm25_search, centroids, chat_tools, fair_mix, hard_negatives, html_extract, jaccard_join, lang_id, merkle, minhash_join, packing, rlbwt_dedup, token_count
 from corpusmem.llm.util import small_batches
 
 
@@ -66,6 +66,20 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edited(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", relabelled), F.col("vec_id") % 100 == 0)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_language_id, op2_bm25_topk, op3_ngram_jaccard, op4_chat_tools, op5_main_text, op6_packing, op7_rlbwt_dedup, op8_token_count, op9_fair_mix, op10_merkle, pipeline)
+    named = (op1_language_id, op2_bm25_topk, op3_ngram_jaccard, op4_chat_tools, op5_main_text, op6_packing, op7_rlbwt_dedup, op8_token_count, op9_fair_mix, op10_merkle, op11_hard_negatives, op12_centroids, op13_minhash_join, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -138,5 +152,48 @@ SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256, fingerprint, e
 """
 
 
+_OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, x.vec_id, x.label, CAST(list_inner_product(a.q, x.q) AS BIGINT) AS score FROM v a JOIN v x ON a.vec_id <> x.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE label = own) WHERE r <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+def _op12(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """Every round's centroids as a table (c, m): number and components."""
+    apart = "CAST(list_sum(list_transform(range(1, {d} + 1), lambda i: (v.q[i] - c.m[i]) * (v.q[i] - c.m[i]))) AS BIGINT)".format(d=dims)
+    near = lambda of: f"SELECT vec_id, q, c, apart FROM (SELECT v.vec_id, v.q, c.c, {apart} AS apart, row_number() OVER (PARTITION BY v.vec_id ORDER BY {apart}, c.c) AS r FROM v, {of} c) WHERE r = 1"
+    sql = f"""WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, q AS m FROM v ORDER BY sha256('3:' || vec_id) LIMIT {k})"""
+    for r in range(rounds):
+        sql += f""",
+a{r} AS MATERIALIZED ({near(f'c{r}')}),
+s{r} AS (SELECT c, i, CAST(floor(CAST(sum(q[i]) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM a{r}, (SELECT unnest(range(1, {dims} + 1)) AS i) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(t.m, c{r}.m) AS m FROM c{r} LEFT JOIN (SELECT c, list(x ORDER BY i) AS m FROM s{r} GROUP BY c) t USING (c))"""
+    return sql + f""",
+f AS MATERIALIZED ({near(f'c{rounds}')})
+SELECT vec_id, CAST(f.c AS INT) AS cluster, apart AS distance, CAST(sum(apart) OVER (PARTITION BY f.c) AS BIGINT) AS cluster_inertia, CAST(sum(apart) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM f JOIN c{rounds} c ON c.c = f.c
+"""
+
+
+_OP13 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5_number(array_to_string(list_slice(w, i, i + 2), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS i FROM d)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {least} * (x.n + y.n - k)),
+m AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT m.b, r.c FROM r JOIN m ON m.a = r.doc_id WHERE r.c < m.b),
+f AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(f.c, d.doc_id) AS component_id, {more}
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_bm25_topk": _OP2, "op4_chat_tools": chat_tools.ORACLE, "op9_fair_mix": _OP9, "op10_merkle": _OP10}
+    near = {"op3_ngram_jaccard": _OP13.format(least=90, more="CAST((SELECT count(*) FROM m WHERE m.a = d.doc_id) AS BIGINT) AS n_links"), "op13_minhash_join": _OP13.format(least=85, more="coalesce(f.c, d.doc_id) = d.doc_id AS kept")}
+    return near | {"op11_hard_negatives": _OP11, "op12_centroids": _op12(), "op2_bm25_topk": _OP2, "op4_chat_tools": chat_tools.ORACLE, "op9_fair_mix": _OP9, "op10_merkle": _OP10}
