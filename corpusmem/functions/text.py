@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmem.config import CJK, WS
+from corpusmem.config import CJK, WS, WS_CHARS
 
 
 def trim(text: Column) -> Column:
     """Strips white space of any script at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, F.lit(rf"\A{WS}+"), F.lit("")), F.lit(rf"{WS}+\z"), F.lit(""))
+    return F.btrim(text, F.lit(WS_CHARS))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
@@ -28,14 +35,20 @@ def token_set(text: Column) -> Column:
 
 
 def summary(text: Column, limit: int = 300) -> Column:
-    """White space collapsed; a text over the limit is cut after its last full stop beyond 40 %, else with an ellipsis."""
-    flat = trim(F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(WS + "+"), F.lit(" ")))
-    head = F.substring(flat, 1, limit - 1)
-    back = F.reverse(head)
-    last = lambda c: F.when(F.instr(back, c) > 0, F.length(head) - F.instr(back, c)).otherwise(-1)
-    stop = F.greatest(last("。"), last("."), last(";"))
-    cut = F.when(stop > (limit - 1) * 0.4, F.substr(head, F.lit(1), stop + 1)).otherwise(F.concat(head, F.lit("…")))
-    return F.when(F.length(flat) <= limit, flat).otherwise(cut)
+    """White space collapsed; a text over the limit is cut after its last full stop beyond 40 %, else with an ellipsis.
+
+    A summary is decided by the text's first characters: the rest is only read if those are nearly all white space.
+    """
+    flat = lambda t: trim(F.regexp_replace(t, F.lit(WS + "+"), F.lit(" ")))
+    last = lambda head, back, c: F.when(F.instr(back, c) > 0, F.length(head) - F.instr(back, c)).otherwise(-1)
+
+    def cut(head: Column) -> Column:
+        stop = _let(F.reverse(head), lambda back: F.greatest(last(head, back, "。"), last(head, back, "."), last(head, back, ";")))
+        return _let(stop, lambda at: F.when(at > (limit - 1) * 0.4, F.substr(head, F.lit(1), at + 1)).otherwise(F.concat(head, F.lit("…"))))
+
+    shown = lambda f: F.when(F.length(f) <= limit, f).otherwise(_let(F.substring(f, 1, limit - 1), cut))
+    some, whole = flat(F.substring(F.coalesce(text, F.lit("")), 1, 4 * limit)), flat(F.coalesce(text, F.lit("")))
+    return _let(_let(some, lambda f: F.when(F.length(f) > limit, f).otherwise(whole)), shown)
 
 
 def truncate(text: Column, limit: int) -> Column:

@@ -18,30 +18,37 @@ from corpusmem.functions.text import mangled, summary, token_set, trim
 _HEADING = r"\A[^\S\n]*#{1,6}[^\S\n]"
 
 
-_SECTIONS = "array<struct<section:int,title:string,line:int,body:string>>"
+def _with_sections(docs: DataFrame, key: str, text: str, most: int = 0) -> DataFrame:
+    """(key, s): the sections of each text in order, an array of (section, title, line, body); blank ones go.
 
-
-def section_array(text: Column) -> Column:
-    """The sections of a text in order: headings start them, a preamble is one without title; blank ones go.
-
-    Texts are cut by one regular expression at heading lines; line numbers are summed along the array, so no text is
-    shuffled for them.
+    A heading starts a section, a preamble is one without title. A text is cut into lines once, the places of headings
+    are picked from them, and each section is a slice of the lines: linear in the text, and without a shuffle. Lines and
+    places are columns of their own, so that nothing is cut twice. most: only so many sections are made (0: all).
     """
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    plain = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    heading = lambda line: F.contains(line, F.lit("#")) & line.rlike(_HEADING)
+    rows = docs.select(key, F.split(plain, "\n").alias("__lines"))
+    at = F.array_compact(F.transform("__lines", lambda line, i: F.when((i == 0) | heading(line), i)))
+    rows = rows.select(key, "__lines", (F.slice(at, 1, most + 2) if most else at).alias("__at"))
 
-    def add(acc: Column, raw: Column) -> Column:
-        heading = trim(F.regexp_replace(F.regexp_extract(raw, r"\A([^\n]*)", 1), F.lit(rf"\A{WS}*#{{1,6}}{WS}*"), F.lit("")))
-        own = F.struct(F.size(acc["s"]).alias("section"), F.when(raw.rlike(_HEADING), heading).otherwise("").alias("title"), acc["line"].alias("line"), trim(raw).alias("body"))
-        lines = F.length(raw) - F.length(F.replace(raw, F.lit("\n")))
-        return F.struct(F.array_append(acc["s"], own).alias("s"), (acc["line"] + lines).cast("int").alias("line"))
+    def section(first: Column, k: Column) -> Column:
+        line, end = F.get("__lines", first), F.coalesce(F.get("__at", k + 1), F.size("__lines"))
+        title = F.when(heading(line), trim(F.regexp_replace(line, F.lit(rf"\A{WS}*#{{1,6}}{WS}*"), F.lit("")))).otherwise("")
+        body = trim(F.array_join(F.slice("__lines", first + 1, end - first), "\n"))
+        return F.struct(k.alias("section"), title.alias("title"), (first + 1).alias("line"), body.alias("body"))
 
-    start = F.struct(F.array().cast(_SECTIONS).alias("s"), F.lit(1).alias("line"))
-    return F.filter(F.aggregate(F.split(plain, r"(?<=\n)(?=[^\S\n]*#{1,6}[^\S\n])"), start, add)["s"], lambda s: s["body"] != "")
+    # one more place than asked says where the last section ends
+    starts = F.slice("__at", 1, most + 1) if most else F.col("__at")
+    return rows.select(key, F.filter(F.transform(starts, section), lambda s: s["body"] != "").alias("s"))
 
 
 def sections(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """(key, section, title, line, body): see section_array."""
-    return docs.select(key, F.inline(section_array(F.col(text))))
+    """(key, section, title, line, body): see _with_sections.
+
+    An outer generator, since for an inner one Spark infers a filter on the array, and moves it with all that makes the
+    array below the columns that were made once.
+    """
+    return _with_sections(docs, key, text).select(key, F.inline_outer("s")).where("body is not null")
 
 
 def cuts(text: str, limit: int) -> Iterator[tuple[int, int]]:
@@ -90,7 +97,7 @@ def chunks(docs: DataFrame, chunk_chars: int = 3000, max_chunks: int = 40, key:
 
     long = F.exists("s", lambda s: F.length(s["body"]) > chunk_chars)
     whole = F.transform("s", lambda s: F.struct(s["title"].alias("title"), s["body"].alias("text"), s["line"].alias("line")))
-    rows = docs.select(key, section_array(F.col(text)).alias("s"))
+    rows = _with_sections(docs, key, text, max_chunks)
     rows = rows.select(key, F.posexplode(F.slice(F.coalesce(cut(F.when(long, F.col("s"))), whole), 1, max_chunks)).alias("chunk", "c"))
     return rows.select(key, "chunk", F.col("c.title").alias("title"), F.col("c.text").alias("text"), F.col("c.line").alias("line"))
 

@@ -10,26 +10,34 @@ MIN_NAME = 3
 
 
 def _trigrams(text):
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3))))
+    """Distinct runs of three characters, found in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
-def links(entries: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def links(docs: DataFrame, symbols: DataFrame | None = None, keys: tuple[str, ...] = (), ident: tuple[str, ...] = ("id",)) -> DataFrame:
     """(keys, doc_id, symbol_id): the symbol's name, case aside, is a substring of the document's title, summary and keywords.
 
-    Names of three characters or more are looked up by one trigram, the one in fewest documents; candidates are verified
-    by `contains`. Distinct names are matched first and symbols joined to them afterwards. With keys, such as the project,
-    only rows that agree in them are linked.
+    docs and symbols: entries; without symbols, docs hold both. Names of three characters or more are looked up by one
+    trigram, of theirs the one in fewest documents; only trigrams of names are taken from the documents, and candidates
+    are verified by `contains`. Distinct names are matched first and symbols joined to them afterwards. With keys, such
+    as the project, only rows that agree in them are linked. ident: further columns that name an entry, which come out
+    with doc_ and symbol_ before their names.
     """
+    docs, symbols = docs.where("type = 'doc'"), (docs if symbols is None else symbols).where("type = 'symbol'")
     hay = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " ")))
-    docs = entries.where("type = 'doc'").select(*keys, F.col("id").alias("doc_id"), hay.alias("hay")).where(F.length("hay") >= MIN_NAME)
-    symbols = entries.where("type = 'symbol'").select(*keys, F.col("id").alias("symbol_id"), F.lower(F.col("keywords")[0]).alias("name")).where(F.length("name") >= MIN_NAME)
-    grams = docs.select(*keys, "doc_id", F.explode(_trigrams(F.col("hay"))).alias("gram"))
+    docs = docs.select(*keys, F.struct(*ident).alias("doc"), hay.alias("hay")).where(F.length("hay") >= MIN_NAME)
+    symbols = symbols.select(*keys, F.struct(*ident).alias("symbol"), F.lower(F.col("keywords")[0]).alias("name")).where(F.length("name") >= MIN_NAME)
+    names = symbols.select(*keys, "name").distinct()
+    named = names.select(*keys, "name", F.explode_outer(_trigrams(F.col("name"))).alias("gram"))
+    # outer generators: for an inner one Spark infers a filter, and makes the trigrams twice
+    grams = docs.select(*keys, "doc", "hay", F.explode_outer(_trigrams(F.col("hay"))).alias("gram"))
+    grams = grams.join(named.select(*keys, "gram").distinct(), [*keys, "gram"], "left_semi")
     counts = grams.groupBy(*keys, "gram").agg(F.count("*").alias("k"))
-    names = symbols.select(*keys, "name").distinct().select(*keys, "name", F.explode(_trigrams(F.col("name"))).alias("gram"))
-    known = names.join(counts, [*keys, "gram"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
-    rarest = known.groupBy(*keys, "name").agg(F.min(F.struct("k", "gram")).alias("g")).where("g.k > 0").select(*keys, "name", F.col("g.gram").alias("gram"))
-    pairs = grams.join(rarest, [*keys, "gram"]).join(docs, [*keys, "doc_id"]).where(F.col("hay").contains(F.col("name"))).select(*keys, "doc_id", "name")
-    return pairs.join(symbols, [*keys, "name"]).select(*keys, "doc_id", "symbol_id").distinct()
+    rarest = named.join(counts, [*keys, "gram"], "left").groupBy(*keys, "name").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "gram")).alias("g"))
+    rarest = rarest.where("g.k > 0").select(*keys, "name", F.col("g.gram").alias("gram"))
+    pairs = grams.join(rarest, [*keys, "gram"]).where(F.col("hay").contains(F.col("name"))).select(*keys, "doc", "name")
+    out = pairs.join(symbols, [*keys, "name"]).select(*keys, *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("doc", "symbol") for c in ident])
+    return out.distinct()
 
 
 def linked_symbols(found: DataFrame) -> DataFrame:

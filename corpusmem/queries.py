@@ -17,6 +17,7 @@ from corpusmem.config import CJK, WS
 from corpusmem.functions import text as fn
 from corpusmem.operators import chunk, links, models, notes, rank, symbols
 from corpusmem.plans import index
+from corpusmem.plans.scratch import stored
 from corpusmem.sources import files
 from corpusmem.streaming import observe
 
@@ -82,10 +83,6 @@ SYMBOLS = (
     "select 's' || " + V("item_id") + " as id, 'symbol' as type, name || ' (function)' as title, 'function ' || name as summary, split(name || ' function', ' ') as keywords, 'src/a.py' as source_path, cast(item_id + 1 as int) as source_line "
     "from (select item_id, lower(regexp_extract(text, '^[A-Za-z]+ ([A-Za-z]+)', 1)) as name from {benchmark}) b"
 )
-ENTRIES = (
-    "select 'd' || " + V("doc_id") + " as id, 'doc' as type, substr(text, 1, 40) as title, substr(text, 1, 300) as summary, split(lang, ' ') as keywords, 'docs/' || source || '.md' as source_path, cast(doc_id % 50 + 1 as int) as source_line from {documents} "
-    "union all " + SYMBOLS
-)
 ASKED = "select item_id as query_id, 0 as variant, text from {benchmark}"
 # the second variant is the whole text of the next item: one that held the first, or was part of it, would decide every maximum
 VARIANTS = ASKED + " union all select a.item_id, 1, b.text from {benchmark} a join {benchmark} b on b.item_id = a.item_id + 1"
@@ -274,9 +271,9 @@ def _(listing, manifest):
     return index.upsert(entry(manifest), entry(touched), touched)
 
 
-@_query("s12_all_entries", "SELECT id, type, title FROM {0} WHERE type = 'symbol'", ENTRIES)
+@_query("s12_all_entries", "SELECT id, type, title, summary FROM {0}", CHUNK_ENTRIES)
 def _(entries):
-    return index.flatten(entries, kinds=("symbol",)).select("id", "type", "title")
+    return index.flatten(entries, kinds=("doc", "symbol")).select("id", "type", "title", "summary")
 
 
 @_query("s13_inventory", "SELECT coalesce(f.project, n.project) AS project, coalesce(files, 0) AS files, coalesce(entries, 0) AS entries, coalesce(notes, 0) AS notes FROM (SELECT project, count(*) FILTER (WHERE lower(path) NOT LIKE '%.bin') AS files, count(*) AS entries FROM {0} GROUP BY 1) f FULL JOIN (SELECT project, count(*) AS notes FROM {1} GROUP BY 1) n ON f.project = n.project", LISTING, NOTES)
@@ -334,7 +331,8 @@ def _(docs):
     return chunk.doc_entries(chunk.chunks(docs)).select("id", "title", "summary", F.array_join("keywords", " ").alias("keywords"), "source_line")
 
 
-ANSWERS = "select 'd' || " + V("doc_id") + " as id, case doc_id % 4 when 0 then '```json' || chr(10) || '{\"title\": \"T' || " + V("doc_id") + " || '\", \"summary\": \"about ' || lang || '.\", \"keywords\": [\"k1\", \"' || source || '\"]}' || chr(10) || '```' when 1 then 'Sure: {\"summary\": \"only ' || source || '\", \"keywords\": []} done' when 2 then '[\"a\", \"b ' || lang || '\"]' else 'no json' end as answer from {documents}"
+# answers to the first chunk of each document: a whole one, one without title and keywords, a list, and none
+ANSWERS = "select " + V("doc_id") + " || '#0' as id, case doc_id % 4 when 0 then '```json' || chr(10) || '{\"title\": \"T' || " + V("doc_id") + " || '\", \"summary\": \"about ' || lang || '.\", \"keywords\": [\"k1\", \"' || source || '\"]}' || chr(10) || '```' when 1 then 'Sure: {\"summary\": \"only ' || source || '\", \"keywords\": []} done' when 2 then '[\"a\", \"b ' || lang || '\"]' else 'no json' end as answer from {documents}"
 ANSWERS = ANSWERS.replace('{"', "\x02").replace('"}', '"\x03').replace("]}", "]\x03")
 
 
@@ -346,13 +344,13 @@ def _braces(sql: str) -> str:
 ANSWERS = _braces(ANSWERS)
 
 
-@_query("d6_model_entries", "SELECT e.id, CASE WHEN n % 4 = 0 THEN 'T' || n ELSE title END AS title, CASE n % 4 WHEN 0 THEN 'about ' || lang || '.' WHEN 1 THEN 'only ' || source ELSE summary END AS summary, CASE WHEN n % 4 = 0 THEN 'k1 ' || source ELSE array_to_string(keywords, ' ') END AS keywords FROM (SELECT *, CAST(substr(id, 2) AS INT) AS n FROM {0} WHERE type = 'doc') e JOIN documents d ON d.doc_id = e.n", ENTRIES, ANSWERS)
+@_query("d6_model_entries", "SELECT e.id, CASE WHEN n % 4 = 0 THEN 'T' || n ELSE title END AS title, CASE n % 4 WHEN 0 THEN 'about ' || lang || '.' WHEN 1 THEN 'only ' || source ELSE summary END AS summary, CASE WHEN n % 4 = 0 THEN 'k1 ' || source ELSE array_to_string(keywords, ' ') END AS keywords FROM (SELECT * FROM {0} WHERE type = 'doc') e LEFT JOIN (SELECT doc_id AS n, doc_id || '#0' AS id, lang, source FROM documents) d ON d.id = e.id", CHUNK_ENTRIES, ANSWERS)
 def _(entries, answers):
     got = models.entries_with_answers(entries.where("type = 'doc'"), answers)
     return got.select("id", "title", "summary", F.array_join("keywords", " ").alias("keywords"))
 
 
-@_query("d7_model_answers", "SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'T' || doc_id END AS title, CASE doc_id % 4 WHEN 0 THEN 'about ' || lang || '.' WHEN 1 THEN 'only ' || source END AS summary, CASE WHEN doc_id % 4 = 2 THEN 'a|b ' || lang END AS list FROM documents", ANSWERS)
+@_query("d7_model_answers", "SELECT doc_id || '#0' AS id, CASE WHEN doc_id % 4 = 0 THEN 'T' || doc_id END AS title, CASE doc_id % 4 WHEN 0 THEN 'about ' || lang || '.' WHEN 1 THEN 'only ' || source END AS summary, CASE WHEN doc_id % 4 = 2 THEN 'a|b ' || lang END AS list FROM documents", ANSWERS)
 def _(answers):
     a = models.parse_entry(F.col("answer"))
     return answers.select("id", a["title"].alias("title"), a["summary"].alias("summary"), F.array_join(models.parse_list(F.col("answer")), "|").alias("list"))
@@ -458,8 +456,9 @@ def _(rows):
 
 
 def _scored(queries, rows):
-    text = F.col("txt")
-    return rank.scores(rank.query_terms(queries), rank.postings(rows, text), rank.lengths(rows, text))
+    terms = rank.query_terms(queries)
+    few = rank.small(terms, rows)
+    return rank.scores(terms, rank.asked_postings(rows, F.col("txt"), terms, few), few)
 
 
 @_query("r3_bm25_scores", f"WITH {_bm25('SELECT * FROM {1}', 'SELECT * FROM {0}')} SELECT query_id, pool, id, round(score, 6) AS score FROM s", ASKED, DOC_ROWS)
@@ -479,7 +478,8 @@ def _(queries, entries):
 
 @_query("r6_no_variants", "SELECT query_id, pool, CAST(rank AS INT) AS rank, id, 0.0::DOUBLE AS score FROM (SELECT DISTINCT query_id FROM {0} WHERE query_id % 3 = 0) q, (SELECT pool, id, row_number() OVER (PARTITION BY pool ORDER BY id) AS rank FROM {1}) WHERE rank <= 8", ASKED, POOLS)
 def _(queries, rows):
-    return rank.without_variants(queries, queries.where("query_id % 3 <> 0"), rows)
+    asked = queries.select("query_id", F.explode(F.array(F.lit("doc"), F.lit("symbol"))).alias("pool"))
+    return rank.without_variants(asked, queries.where("query_id % 3 <> 0"), rows)
 
 
 @_query("r7_note_ranking", f"WITH {_bm25(f'SELECT project AS pool, id, {_NOTE_TEXT} AS txt FROM {{1}}', 'SELECT * FROM {0}')} SELECT query_id, pool, rank, id, score, rel_score FROM k WHERE rank <= 5", ASKED, NOTES)
@@ -487,8 +487,8 @@ def _(queries, kept):
     return rank.search(queries, kept.withColumnRenamed("project", "pool"), fn.note_text(), 5)
 
 
-LISTS = _braces("select item_id as query_id, text, case item_id % 3 when 0 then '[\"one ' || substr(text, 1, 10) || '\", \" \", \"two\", \"3\", \"4\", \"5\", \"6\", \"7\"]' when 1 then 'oops' else '[]' end as answer from (select item_id, replace(replace(text, chr(10), ' '), chr(34), ' ') as text from {benchmark}) b")
-_LIST_SQL = "SELECT query_id, CAST(i - 1 AS INT) AS variant, v[i] AS text FROM (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN ['one ' || substr(text, 1, 10), 'two', '3', '4', '5', '6'] ELSE [text] END AS v FROM {0}), LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i)"
+LISTS = _braces("select item_id as query_id, text, case item_id % 3 when 0 then '[\"one ' || text || '\", \" \", \"two\", \"3\", \"4\", \"5\", \"6\", \"7\"]' when 1 then 'oops' else '[]' end as answer from (select item_id, replace(replace(text, chr(10), ' '), chr(34), ' ') as text from {benchmark}) b")
+_LIST_SQL = "SELECT query_id, CAST(i - 1 AS INT) AS variant, v[i] AS text FROM (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN ['one ' || text, 'two', '3', '4', '5', '6'] ELSE [text] END AS v FROM {0}), LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i)"
 
 
 @_query("r8_query_expansion", _LIST_SQL, LISTS)
@@ -513,7 +513,10 @@ ct AS (SELECT query_id, rank, k.id, score, rel_score, e.title, e.summary, e.sour
 
 
 def _cited(queries, entries):
-    return rank.cite(rank.search(queries, rank.layered(entries), fn.entry_text()), entries, links.links(entries))
+    # entries are searched, linked and shown: made once, as a stored memory has them
+    entries = stored(entries)
+    hits = stored(rank.search(queries, rank.layered(entries), fn.entry_text()))
+    return rank.cite(hits, entries, rank.linked(hits, entries))
 
 
 @_query("r11_citations", f"{_CITED} SELECT query_id, rank, id, title, source, refs FROM ct", ASKED, CHUNK_ENTRIES)
@@ -526,7 +529,7 @@ MISSES = ASKED + " union all select 1000000 + item_id, 0, 'łł' from {benchmark
 
 @_query(
     "r12_answers",
-    f"""{_CITED}, an AS (SELECT query_id, '## Memory (docs + symbols)' || chr(10) || chr(10) || string_agg('### ' || title || ' (score: ' || rel_score || ')' || chr(10) || '- source: ' || source || chr(10) || '- ' || summary || CASE WHEN refs <> '' THEN chr(10) || '- references: ' || refs ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS a FROM ct GROUP BY query_id),
+    f"""{_CITED}, an AS (SELECT query_id, '## Memory (docs + symbols)' || chr(10) || chr(10) || string_agg('### ' || title || ' (score: ' || rel_score || ')' || chr(10) || '- source: ' || source || chr(10) || '- ' || summary || CASE WHEN refs <> '' THEN chr(10) || chr(10) || '- references: ' || refs ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS a FROM ct GROUP BY query_id),
     fin AS (SELECT q.query_id, coalesce(a, 'No memory matches for "' || q.text || '".') AS a FROM {{0}} q LEFT JOIN an ON an.query_id = q.query_id)
     SELECT query_id, CASE WHEN length(a) > 2000 THEN substr(a, 1, 2000) || chr(10) || chr(10) || '...[truncated at 2000 chars]' ELSE a END AS answer FROM fin""",
     MISSES, CHUNK_ENTRIES,
