@@ -113,15 +113,20 @@ def doc_entries(chunked: DataFrame, key: str = "path") -> DataFrame:
     )
 
 
-def assemble_pages(pages: DataFrame, key: str = "doc_id", selection: Column | None = None, max_pages: int = 1000) -> DataFrame:
-    """(key, n_pages, text, error): pages in order under page headings (one page: alone); too many or none is an error."""
-    count = pages.groupBy(key).agg(F.count("*").alias("total"))
+def assemble_pages(pages: DataFrame, key: str | tuple[str, ...] = "doc_id", selection: Column | None = None, max_pages: int = 1000) -> DataFrame:
+    """(key, n_pages, text, error): pages in order under page headings (one page: alone); too many or none is an error.
+
+    Pages of a document beyond max_pages are counted, never gathered.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    total = pages.groupBy(*key).agg(F.count("*").alias("total"))
     chosen = pages.where(selection) if selection is not None else pages
-    parts = chosen.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
-    heading = lambda x: F.concat(F.lit("## Page "), x["page"].cast("string"), F.lit("\n\n"), x["text"])
-    text = F.when(F.size("p") > 1, F.array_join(F.transform("p", heading), "\n\n")).otherwise(F.col("p")[0]["text"])
+    chosen = chosen.join(total.where(F.col("total") <= max_pages).select(key), key, "left_semi")
+    parts = chosen.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
+    heading = lambda x: F.concat(F.lit("## Page "), x["page"].cast("string"), F.lit("\n\n"), F.coalesce(x["text"], F.lit("")))
+    text = F.when(F.size("p") > 1, F.array_join(F.transform("p", heading), "\n\n")).otherwise(F.coalesce(F.col("p")[0]["text"], F.lit("")))
     error = F.when(F.col("total") > max_pages, "too many pages").when(F.col("p").isNull(), "no pages selected")
-    out = count.join(parts, key, "left").select(key, F.coalesce(F.size("p"), F.lit(0)).cast("long").alias("n_pages"), text.alias("text"), error.alias("error"))
+    out = total.join(parts, key, "left").select(*key, F.coalesce(F.size("p"), F.lit(0)).cast("long").alias("n_pages"), text.alias("text"), error.alias("error"))
     return out.withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
 
 

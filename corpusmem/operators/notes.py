@@ -23,13 +23,18 @@ def _sets(rows: DataFrame, text) -> DataFrame:
     return rows.select("project", "id", "seq", token_set(text).alias("tokens"))
 
 
+def note_id():
+    """The id of a new note, of its project, number and problem."""
+    return F.sha2(F.concat_ws("|", "project", F.col("seq").cast("string"), "problem").cast("binary"), 256)
+
+
 def remember(notes: DataFrame, new: DataFrame) -> DataFrame:
     """One batch against the stored notes: a new note supersedes its best overlapping note, else is inserted.
 
     A superseded note keeps its id and creation time; its source only changes to a given one. When several new notes hit
     one stored note the last by seq stays. New notes do not see each other (see remember_in_order).
     """
-    new = new.withColumn("id", F.sha2(F.concat_ws("|", "project", F.col("seq").cast("string"), "problem").cast("binary"), 256))
+    new = new.withColumn("id", note_id())
     hit = best_overlap(_sets(new, F.col("problem")), _sets(notes, F.col("problem")), SUPERSEDE)
     matched = new.join(hit.select("project", F.col("left_id").alias("id"), F.col("right_id").alias("old")), ["project", "id"], "left")
     last = W.partitionBy("project", "old").orderBy(F.col("seq").desc())

@@ -38,6 +38,24 @@ def change_plan(listing: DataFrame, manifest: DataFrame, max_mb: float = 50, rei
     return rows.select("project", "path", F.coalesce("kind", "old_kind").alias("kind"), status.alias("status"), "sha256", "size")
 
 
+def with_pages(listing: DataFrame, pages: DataFrame | None, max_pages: int = 1000) -> DataFrame:
+    """The listing with the texts of files that come as pages (.pdf): pages (project, path, page, text) assembled.
+
+    Bytes of such a file are never taken for text. Without pages, or with more than max_pages, it has failed.
+    """
+    paged = files.is_paged(F.col("path"))
+    if "failed" not in listing.columns:
+        listing = listing.withColumn("failed", F.lit(False))
+    if pages is None:
+        text, out = F.lit(None).cast("string"), listing
+    else:
+        made = chunk.assemble_pages(pages, ("project", "path"), max_pages=max_pages)
+        text, out = F.col("page_text"), listing.join(made.select("project", "path", F.col("text").alias("page_text")), ["project", "path"], "left")
+    text = F.when(paged, text).otherwise(F.col("text"))
+    failed = F.coalesce("failed", F.lit(False)) | (paged & text.isNull())
+    return out.select(*[c for c in listing.columns if c not in ("text", "failed")], text.alias("text"), failed.alias("failed"))
+
+
 def report(plan: DataFrame) -> DataFrame:
     """Counts of a run by project: documents and code indexed, skipped (unchanged, oversize, dumps), removed, failures."""
     done = F.col("status").isin("new", "changed")

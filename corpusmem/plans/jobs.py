@@ -4,71 +4,126 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusmem.config import Config
 from corpusmem.functions.text import entry_text, note_text, truncate
-from corpusmem.operators import links, notes, rank
+from corpusmem.operators import links, models, notes, rank
 from corpusmem.plans import index
+from corpusmem.plans.scratch import remove, stored
 from corpusmem.streaming import observe
 
 SCHEMAS = {
     "manifest": "project string, path string, sha256 string, size long, kind string, indexed_at timestamp",
     "entries": "project string, path string, seq long, id string, type string, title string, summary string, keywords array<string>, source_path string, source_line int, text string",
-    "links": "project string, doc_id string, symbol_id string",
+    "links": "project string, path string, doc_id string, symbol_path string, symbol_id string",
     "notes": notes.SCHEMA,
     "snapshot": "project string, path string, mtime double, size long",
     "plan": "project string, path string, kind string, status string, sha256 string, size long",
 }
-COMMITS = "version long, name string, dir string"
+COMMITS = "name string, bucket int, dir string"
 FILE = ["project", "path"]
+#: Tables that are kept in buckets by project and path; of the others, each version is whole.
+BY_PATH = ("manifest", "entries", "links", "snapshot")
 
 
 class MemoryStore:
     """Versioned Parquet tables below one shared path, with one writer at a time.
 
-    A version is visible once its rows stand in `commits`, all in one file, so a job that is lost before that changes
-    nothing and may simply run again; readers of older versions are never disturbed.
+    Tables of files are kept in buckets by project and path. A version writes only the buckets it touches, below a folder
+    of its own; the commit names, for each table and bucket, the folder that counts. A commit shows once its file is
+    whole, so a job that is lost before that changes nothing and may simply run again, and readers of older versions are
+    not disturbed until vacuum() removes what they read. buckets: fixed for a store; so many that one is quickly
+    written. Commits have tables x buckets rows, whatever the tables hold.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.made = spark, path.rstrip("/"), {}
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.made: dict[str, tuple[str, dict[int, bool]]] = {}
 
-    def _commits(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], COMMITS)
+    def _list(self, below: str) -> list[str]:
+        """Names in a folder of the store; none if it isn't there."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{below}")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
 
-    def version(self) -> int:
-        return self._commits().agg(F.max("version")).first()[0] or 0
-
-    def table(self, name: str) -> DataFrame:
-        """The last committed version of a table, empty before the first."""
-        last = self._commits().where(F.col("name") == name).agg(F.max_by("dir", "version")).first()[0]
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{last}") if last else self.spark.createDataFrame([], SCHEMAS[name])
+    def _versions(self) -> list[int]:
+        """Committed versions, oldest first; a commit that was lost while it was written has no _SUCCESS."""
+        return sorted(int(v[2:]) for v in self._list("commits") if v.startswith("v=") and "_SUCCESS" in self._list(f"commits/{v}"))
 
-    def put(self, name: str, rows: DataFrame) -> DataFrame:
-        """Writes a table's next version and returns it as stored; commit() makes it visible to others."""
+    def version(self) -> int:
+        return max(self._versions(), default=0)
+
+    def _dirs(self, version: int) -> dict[tuple[str, int], str]:
+        if not version:
+            return {}
+        return {(r["name"], r["bucket"]): r["dir"] for r in self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits/v={version}").collect()}
+
+    def bucket(self) -> Column:
+        """The bucket of a row with a project and a path."""
+        return F.pmod(F.xxhash64(*FILE), F.lit(self.buckets)).cast("int")
+
+    def buckets_of(self, rows: DataFrame) -> list[int]:
+        return [r[0] for r in rows.select(self.bucket()).distinct().collect()]  # `buckets` numbers at most
+
+    def _read(self, name: str, dirs: dict[int, str], buckets: list[int] | None) -> DataFrame:
+        paths = [f"{self.path}/{d}" for b, d in sorted(dirs.items()) if buckets is None or b in buckets]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """The last committed version of a table, or some of its buckets; empty before the first."""
+        return self._read(name, {b: d for (n, b), d in self._dirs(self.version()).items() if n == name}, buckets)
+
+    def coming(self, name: str) -> DataFrame:
+        """The table as it will be once what has been put is committed."""
+        return self._read(name, {b: d for (n, b), d in self._next().items() if n == name}, None)
+
+    def _next(self) -> dict[tuple[str, int], str]:
+        dirs = self._dirs(self.version())
+        for name, (to, written) in self.made.items():
+            for b, there in written.items():
+                dirs.pop((name, b), None)
+                if there:
+                    dirs[name, b] = f"{to}/bucket={b}"
+        return dirs
+
+    def put(self, name: str, rows: DataFrame, buckets: list[int] | None = None) -> DataFrame:
+        """Writes the next version of a table's buckets (all: None) and returns it as stored; commit() makes it visible.
+
+        rows are all that these buckets hold from then on; a bucket without rows goes.
+        """
         kinds = StructType.fromDDL(SCHEMAS[name])
-        self.made[name] = f"{name}/v={self.version() + 1}"
-        to = f"{self.path}/{self.made[name]}"
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in kinds]).sortWithinPartitions("project").write.mode("overwrite").parquet(to)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(to)
+        to = f"{name}/v={self.version() + 1}"
+        own = self.bucket() if name in BY_PATH else F.lit(0)
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in kinds], own.alias("bucket"))
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *([*FILE] if name in BY_PATH else ["project"])).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{to}")
+        there = {int(d[7:]) for d in self._list(to) if d.startswith("bucket=")}
+        every = (range(self.buckets) if name in BY_PATH else [0]) if buckets is None else buckets
+        self.made[name] = to, {b: b in there for b in every}
+        return self._read(name, {b: f"{to}/bucket={b}" for b in there}, None)
 
     def commit(self) -> int:
-        """Makes all tables put since the last commit visible at once."""
+        """Makes all that was put since the last commit visible at once."""
         version = self.version() + 1
-        rows = [(version, name, to) for name, to in self.made.items()]
-        self.spark.createDataFrame(rows, COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        rows = [(name, b, d) for (name, b), d in self._next().items()]
+        self.spark.createDataFrame(rows, COMMITS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/v={version}")
         self.made = {}
         return version
 
+    def vacuum(self, keep: int = 1) -> int:
+        """Removes folders that none of the last `keep` versions reads, and older commits; returns how many folders."""
+        versions = self._versions()
+        used = {d for v in versions[-keep:] for d in self._dirs(v).values()}
+        gone = [f"commits/v={v}" for v in versions[:-keep]]
+        for name in SCHEMAS:
+            for v in (x for x in self._list(name) if x.startswith("v=") and int(x[2:]) <= self.version()):  # later ones are being written
+                gone += [d for b in self._list(f"{name}/{v}") if b.startswith("bucket=") and (d := f"{name}/{v}/{b}") not in used]
+        for d in gone:
+            remove(self.spark, f"{self.path}/{d}")
+        return len(gone)
+
 
 def totals(store: MemoryStore) -> DataFrame:
     """(project, files, entries, notes, indexed_at, links) of the stored memory."""
@@ -78,27 +133,48 @@ def totals(store: MemoryStore) -> DataFrame:
 
 
 def _apply(store: MemoryStore, plan: DataFrame, texts: DataFrame, now, config: Config) -> None:
-    """Carries out a stored plan: entries of touched files are replaced, files outside the plan stay, touched projects
-    are linked anew. Entries and links keep their version where nothing was touched."""
+    """Carries out a stored plan: entries of touched files are replaced, files outside the plan stay, and links are
+    brought up to date. Only buckets of touched files are read and written, and those in which a link changes."""
     touched = plan.where(~F.col("status").isin(*index.KEEP))
-    if not touched.isEmpty():
-        todo = plan.where(F.col("status").isin("new", "changed")).select(*FILE, "kind")
-        fresh = index.extract(texts.select(*FILE, "text").join(todo, FILE), config)
-        entries = store.put("entries", index.upsert(store.table("entries"), fresh, touched))
-        projects = touched.select("project").distinct()
-        stay = store.table("links").join(projects, "project", "left_anti")
-        store.put("links", stay.unionByName(links.links(entries.join(projects, "project", "left_semi"), keys=("project",))))
-    manifest = store.table("manifest")
-    outside = manifest.join(plan.select(FILE), FILE, "left_anti")
-    store.put("manifest", outside.unionByName(index.next_manifest(plan, manifest, now)))
-
-
-def index_listing(store: MemoryStore, listing: DataFrame, now, config: Config = Config(), reindex: bool = False) -> DataFrame:
+    buckets = store.buckets_of(touched)
+    if not buckets:
+        return
+    todo = plan.where(F.col("status").isin("new", "changed")).select(*FILE, "kind")
+    fresh = index.extract(texts.select(*FILE, "text").join(todo, FILE), config)
+    stored_ = store.put("entries", index.upsert(store.table("entries", buckets), fresh, touched), buckets)
+    _relink(store, touched, stored_.join(todo.select(FILE), FILE, "left_semi"), buckets)
+    own, manifest = plan.where(store.bucket().isin(buckets)), store.table("manifest", buckets)
+    outside = manifest.join(own.select(FILE), FILE, "left_anti")
+    store.put("manifest", outside.unionByName(index.next_manifest(own, manifest, now)), buckets)
+
+
+def _relink(store: MemoryStore, touched: DataFrame, fresh: DataFrame, buckets: list[int]) -> None:
+    """Links of touched files go, new documents meet all names of their projects, and old documents new names."""
+    projects = touched.select("project").distinct()
+    entries = store.coming("entries").join(projects, "project", "left_semi")
+    symbols = fresh.where("type = 'symbol'")
+    older = entries.where("type = 'doc'").join(touched.select(FILE).distinct(), FILE, "left_anti")
+    found = lambda docs, names: links.links(docs, names, keys=("project",), ident=("path", "id")).withColumnRenamed("doc_path", "path")
+    added = found(fresh.where("type = 'doc'"), entries)
+    before = store.table("links")
+    code = touched.where("kind = 'code'").select("project", F.col("path").alias("symbol_path")).distinct()
+    if not code.isEmpty():
+        added = added.unionByName(found(older, symbols))
+        buckets = sorted({*buckets, *store.buckets_of(before.join(code, ["project", "symbol_path"], "left_semi"))})
+    added = stored(added)
+    buckets = sorted({*buckets, *store.buckets_of(added)})
+    stay = store.table("links", buckets).join(touched.select(FILE).distinct(), FILE, "left_anti").join(code, ["project", "symbol_path"], "left_anti")
+    store.put("links", stay.unionByName(added), buckets)
+
+
+def index_listing(store: MemoryStore, listing: DataFrame, now, config: Config = Config(), reindex: bool = False, pages: DataFrame | None = None) -> DataFrame:
     """Indexes whole projects and returns the report of each: counts of the run and totals of the memory.
 
     listing: (project, path, sha256, size, text[, failed]), all files of its projects; what else those projects have in
-    the memory is removed, other projects stay. Running it twice changes nothing the second time.
+    the memory is removed, other projects stay. Running it twice changes nothing the second time. pages: (project, path,
+    page, text) of files that come as pages, such as .pdf; without pages such a file fails and is tried again.
     """
+    listing = index.with_pages(listing, pages, config.max_pages)
     mine = store.table("manifest").join(listing.select("project").distinct(), "project", "left_semi")
     plan = store.put("plan", index.change_plan(listing, mine, config.max_file_mb, reindex))
     _apply(store, plan, listing, now, config)
@@ -123,7 +199,7 @@ def index_documents(store: MemoryStore, listing: DataFrame, paths: DataFrame, no
 
 def _refresh(store: MemoryStore, look: DataFrame, gone: DataFrame, read: Callable[[DataFrame], DataFrame], now, config: Config) -> DataFrame:
     """Reads the files to look at, plans them and those that are gone, and carries the plan out; not committed yet."""
-    known = read(look)
+    known = index.with_pages(read(look), None, config.max_pages)
     failed = F.coalesce("failed", F.lit(False)) if "failed" in known.columns else F.lit(False)
     found = look.select(FILE).join(known.select(*FILE, "sha256", F.col("size"), "text", failed.alias("failed")), FILE, "left")
     found = found.withColumn("failed", F.coalesce("failed", F.lit(True)))  # listed, but not readable
@@ -140,11 +216,14 @@ def poll(store: MemoryStore, listing: DataFrame, read: Callable[[DataFrame], Dat
     text[, failed]) of some of them. What is gone is removed; failed files keep their entries and are tried again.
     """
     listing = listing.withColumn("mtime", F.col("mtime").cast("double")).withColumn("size", F.col("size").cast("long"))
-    snapshot = store.table("snapshot")
-    mine = snapshot.join(listing.select("project").distinct(), "project", "left_semi")
-    plan = _refresh(store, observe.to_hash(listing, mine), observe.vanished(listing, mine), read, now, config)
-    others = snapshot.join(listing.select("project").distinct(), "project", "left_anti")
-    store.put("snapshot", others.unionByName(observe.next_snapshot(listing, plan)))
+    mine = store.table("snapshot").join(listing.select("project").distinct(), "project", "left_semi")
+    look, gone = observe.to_hash(listing, mine), observe.vanished(listing, mine)
+    plan = _refresh(store, look, gone, read, now, config)
+    buckets = store.buckets_of(look.select(FILE).union(gone.select(FILE)))
+    if buckets:
+        others = store.table("snapshot", buckets).join(listing.select("project").distinct(), "project", "left_anti")
+        fresh = observe.next_snapshot(listing.where(store.bucket().isin(buckets)), plan)
+        store.put("snapshot", others.unionByName(fresh), buckets)
     store.commit()
     return plan
 
@@ -160,32 +239,65 @@ def refresh_paths(store: MemoryStore, paths: DataFrame, read: Callable[[DataFram
     return plan
 
 
-def answers(store: MemoryStore, queries: DataFrame, project: str, layer: str = "all", limit: int = 8, config: Config = Config()) -> DataFrame:
-    """(query_id, answer) over one project's entries and notes: queries (query_id, variant, text), all in one job.
+def answers(
+    store: MemoryStore, queries: DataFrame, project: str | None = None, layer: str = "all", limit: int = 8, config: Config = Config(), expansions: DataFrame | None = None,
+) -> DataFrame:
+    """(query_id, answer) over the entries and notes of each query's project, all in one job.
 
-    layer: all, doc, symbol, or experience for notes alone. Entries come first, then past problems with their solutions.
+    queries: (query_id, variant, text[, project]); project is asked by all, if they name none. layer: all, doc, symbol, or
+    experience for notes alone. Entries come first, then past problems with their solutions. A query that nothing
+    matches is told what its project holds. expansions: a model's answers (query_id, answer) with variants of the
+    queries, used if config.expand_queries.
     """
-    own = F.col("project") == project
-    entries, parts = store.table("entries").where(own), queries.select("query_id").distinct()
+    if "project" not in queries.columns:
+        queries = queries.withColumn("project", F.lit(project))
+    if config.expand_queries and expansions is not None:
+        first = queries.where("variant = 0")
+        queries = models.expand(first.select("query_id", "text"), expansions, config.expansion_count).join(first.select("query_id", "project"), "query_id")
+    asked = queries.groupBy("query_id", "project").agg(F.min_by("text", "variant").alias("text"))
+    parts, projects = asked.select("query_id"), asked.select("project").distinct()
+    own = lambda name: store.table(name).join(projects, "project", "left_semi")
+    # ids are told apart by project while all projects are searched at once
+    ident = lambda c: F.concat("project", F.lit("\n"), c)
+    pooled = queries.withColumnRenamed("project", "pool")
     if layer != "experience":
-        hits = rank.search(queries, rank.layered(entries, layer), entry_text(), limit)
-        cited = rank.cite(hits, entries, store.table("links").where(own))
-        refs = F.when(F.size("refs") > 0, F.concat(F.lit("\n\n- references: "), F.array_join("refs", "; "))).otherwise("")
-        block = F.concat(F.lit("### "), "title", F.lit(" (score: "), F.col("rel_score").cast("string"), F.lit(")\n- source: "), "source", F.lit("\n- "), F.coalesce("summary", F.lit("")), refs)
-        parts = parts.join(_section(cited, block, f"## Memory ({'docs + symbols' if layer == 'all' else layer})", "entries"), "query_id", "left")
+        kinds = ("doc", "symbol") if layer == "all" else (layer,)
+        entries = own("entries").withColumn("id", ident("id"))
+        hits = rank.search(pooled, entries.where(F.col("type").isin(*kinds)).withColumn("pool", F.col("project")), entry_text(), limit)
+        cited = rank.cite(hits, entries, own("links").select(ident("doc_id").alias("doc_id"), ident("symbol_id").alias("symbol_id")))
+        parts = parts.join(rank.section(cited, rank.block(cited), f"## Memory ({'docs + symbols' if layer == 'all' else layer})", "entries"), "query_id", "left")
     if layer in ("all", "experience"):
-        pool = store.table("notes").where(own).withColumn("pool", F.lit("notes"))
-        told = rank.search(queries, pool, note_text(), limit).join(pool.drop("pool"), "id")
+        pool = own("notes").withColumn("pool", F.col("project")).withColumn("own_id", F.col("id")).withColumn("id", ident("id"))
+        told = rank.search(pooled, pool, note_text(), limit).join(pool.drop("pool"), "id")
         source = F.when(F.coalesce("source_file", F.lit("")) != "", F.concat(F.lit(" (source: "), "source_file", F.lit(")"))).otherwise("")
-        block = F.concat(F.lit("### Problem: "), F.coalesce("problem", F.lit("")), F.lit(" (score: "), F.col("rel_score").cast("string"), F.lit(", id: "), "id", F.lit(")\n- solution: "), F.coalesce("solution", F.lit("")), source, F.lit("\n- updated: "), F.coalesce(F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("")))
-        parts = parts.join(_section(told, block, "## Experience (past problems -> solutions)", "notes"), "query_id", "left")
+        block = F.concat(F.lit("### Problem: "), F.coalesce("problem", F.lit("")), F.lit(" (score: "), F.col("rel_score").cast("string"), F.lit(", id: "), "own_id", F.lit(")\n- solution: "), F.coalesce("solution", F.lit("")), source, F.lit("\n- updated: "), F.coalesce(F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("")))
+        parts = parts.join(rank.section(told, block, "## Experience (past problems -> solutions)", "notes"), "query_id", "left")
     sections = F.concat_ws("\n\n", *[c for c in ("entries", "notes") if c in parts.columns])
-    asked = queries.groupBy("query_id").agg(F.min_by("text", "variant").alias("text"))
-    miss = F.concat(F.lit('No memory matches for "'), F.coalesce("text", F.lit("")), F.lit(f'" in {project}.'))
-    return asked.join(parts, "query_id").select("query_id", truncate(F.when(sections != "", sections).otherwise(miss), config.max_output_chars).alias("answer"))
+    stock = totals(store).select("project", F.concat(F.lit("\nThe memory of "), "project", F.lit(" holds "), *[x for c in ("files", "entries", "notes") for x in (F.col(c).cast("string"), F.lit(f" {c}" + ("." if c == "notes" else ", ")))]).alias("stock"))
+    none = F.concat(F.lit('No memory matches for "'), F.coalesce("text", F.lit("")), F.lit('" in '), "project", F.lit("."), F.coalesce("stock", F.lit("")))
+    out = asked.join(parts, "query_id").join(stock, "project", "left")
+    return out.select("query_id", truncate(F.when(sections != "", sections).otherwise(none), config.max_output_chars).alias("answer"))
+
+
+def remember(store: MemoryStore, new: DataFrame, now) -> DataFrame:
+    """Adds notes (project, seq, problem, solution, source_file) in order, each seeing those before it, and returns the
+    totals. A note that overlaps a stored one takes its place; projects keep twice as many notes as files, within bounds."""
+    at = F.lit(now).cast("timestamp")
+    kept, projects = store.table("notes"), new.select("project").distinct()
+    last = kept.join(projects, "project", "left_semi").groupBy("project").agg(F.max("seq").alias("last"))
+    rows = new.join(last, "project", "left").withColumn("seq", F.col("seq") + F.coalesce("last", F.lit(0)))
+    rows = rows.select("project", notes.note_id().alias("id"), "seq", "problem", "solution", "source_file", at.alias("created_at"), at.alias("updated_at"))
+    files_ = store.table("manifest").groupBy("project").agg(F.count("*").cast("int").alias("n_files"))
+    mine = notes.remember_in_order(kept.join(projects, "project", "left_semi"), rows, files_)
+    store.put("notes", kept.join(projects, "project", "left_anti").unionByName(mine))
+    store.commit()
+    return totals(store)
 
 
-def _section(hits: DataFrame, block, heading: str, name: str) -> DataFrame:
-    """(query_id, name): a heading and the blocks of a query's hits by rank, at most twenty."""
-    rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("b"))
-    return rows.select("query_id", F.concat(F.lit(heading + "\n\n"), F.array_join(F.transform("b", lambda x: x["b"]), "\n\n")).alias(name))
+def forget(store: MemoryStore, requests: DataFrame) -> DataFrame:
+    """Removes the notes that requests (project, query) name, by id or by words, and returns (project, forgotten)."""
+    kept = store.table("notes")
+    left = store.put("notes", notes.forget(kept, requests))
+    gone = kept.select("project", "id").join(left.select("project", "id"), ["project", "id"], "left_anti").groupBy("project").agg(F.count("*").alias("forgotten"))
+    store.commit()
+    return requests.select("project").distinct().join(gone, "project", "left").withColumn("forgotten", F.coalesce("forgotten", F.lit(0)))

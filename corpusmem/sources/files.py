@@ -15,6 +15,7 @@ from corpusmem.operators.symbols import LANGUAGES, OTHER_CODE, extension
 # Names of directories that are not listed, and extensions of documents.
 IGNORED = (".git", "node_modules", "dist", "build", ".next", "venv", ".venv", "__pycache__", ".idea", ".vscode", ".cache", "coverage", ".turbo", "target", "vendor", "third_party", "thirdparty", "obj")
 DOCUMENTS = (".pdf", ".md", ".markdown", ".txt")
+PAGED = (".pdf",)
 CODE = tuple(x for group in LANGUAGES.values() for x in group) + OTHER_CODE
 
 
@@ -108,6 +109,11 @@ def kind(path: Column) -> Column:
     return F.when(ext.isin(*DOCUMENTS), "doc").when(ext.isin(*CODE), "code")
 
 
+def is_paged(path: Column) -> Column:
+    """Whether a file comes as pages: its bytes aren't text."""
+    return extension(path).isin(*PAGED)
+
+
 def store_key(path: Column, root: str = "", case_insensitive: bool = False) -> Column:
     """A path relative to the root with forward slashes; lower-cased where file names ignore case."""
     path = F.replace(path, F.lit("\\"), F.lit("/"))
@@ -136,9 +142,10 @@ def rejected(listing: DataFrame, max_mb: float) -> DataFrame:
 
 
 def read_texts(listing: DataFrame, max_mb: float = 50) -> DataFrame:
-    """(path, size, sha256, text) of files within the cap; bytes that aren't UTF-8 become replacement characters."""
+    """(path, size, sha256, text) of files within the cap; bytes that aren't UTF-8 become replacement characters. Files
+    that come as pages have a hash but no text: see plans.index.with_pages."""
     rows = listing.where(F.col("content").isNotNull() & ~oversize(F.col("size"), max_mb))
-    return rows.select("path", "size", F.sha2("content", 256).alias("sha256"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return rows.select("path", "size", F.sha2("content", 256).alias("sha256"), F.when(~is_paged(F.col("path")), F.make_valid_utf8(F.col("content").cast("string"))).alias("text"))
 
 
 # Marks of project roots.

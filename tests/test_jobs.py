@@ -98,7 +98,8 @@ def test_answers(spark, store):
     assert got[1].startswith("## Memory (docs + symbols)\n\n### Fees (score: 100)\n- source: a.md:1\n- ")
     assert "\n\n- references: PaymentService (class) @ b.py:1; charge (function) @ b.py:2" in got[1]
     assert got[1].endswith("## Experience (past problems -> solutions)\n\n### Problem: charge fails on retry (score: 100, id: n1)\n- solution: use a key (source: b.py)\n- updated: 2024-02-03T04:05:06.000Z")
-    assert got[2] == 'No memory matches for "zebra" in p.' and got[3] == 'No memory matches for "" in p.'
+    stock = "\nThe memory of p holds 3 files, 4 entries, 1 notes."
+    assert got[2] == f'No memory matches for "zebra" in p.{stock}' and got[3] == f'No memory matches for "" in p.{stock}'
     alone = jobs.answers(store, asked, "p", layer="experience", config=Config(max_output_chars=20)).where("query_id = 1").first()["answer"]
     assert alone == "## Experience (past \n\n...[truncated at 20 chars]"
 
@@ -109,3 +110,52 @@ def test_links_by_project_equal_links_of_each(spark):
     both = {tuple(r) for r in links.links(entries, keys=("project",)).collect()}
     one = {(p, *r) for p in "pq" for r in links.links(entries.where(F.col("project") == p)).collect()}
     assert both == one and {p for p, *_ in both} == {"p", "q"}
+
+
+def test_one_changed_file_writes_only_its_buckets(spark, store, tmp_path):
+    many = {("p", f"d{i}.md"): f"# Topic {i}\n\nabout charge {i}" for i in range(300)} | {("p", "b.py"): PY}
+    jobs.index_listing(store, _listing(spark, many), "2024-01-01")
+    whole = {n: len(store._list(f"{n}/v=1")) for n in ("entries", "links", "manifest")}
+    assert whole["entries"] > 40
+    changed = many | {("p", "d7.md"): "# Topic 7\n\nabout refunds"}
+    jobs.index_listing(store, _listing(spark, changed), "2024-01-02")
+    for name in ("entries", "links", "manifest"):
+        assert [b for b in store._list(f"{name}/v=2") if b.startswith("bucket=")] == [f"bucket={store.buckets_of(spark.createDataFrame([('p', 'd7.md')], 'project string, path string'))[0]}"]
+    rebuilt = jobs.MemoryStore(spark, str(tmp_path / "rebuilt"))
+    jobs.index_listing(rebuilt, _listing(spark, changed), "2024-01-02")
+    assert _state(store) == _state(rebuilt)
+    before = _state(store)
+    assert store.vacuum() > 0 and _state(store) == before and store.version() == 2
+    renamed = changed | {("p", "b.py"): PY.replace("charge", "refunds")}  # names change: links of other files, too
+    jobs.index_listing(store, _listing(spark, renamed), "2024-01-03")
+    again = jobs.MemoryStore(spark, str(tmp_path / "again"))
+    jobs.index_listing(again, _listing(spark, renamed), "2024-01-03")
+    assert _state(store) == _state(again) and store.table("links").count() == 1
+
+
+def test_pages_are_indexed_and_bytes_are_not(spark, store):
+    listing = _listing(spark, {("p", "a.md"): "# A", ("p", "x.pdf"): "%PDF-1.4 stream", ("p", "long.pdf"): "%PDF"})
+    pages = spark.createDataFrame([("p", "x.pdf", 2, "second about fees"), ("p", "x.pdf", 1, "first"), *[("p", "long.pdf", k, "t") for k in range(4)]], "project string, path string, page int, text string")
+    report = jobs.index_listing(store, listing, "2024-01-01").first()
+    assert (report["docs"], report["failed"]) == (1, ["long.pdf", "x.pdf"])
+    assert {r["path"] for r in store.table("entries").collect()} == {"a.md"}
+    report = jobs.index_listing(store, listing, "2024-01-02", Config(max_pages=3), pages=pages).first()
+    assert (report["docs"], report["failed"]) == (1, ["long.pdf"])
+    assert [(r["title"], r["source_line"]) for r in store.table("entries").where("path = 'x.pdf'").orderBy("seq").collect()] == [("Page 1", 1), ("Page 2", 5)]
+
+
+def test_notes_and_many_projects(spark, store):
+    jobs.index_listing(store, _listing(spark, FIRST), "2024-01-01")
+    new = spark.createDataFrame([("p", 1, "login is slow on mondays", "cache it", None), ("p", 2, "login is slow on mondays again", "cache more", "b.py"), ("q", 1, "charge fails", "retry", None)], "project string, seq long, problem string, solution string, source_file string")
+    got = {r["project"]: r["notes"] for r in jobs.remember(store, new, "2024-02-01").collect()}
+    assert got == {"p": 1, "q": 1}  # the second note takes the place of the first
+    asked = spark.createDataFrame([(1, 0, "charge", "p"), (2, 0, "charge", "q"), (3, 0, "zebra", "q")], "query_id int, variant int, text string, project string")
+    answers = {r["query_id"]: r["answer"] for r in jobs.answers(store, asked).collect()}
+    assert "Fees" in answers[1] and "Other" not in answers[1] and "charge fails" not in answers[1]
+    assert "Other" in answers[2] and "Fees" not in answers[2] and "charge fails" in answers[2]
+    assert answers[3] == 'No memory matches for "zebra" in q.\nThe memory of q holds 1 files, 1 entries, 1 notes.'
+    more = spark.createDataFrame([(3, '["zebra", "charge"]')], "query_id int, answer string")
+    wider = jobs.answers(store, asked, config=Config(expand_queries=True), expansions=more).where("query_id = 3").first()["answer"]
+    assert "Other" in wider
+    gone = jobs.forget(store, spark.createDataFrame([("p", "slow login"), ("q", "nothing like it")], "project string, query string"))
+    assert {r["project"]: r["forgotten"] for r in gone.collect()} == {"p": 1, "q": 0} and store.table("notes").count() == 1
