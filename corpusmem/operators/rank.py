@@ -65,7 +65,9 @@ def asked_postings(rows: DataFrame, text, terms: DataFrame, few: bool = False) -
     of scores by row need another shuffle.
     """
     bag = rows.select("pool", "id", tokens(text).alias("t"))
-    every = bag.select("pool", "id", F.size("t").cast("long").alias("len"), F.explode_outer(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    # the length first: what is computed beside an explode would carry the whole array along with each of its tokens
+    bag = bag.select("pool", "id", F.size("t").cast("long").alias("len"), F.concat(F.array(F.lit("")), "t").alias("t"))
+    every = bag.select("pool", "id", "len", F.explode_outer("t").alias("term"))
     asked = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
     found = every.join(_sent(asked, few), "term", "left_semi").repartition("id")
     return found.groupBy("pool", "id", "len", "term").agg(F.count("*").alias("tf"))
