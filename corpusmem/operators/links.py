@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmem.plans.scratch import stored
+
 MIN_NAME = 3
 
 
@@ -53,15 +55,67 @@ def nested_loop_links(entries: DataFrame) -> DataFrame:
     return docs.join(symbols, F.col("hay").contains(F.col("name"))).select("doc_id", "symbol_id").distinct()
 
 
+def keyed_sets(rows: DataFrame) -> DataFrame:
+    """rows (project, id, seq, tokens) with `set`, a name of the token set that equal sets share, stored; empty sets go.
+    Tokens are distinct within a row."""
+    name = F.sha2(F.to_json(F.array_sort("tokens")).cast("binary"), 256)
+    return stored(rows.where(F.size("tokens") > 0).select("project", "id", "seq", name.alias("set"), "tokens"))
+
+
+def distinct_sets(keyed: DataFrame) -> DataFrame:
+    """(project, set, n, tokens, first): each set of a project once, with the first (seq, id) that has it, stored."""
+    found = keyed.groupBy("project", "set").agg(F.first("tokens").alias("tokens"), F.min(F.struct("seq", "id")).alias("first"))
+    return stored(found.select("project", "set", F.size("tokens").alias("n"), "tokens", "first"))
+
+
+def _asked(small: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
+    """(project, t, small, n): the tokens by which a set is looked up in sets that are not smaller.
+
+    A partner lacks at most n - ceil(threshold * n) of the set's n tokens, so it has one of any n - ceil(threshold * n) + 1.
+    Those in the fewest sets of the other side are taken; tokens that no such set has count among them and meet nothing.
+    """
+    found = large.select("project", F.explode("tokens").alias("t")).groupBy("project", "t").agg(F.count("*").alias("k"))
+    mine = small.select("project", F.col("set").alias("small"), "n", F.explode("tokens").alias("t")).join(found, ["project", "t"], "left")
+    nth = F.row_number().over(W.partitionBy("project", "small").orderBy(F.coalesce("k", F.lit(0)), "t"))
+    most = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
+    return mine.withColumn("nth", nth).where(F.col("k").isNotNull() & (F.col("nth") <= most)).select("project", "t", "small", "n")
+
+
+def _candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(project, left, right) before verification, from both sides: of a pair the smaller set asks, of equal ones the left."""
+    every = lambda df: df.select("project", F.col("set").alias("large"), F.col("n").alias("m"), F.explode("tokens").alias("t"))
+    ahead = _asked(a, b, threshold).join(every(b), ["project", "t"]).where("n <= m").select("project", F.col("small").alias("left"), F.col("large").alias("right"))
+    back = _asked(b, a, threshold).join(every(a), ["project", "t"]).where("n < m").select("project", F.col("large").alias("left"), F.col("small").alias("right"))
+    return ahead.unionByName(back).distinct()
+
+
+def overlapping(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(project, left, right, overlap, first): pairs of distinct_sets that share threshold of the smaller set or more.
+
+    first is the right set's. Candidates come by an asymmetric prefix filter and are verified on the whole sets.
+    """
+    left = a.select("project", F.col("set").alias("left"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    right = b.select("project", F.col("set").alias("right"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), "first")
+    pairs = _candidates(a, b, threshold).join(left, ["project", "left"]).join(right, ["project", "right"])
+    pairs = pairs.select("project", "left", "right", F.size(F.array_intersect("ta", "tb")).alias("overlap"), F.least("na", "nb").alias("n"), "first")
+    return pairs.where(F.col("overlap") / F.col("n") >= threshold).drop("n")
+
+
 def best_overlap(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(left_id, right_id, overlap): of token sets (id, project, tokens), each left row's best partner of its project.
+    """(left_id, right_id, overlap): of token sets (id, project, seq, tokens), each left row's best partner of its project.
 
-    Partners share threshold of the smaller set or more; the largest overlap wins, ties go to the smaller seq. The join
-    is on equal tokens, so rows without a common token never meet.
+    Partners share threshold of the smaller set or more; the largest overlap wins, ties go to the smaller seq, then id.
+    Equal sets are compared once; rows without tokens, or without a project, have no partner.
     """
-    a = left.select("project", F.col("id").alias("left_id"), F.size("tokens").alias("na"), F.explode("tokens").alias("t"))
-    b = right.select("project", F.col("id").alias("right_id"), "seq", F.size("tokens").alias("nb"), F.explode("tokens").alias("t"))
-    pairs = a.join(b, ["project", "t"]).groupBy("project", "left_id", "right_id", "seq", "na", "nb").agg(F.count("*").alias("overlap"))
-    good = pairs.where(F.col("overlap") / F.least("na", "nb") >= threshold)
-    best = W.partitionBy("project", "left_id").orderBy(F.col("overlap").desc(), "seq")
-    return good.withColumn("r", F.row_number().over(best)).where("r = 1").select("project", "left_id", "right_id", "overlap")
+    rows = keyed_sets(left)
+    pairs = overlapping(distinct_sets(rows), distinct_sets(keyed_sets(right)), threshold)
+    best = pairs.groupBy("project", F.col("left").alias("set")).agg(F.min(F.struct((-F.col("overlap")).alias("o"), "first")).alias("b"))
+    return rows.join(best, ["project", "set"]).select("project", F.col("id").alias("left_id"), F.col("b.first.id").alias("right_id"), (-F.col("b.o")).cast("long").alias("overlap"))
+
+
+def compared_overlap(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """The same by comparing all pairs of a project; for tests only."""
+    pairs = left.alias("l").join(right.alias("r"), "project").where("size(l.tokens) > 0 and size(r.tokens) > 0")
+    pairs = pairs.select("project", F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "r.seq", F.size(F.array_intersect("l.tokens", "r.tokens")).cast("long").alias("overlap"), F.least(F.size("l.tokens"), F.size("r.tokens")).alias("n"))
+    best = W.partitionBy("project", "left_id").orderBy(F.col("overlap").desc(), "seq", "right_id")
+    return pairs.where(F.col("overlap") / F.col("n") >= threshold).withColumn("k", F.row_number().over(best)).where("k = 1").select("project", "left_id", "right_id", "overlap")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmem.functions.text import token_set
-from corpusmem.operators.links import best_overlap
+from corpusmem.operators.links import best_overlap, distinct_sets, keyed_sets, overlapping
 
 SCHEMA = "project string, id string, seq long, problem string, solution string, source_file string, created_at timestamp, updated_at timestamp"
 SUPERSEDE, FORGET = 0.6, 0.5
@@ -112,12 +112,14 @@ def remember_in_order(notes: DataFrame, new: DataFrame, files: DataFrame) -> Dat
 
 
 def forget(notes: DataFrame, requests: DataFrame) -> DataFrame:
-    """notes without those that requests (project, query) name: by id, else those sharing half of the smaller token set."""
+    """notes without those that requests (project, query) name: by id, else those sharing half of the smaller token set.
+
+    Equal sets are compared once, so copies of a request or a note add no comparisons."""
     by_id = notes.join(requests.select("project", F.col("query").alias("id")).distinct(), ["project", "id"], "left_semi").select("project", "id")
     others = requests.join(by_id.withColumnRenamed("id", "query"), ["project", "query"], "left_anti")
-    asked = others.select("project", F.monotonically_increasing_id().alias("id"), F.lit(0).alias("seq"), token_set(F.col("query")).alias("tokens"))
-    a = asked.select("project", F.col("id").alias("q"), F.size("tokens").alias("na"), F.explode("tokens").alias("t"))
+    words = keyed_sets(others.select("project", F.col("query").alias("id"), F.lit(0).alias("seq"), token_set(F.col("query")).alias("tokens")))
     text = F.concat_ws(" ", F.coalesce("problem", F.lit("")), F.coalesce("solution", F.lit("")))
-    b = _sets(notes, text).select("project", "id", F.size("tokens").alias("nb"), F.explode("tokens").alias("t"))
-    hit = a.join(b, ["project", "t"]).groupBy("project", "q", "id", "na", "nb").count().where(F.col("count") / F.least("na", "nb") >= FORGET)
-    return notes.join(by_id.union(hit.select("project", "id")).distinct(), ["project", "id"], "left_anti")
+    sets = keyed_sets(_sets(notes, text))
+    hit = overlapping(distinct_sets(words), distinct_sets(sets), FORGET).select("project", F.col("right").alias("set")).distinct()
+    named = sets.join(hit, ["project", "set"], "left_semi").select("project", "id")
+    return notes.join(by_id.union(named).distinct(), ["project", "id"], "left_anti")

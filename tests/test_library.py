@@ -204,6 +204,37 @@ def test_forget(spark):
     assert [r["id"] for r in by_words.collect()] == ["n1"]
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 1.0])
+def test_overlap_by_prefixes_equals_all_pairs(spark, threshold):
+    rnd = random.Random(int(threshold * 10))
+    words = [f"w{i}" for i in range(40)]
+
+    def side(name, n):
+        out = []
+        for i in range(n):
+            size = rnd.choice([0, 1, 2, 3, 5, 10, 15, 35])
+            # a word that nearly all rows have, skewed words, and repeated sets
+            own = ["the"] * (rnd.random() < 0.9) + [words[min(int(rnd.expovariate(0.1)), 39)] for _ in range(size)]
+            out.append((rnd.choice(["p", "p", "q"]), f"{name}{i}", rnd.randrange(20), list(dict.fromkeys(out[-1][3] if out and rnd.random() < 0.3 else own))))
+        return spark.createDataFrame([*out, (None, f"{name}x", 1, ["the"]), ("r", f"{name}y", 1, [name])], "project string, id string, seq long, tokens array<string>")
+
+    left, right = side("l", 120), side("r", 150)
+    got = {tuple(r) for r in links.best_overlap(left, right, threshold).collect()}
+    assert got == {tuple(r) for r in links.compared_overlap(left, right, threshold).collect()} and len(got) > 60
+    assert links.best_overlap(left.limit(0), right, threshold).count() == 0 == links.best_overlap(left, right.limit(0), threshold).count()
+
+
+def test_overlap_of_copies_is_compared_once(spark):
+    """Thousands of equal notes, and a word that all have: candidates are pairs of distinct sets."""
+    rows = lambda name, n: spark.range(n).selectExpr("'p' as project", f"concat('{name}', id) as id", "id as seq", "case when id % 3 = 0 then array('the', concat('u', id), 'a', 'b') else array('the', 'same', 'text') end as tokens")
+    left, right = rows("l", 3000), rows("r", 3000)
+    a, b = (links.distinct_sets(links.keyed_sets(x)) for x in (left, right))
+    assert a.count() == 1001
+    best = links.best_overlap(left, right)
+    assert best.count() == 3000 and best.where("left_id = 'l1'").first()["right_id"] == "r1"
+    assert best.where("left_id = 'l300'").first()["right_id"] == "r300"
+
+
 def test_queries_read_all_rows(spark, tmp_path):
     import __spark_entry__ as entry
     from corpusmem import queries as own
