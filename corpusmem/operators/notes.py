@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusmem.functions.text import token_set
 from corpusmem.operators.links import best_overlap, distinct_sets, keyed_sets, overlapping
@@ -67,7 +68,7 @@ def _set(text: str | None) -> frozenset[str]:
 def fold(stored: list[dict], new: list[dict], n_files: int) -> list[dict]:
     """Adds new notes in order, each seeing the effect of those before; prunes after inserts."""
     cap = max(LEAST, min(MOST, 2 * n_files))
-    notes = [dict(x) | {"tokens": _set(x["problem"])} for x in stored]
+    notes = [dict(x) | {"tokens": x.get("tokens") or _set(x["problem"])} for x in stored]
     for x in new:
         own, best, most = _set(x["problem"]), None, 0
         for old in notes if own else ():
@@ -111,6 +112,51 @@ def remember_in_order(notes: DataFrame, new: DataFrame, files: DataFrame) -> Dat
     return both.repartition("project").sortWithinPartitions("project", "fresh", "seq").mapInPandas(run, SCHEMA)
 
 
+_FIELDS = ("seq", "problem", "solution", "source_file", "created_at", "updated_at")
+
+
+class _Fold(StatefulProcessor):
+    """Keeps a project's notes by id with their tokens, at most MOST; times are microseconds."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getMapState("notes", "id string", "seq long, problem string, solution string, source_file string, created_at long, updated_at long, tokens string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        table = pd.concat(list(rows)).sort_values("seq", kind="stable").astype(object)
+        new = table.where(table.notna(), None).to_dict("records")
+        before = {k[0]: dict(zip((*_FIELDS, "tokens"), v, strict=True)) for k, v in self.kept.iterator()} if self.kept.exists() else {}
+        stored = [n | {"id": i, "tokens": frozenset(n["tokens"].split())} for i, n in before.items()]
+        after = {n["id"]: n for n in fold(sorted(stored, key=lambda n: n["seq"]), new, int(new[-1]["n_files"] or 0))}
+        changed = []
+        for i, n in after.items():
+            value = tuple(n[c] for c in _FIELDS)
+            if i not in before or value != tuple(before[i][c] for c in _FIELDS):
+                self.kept.updateValue((i,), (*value, " ".join(sorted(n["tokens"]))))
+                changed.append((key[0], i, *value, "put"))
+        for i in before.keys() - after.keys():
+            self.kept.removeKey((i,))
+            changed.append((key[0], i, *(before[i][c] for c in _FIELDS), "evict"))
+        yield pd.DataFrame(changed, columns=["project", "id", *_FIELDS, "action"]).astype({"seq": "int64", "created_at": "int64", "updated_at": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def remember_stream(stream: DataFrame) -> DataFrame:
+    """remember_in_order for a stream of new notes (those columns and n_files, the project's files): changes by id.
+
+    Returns the notes' columns and `action`: `put` for a note that is new or superseded, `evict` for one beyond the
+    capacity. Notes of a project are folded by seq within a batch, and batches as they arrive; an id occurs once in a
+    batch of changes, so a table keyed by project and id may apply it again after a failure. Ids and times aren't null.
+    A project's notes of one batch are held by one task; the source's limits a batch bound them.
+    """
+    at = ("created_at", "updated_at")
+    rows = stream.select("project", "id", "seq", "problem", "solution", "source_file", *[F.unix_micros(c).alias(c) for c in at], "n_files")
+    schema = SCHEMA.replace("timestamp", "long") + ", action string"
+    changes = rows.groupBy("project").transformWithStateInPandas(_Fold(), outputStructType=schema, outputMode="update", timeMode="None")
+    return changes.withColumns({c: F.timestamp_micros(c) for c in at})
+
+
 def forget(notes: DataFrame, requests: DataFrame) -> DataFrame:
     """notes without those that requests (project, query) name: by id, else those sharing half of the smaller token set.
 

@@ -593,10 +593,28 @@ def _(old, new):
 _BY_25 = "select 'p' || " + V("cast(floor(day / 25) as bigint)") + " as project, id, seq, problem, solution, source_file, day from ({}) b"
 
 
-@_query("n2_remember_in_order", None, _BY_25.replace("({})", "(" + OLD_NOTES + ")"), _BY_25.replace("({})", "(" + NEW_NOTES + ")"))
+# the fold as a recursion: a project's notes are a list, and step k adds its k-th new note
+_FOLD = f"""WITH RECURSIVE o AS (SELECT *, list_distinct({_toks("problem")}) AS tk FROM {{0}}), n AS (SELECT *, list_distinct({_toks("problem")}) AS tk, row_number() OVER (PARTITION BY project ORDER BY seq) AS k FROM {{1}}),
+st AS (SELECT project, list({{'id': id, 'seq': seq, 'problem': problem, 'solution': solution, 'source_file': source_file, 'made': day, 'day': day, 'tk': tk}} ORDER BY seq) AS notes FROM o GROUP BY project),
+r AS (SELECT p.project, CAST(0 AS BIGINT) AS k, CASE WHEN notes IS NULL THEN 100 ELSE 120 END AS cap, coalesce(notes, []) AS notes FROM (SELECT project FROM o UNION SELECT project FROM n) p LEFT JOIN st ON st.project = p.project
+ UNION ALL SELECT project, k, cap, CASE
+   WHEN most > 0 THEN list_transform(notes, lambda x, i: CASE WHEN i = list_position(shared, most) THEN {{'id': x.id, 'seq': x.seq, 'problem': problem, 'solution': solution, 'source_file': coalesce(nullif(source_file, ''), x.source_file), 'made': x.made, 'day': day, 'tk': tk}} ELSE x END)
+   WHEN len(notes) < cap THEN list_append(notes, own)
+   ELSE list_transform(list_sort(list_transform(list_sort(list_transform(list_append(notes, own), lambda x: {{'u': x.day, 's': x.seq, 'x': x}}))[-cap:], lambda y: {{'s': y.s, 'x': y.x}})), lambda y: y.x) END
+ FROM (SELECT *, list_max(shared) AS most FROM (SELECT r.project, n.k, r.cap, r.notes, n.problem, n.solution, n.source_file, n.day, n.tk,
+   {{'id': n.id, 'seq': n.seq, 'problem': n.problem, 'solution': n.solution, 'source_file': n.source_file, 'made': n.day, 'day': n.day, 'tk': n.tk}} AS own,
+   list_transform(r.notes, lambda x: CASE WHEN least(len(x.tk), len(n.tk)) > 0 AND len(list_intersect(x.tk, n.tk)) / least(len(x.tk), len(n.tk)) >= 0.6 THEN len(list_intersect(x.tk, n.tk)) ELSE 0 END) AS shared
+   FROM r JOIN n ON n.project = r.project AND n.k = r.k + 1)))
+SELECT project, x.id AS id, x.seq AS seq, x.problem AS problem, x.solution AS solution, x.source_file AS source_file, x.made AS created_day, x.day AS updated_day
+FROM (SELECT project, unnest(notes) AS x FROM (SELECT project, arg_max(notes, k) AS notes FROM r GROUP BY project))"""
+
+
+@_query("n2_remember_in_order", _FOLD, _BY_25.replace("({})", "(" + OLD_NOTES + ")"), _BY_25.replace("({})", "(" + NEW_NOTES + ")"))
 def _(old, new):
     counts = old.select("project").distinct().withColumn("n_files", F.lit(60))
-    return notes.remember_in_order(_noted(old), _noted(new), counts)
+    days = lambda c: (F.unix_seconds(c) / 86400).cast("long")
+    found = notes.remember_in_order(_noted(old), _noted(new), counts)
+    return found.select("project", "id", "seq", "problem", "solution", "source_file", days("created_at").alias("created_day"), days("updated_at").alias("updated_day"))
 
 
 MANY_NOTES = "select 'p' || " + V("doc_id % 2") + " as project, 'n' || " + V("doc_id") + " as id, doc_id as seq, text as problem, lang as solution, source as source_file, doc_id % 97 as day from {documents}"

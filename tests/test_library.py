@@ -186,6 +186,32 @@ def test_notes_fold_in_bounded_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_notes_streamed_equal_the_fold(spark, tmp_path):
+    """Three batches with a restart after the first; a project of many distinct notes exceeds its capacity."""
+    rnd = random.Random(9)
+    rows = [_note(i, rnd.choice("abcdefgh") + f" t{i // 2} u{i // 2} v{i // 2}", i, f"p{min(i % 5, 2)}") for i in range(450)]
+    rows += [_note(450, "...", 450, "p0"), _note(451, "如何配置 nginx", 451, "p1")]
+    names = [c.split()[0] for c in NOTE.split(", ")]
+    want = {(p, n["id"], n["problem"], n["updated_at"]) for p in ("p0", "p1", "p2") for n in notes.fold([], [dict(zip(names, r, strict=True)) for r in rows if r[0] == p], 60)}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = NOTE + ", n_files int"
+    table, actions = {}, set()
+
+    def apply(batch, _):
+        for r in batch.collect():
+            actions.add(r["action"])
+            table.pop((r["project"], r["id"]), None)
+            if r["action"] == "put":
+                table[r["project"], r["id"]] = (r["problem"], r["updated_at"])
+
+    for part in (rows[:200], rows[200:230], rows[230:]):
+        spark.createDataFrame([(*r, 60) for r in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = notes.remember_stream(stream).writeStream.foreachBatch(apply).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert {(p, i, *v) for (p, i), v in table.items()} == want and actions == {"put", "evict"}
+
+
 def test_notes_batch_and_prune(spark):
     old = spark.createDataFrame([_note(1, "pdfjs import fails on Node 24"), _note(2, "something else here")], NOTE)
     new = spark.createDataFrame([_note(3, "pdfjs import fails on Node 24 again", 5, solution="new")], NOTE)
