@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ SCHEMAS = {
     "links": "project string, path string, doc_id string, symbol_path string, symbol_id string",
     "notes": notes.SCHEMA,
     "snapshot": "project string, path string, mtime double, size long",
+    "roots": "project string, root string",
     "plan": "project string, path string, kind string, status string, sha256 string, size long",
 }
 COMMITS = "name string, bucket int, dir string"
@@ -104,10 +106,15 @@ class MemoryStore:
         self.made[name] = to, {b: b in there for b in every}
         return self._read(name, {b: f"{to}/bucket={b}" for b in there}, None)
 
-    def commit(self) -> int:
-        """Makes all that was put since the last commit visible at once."""
+    def last_batch(self, stream: str) -> int:
+        """The number of the last batch of a stream that was committed, -1 before the first."""
+        return int(self._dirs(self.version()).get((f"stream {stream}", 0), -1))
+
+    def commit(self, batch: tuple[str, int] | None = None) -> int:
+        """Makes all that was put since the last commit visible at once; batch: the stream and batch that it came from."""
         version = self.version() + 1
-        rows = [(name, b, d) for (name, b), d in self._next().items()]
+        rows = self._next() | ({(f"stream {batch[0]}", 0): str(batch[1])} if batch else {})
+        rows = [(name, b, d) for (name, b), d in rows.items()]
         self.spark.createDataFrame(rows, COMMITS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/v={version}")
         self.made = {}
         return version
@@ -239,6 +246,49 @@ def refresh_paths(store: MemoryStore, paths: DataFrame, read: Callable[[DataFram
     return plan
 
 
+def watch(store: MemoryStore, roots: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """Adds watched roots (project, root) to the memory and removes those of gone (root); returns the roots kept.
+
+    They are a table of the memory, so a stream or a poll that starts anew finds them. A root has one project, the new one.
+    """
+    stay = store.table("roots").join(roots.select("root"), "root", "left_anti")
+    every = stay.select("project", "root").unionByName(roots.groupBy("root").agg(F.min("project").alias("project")))
+    kept = store.put("roots", every if gone is None else every.join(gone.select("root").distinct(), "root", "left_anti"))
+    store.commit()
+    return kept
+
+
+def observed_batch(store: MemoryStore, batch: DataFrame, batch_id: int, read: Callable[[DataFrame], DataFrame], now, name: str = "reads", config: Config = Config()) -> bool:
+    """One batch of observations (path, observed_at, ...): watched files are planned, extracted, replaced and relinked.
+
+    The commit carries the batch's number, so a batch that is seen again writes nothing (False). What a batch wrote
+    before it was lost is written again below the same version and never read. Paths outside all roots are left out.
+    """
+    store = MemoryStore(batch.sparkSession, store.path, store.buckets)  # without what a lost batch has put
+    if store.last_batch(name) >= batch_id:
+        return False
+    paths = observe.in_roots(observe.coalesce_burst(batch), store.table("roots"))
+    look = stored(paths.select(*FILE).distinct())
+    _refresh(store, look, look.limit(0), read, now, config)
+    store.commit((name, batch_id))
+    return True
+
+
+def read_time_index(
+    store: MemoryStore, events: DataFrame, read: Callable[[DataFrame], DataFrame], checkpoint: str, name: str = "reads", config: Config = Config(), interval: str = "300 milliseconds", once: bool = False,
+):
+    """Starts the read-time index over a stream of events (path, kind, sha, observed_at, seq) below the watched roots.
+
+    Observed contents that equal the last one of their path stop at the gate; the others become batches of observed_batch.
+    read gives (project, path, sha256, size, text[, failed]) of files (project, path), paths relative to their root. A
+    stream started again with its checkpoint and name goes on where it was.
+    """
+    fresh = observe.gate(observe.observed(events).select("path", "sha", "observed_at", "seq"))
+    each = lambda batch, number: observed_batch(store, batch, number, read, datetime.now(timezone.utc).replace(tzinfo=None), name, config) and None
+    writer = fresh.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+
+
 def answers(
     store: MemoryStore, queries: DataFrame, project: str | None = None, layer: str = "all", limit: int = 8, config: Config = Config(), expansions: DataFrame | None = None,
 ) -> DataFrame:

@@ -65,6 +65,18 @@ def index_on_read(stream: DataFrame, refresh: Callable[[DataFrame], None], check
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
+def in_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """(project, root, path): observed paths below roots (project, root), relative to the nearest root above each.
+
+    A path meets roots through its directories, in an equi-join.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    rows = paths.select("path").distinct().where(F.instr("path", "/") > 0).select("path", F.explode(above).alias("root"))
+    near = rows.join(roots, "root").groupBy("path").agg(F.max_by(F.struct("project", "root"), F.length("root")).alias("r"))
+    return near.select("r.project", "r.root", F.expr("substring(path, length(r.root) + 2)").alias("path"))
+
+
 def to_hash(listing: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Listed files whose time or size differs from the snapshot; only these are read."""
     return listing.join(snapshot.select("project", "path", "mtime", "size"), ["project", "path", "mtime", "size"], "left_anti")

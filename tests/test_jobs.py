@@ -1,6 +1,7 @@
 """Whole jobs over a stored memory, on small trees."""
 
 import hashlib
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,45 @@ def test_poll(spark, store):
     assert done.first()["status"] == "changed" and [r["title"] for r in store.table("entries").where("path = 'b.py'").collect()] == ["other (function)"]
 
 
+def test_read_time_index(spark, store, tmp_path, monkeypatch):
+    """Events of a stream are indexed below their roots; a batch lost before its commit is done once, a restart goes on."""
+    files = {("p", "a.md"): "# Fees\n\nabout charge", ("p", "b.py"): PY, ("q", "c.md"): "# Inner"}
+    jobs.watch(store, spark.createDataFrame([("p", "/w/p"), ("q", "/w/p/in"), ("r", "/w/r")], "project string, root string"))
+    kept = jobs.watch(store, spark.createDataFrame([], "project string, root string"), spark.createDataFrame([("/w/r",)], "root string"))
+    assert sorted(r["root"] for r in kept.collect()) == ["/w/p", "/w/p/in"]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema, reads = "path string, kind string, sha string, observed_at timestamp, seq long", []
+
+    def read(look):
+        reads.append(sorted((r["project"], r["path"]) for r in look.collect()))
+        return _listing(spark, files).join(look, ["project", "path"], "left_semi")
+
+    def run(events):
+        rows = [(p, k, s, datetime(2024, 1, 1, 0, 0, q), q) for p, k, s, q in events]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.read_time_index(store, stream, read, str(tmp_path / "cp"), once=True).awaitTermination(120)
+
+    first = [("/w/p/a.md", "present", "1", 1), ("/w/p/b.py", "present", "1", 2), ("/w/p/in/c.md", "present", "1", 3), ("/w/r/d.md", "present", "1", 4), ("/w/p/e.md", "absent", "1", 5), ("/w/px/f.md", "present", "1", 6), (None, "present", "1", 7)]
+    commit = jobs.MemoryStore.commit
+    monkeypatch.setattr(jobs.MemoryStore, "commit", lambda *a: 1 / 0)  # lost between write and commit
+    with pytest.raises(Exception, match="division"):
+        run(first)
+    assert store.table("entries").count() == 0 and store.last_batch("reads") == -1
+    monkeypatch.setattr(jobs.MemoryStore, "commit", commit)
+    run([("/w/p/a.md", "present", "1", 8)])  # the lost batch comes again, then one that stops at the gate
+    assert reads[0] == reads[1] == [("p", "a.md"), ("p", "b.py"), ("q", "c.md")] and all(not r for r in reads[2:])
+    assert {(r["project"], r["path"]) for r in store.table("manifest").collect()} == set(files)
+    files["p", "a.md"] = "# Fees\n\nabout refunds"
+    run([("/w/p/a.md", "present", "2", 9)])
+    assert reads[-1] == [("p", "a.md")]
+    whole = jobs.MemoryStore(spark, str(tmp_path / "whole"))
+    jobs.index_listing(whole, _listing(spark, files), "2024-01-01")
+    assert _state(store) == _state(whole)
+    version, batch = store.version(), spark.createDataFrame([("/w/p/b.py", datetime(2024, 1, 2))], "path string, observed_at timestamp")
+    assert not jobs.observed_batch(store, batch, store.last_batch("reads"), read, "2024-01-02") and store.version() == version
+
+
 def test_answers(spark, store):
     jobs.index_listing(store, _listing(spark, FIRST), "2024-01-01")
     note = spark.createDataFrame([("p", "n1", 1, "charge fails on retry", "use a key", "b.py")], "project string, id string, seq long, problem string, solution string, source_file string")
