@@ -7,6 +7,7 @@ Entries are made by the library's chunker instead; their SQL has the same chunks
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from corpusmem.config import CJK, WS
 from corpusmem.functions import text as fn
 from corpusmem.operators import chunk, links, models, notes, rank, symbols
-from corpusmem.plans import index
-from corpusmem.plans.scratch import stored
+from corpusmem.plans import index, jobs
+from corpusmem.plans.scratch import shared_dir, stored
 from corpusmem.sources import files
 from corpusmem.streaming import observe
 
@@ -660,10 +661,36 @@ SEEN = "select 'p' || " + V("doc_id % 3") + " as project, 'f' || " + V("doc_id")
 FOUND = "select 'p' || " + V("doc_id % 3") + " as project, 'f' || " + V("doc_id") + " || '.md' as path, n_chars as size, doc_id % 100 as mtime from {documents} where doc_id % 17 <> 0"
 
 
-@_query("w4_read_time_index", f"SELECT DISTINCT 'src/' || path || '.md' AS path, sha FROM (SELECT *, lag(sha) OVER (PARTITION BY path ORDER BY observed_at, seq) AS b FROM {{0}} WHERE kind = 'present') WHERE sha IS DISTINCT FROM b", EVENTS)
-def _(events):
-    fresh = observe.changed_content(observe.observed(events)).select(F.lit("p").alias("project"), F.concat(F.lit("src/"), "path", F.lit(".md")).alias("path"), F.lit("doc").alias("kind"), F.col("sha").alias("text")).distinct()
-    return index.extract(fresh.groupBy("project", "path", "kind").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n# ").alias("text"))).select("path", F.explode(F.split(F.regexp_replace("text", F.lit("# "), F.lit("")), "\n")).alias("sha"))
+OBSERVED = "select '/w/p/' || path || '.md' as path, sha, observed_at, seq, kind from (" + EVENTS + ") e"
+# a file's text names the last event that was seen of it, so contents change as events come
+_SEEN_TEXT = "select 'f' || " + V("d.doc_id") + " || '.md' as path, '# ' || e.sha || chr(10) || chr(10) || coalesce(d.text, '') as text from {documents} d join (select path, max_by(sha, {of}) as sha from (" + EVENTS + ") e where kind = 'present' group by path) e on e.path = 'f' || " + V("d.doc_id")
+
+
+def _read_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams all events through the read-time index into a memory below the shared folder, and returns its entries.
+
+    The session's state store and its number of partitions, which a stream can't change later, are set for the stream alone."""
+    settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    at = f"{shared_dir(spark)}/w4-{uuid.uuid4().hex}"
+    store = jobs.MemoryStore(spark, f"{at}/memory", buckets=8)
+    jobs.watch(store, spark.createDataFrame([("p", "/w/p")], "project string, root string"))
+    texts = _rows(spark, sf_dir, _SEEN_TEXT.replace("{of}", "struct(observed_at, seq)")).select(F.lit("p").alias("project"), "path", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"), "text")
+    table = f"{sf_dir}/events.parquet"
+    # a pattern: the table may be a folder or one file, which a stream doesn't take as its path
+    stream = spark.readStream.schema(spark.read.parquet(table).schema).parquet(f"{sf_dir}/events.parque[t]")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        jobs.read_time_index(store, spark.sql(OBSERVED, events=stream), lambda look: texts.join(look.select("project", "path"), ["project", "path"], "left_semi"), f"{at}/stream", once=True).awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return store.table("entries").select("path", "title", "summary", "source_line")
+
+
+_Q["w4_read_time_index"] = _read_time
+_O["w4_read_time_index"] = f"SELECT path, title, {_summary('text')} AS summary, CAST(line AS INT) AS source_line FROM (" + _chunks_sql(3000, 40).replace("{0}", "(" + _duck(_SEEN_TEXT.replace("{of}", "(observed_at, seq)")) + ")") + ")"
 
 
 @_query("w5_polled_refresh", "SELECT project, path, 'read' AS what FROM {0} f WHERE NOT EXISTS (SELECT 1 FROM {1} s WHERE s.project = f.project AND s.path = f.path AND s.size = f.size AND s.mtime = f.mtime) UNION ALL SELECT project, path, 'gone' FROM {1} s WHERE NOT EXISTS (SELECT 1 FROM {0} f WHERE s.project = f.project AND s.path = f.path)", FOUND, SEEN)
