@@ -113,7 +113,7 @@ def _looked_up(hits: DataFrame, wanted: DataFrame, posted: DataFrame, few: bool)
     return asked.join(posted, ["pool", "id", "term"]).groupBy(*ONE, "id").agg(F.sum(part).alias("more"))
 
 
-def best_scores(terms: DataFrame, posted: DataFrame, limit: int) -> DataFrame:
+def best_scores(terms: DataFrame, posted: DataFrame, limit: int, stats: DataFrame | None = None) -> DataFrame:
     """(query_id, variant, pool, id, score): the rows that can be among a query's best `limit`, with whole scores.
 
     Terms are bounded by their greatest score in the pool (MaxScore). First come the terms with the upper half of the
@@ -121,10 +121,11 @@ def best_scores(terms: DataFrame, posted: DataFrame, limit: int) -> DataFrame:
     reach. Terms whose bounds add up to less than a share of the threshold, the least first, can't lift a row there
     alone: only rows with another, essential, term are summed. Those that their sum and the other terms' bounds lift to
     the threshold are looked up in the postings of the other terms. What is read more than once (query terms with their
-    bounds, rows that may enter) is stored; posted is read five times and should be stored, too.
+    bounds, rows that may enter) is stored; posted is read five times and should be stored, too. stats: those of
+    term_stats, where they are kept.
     """
     up = W.partitionBy(*ONE).orderBy("most", "term").rowsBetween(W.unboundedPreceding, W.currentRow)
-    asked = weighed(terms, term_stats(posted)).withColumn("below", F.sum("most").over(up) * (1 + 1e-9)).withColumn("all", F.max("below").over(W.partitionBy(*ONE)))
+    asked = weighed(terms, term_stats(posted) if stats is None else stats).withColumn("below", F.sum("most").over(up) * (1 + 1e-9)).withColumn("all", F.max("below").over(W.partitionBy(*ONE)))
     asked = stored(asked)  # a row a query term and pool
     few = asked.count() <= BROADCAST_TERMS
     order = W.partitionBy(*ONE).orderBy(F.col("score").desc())

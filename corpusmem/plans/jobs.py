@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusmem.config import Config
-from corpusmem.functions.text import entry_text, note_text, truncate
+from corpusmem.functions.text import note_text, truncate
 from corpusmem.operators import links, models, notes, rank
-from corpusmem.plans import index
+from corpusmem.plans import index, postings
 from corpusmem.plans.scratch import remove, stored
 from corpusmem.streaming import observe
 
@@ -24,11 +24,13 @@ SCHEMAS = {
     "snapshot": "project string, path string, mtime double, size long",
     "roots": "project string, root string",
     "plan": "project string, path string, kind string, status string, sha256 string, size long",
-}
+} | postings.SCHEMAS
 COMMITS = "name string, bucket int, dir string"
 FILE = ["project", "path"]
-#: Tables that are kept in buckets by project and path; of the others, each version is whole.
+#: Tables that are kept in buckets by project and path; of the others, each version is whole, but for segments.
 BY_PATH = ("manifest", "entries", "links", "snapshot")
+#: Tables in segments: what a version puts is one more bucket, numbered by the version and sorted by the first column.
+SEGMENTED = tuple(postings.SCHEMAS)
 
 
 class MemoryStore:
@@ -94,18 +96,33 @@ class MemoryStore:
     def put(self, name: str, rows: DataFrame, buckets: list[int] | None = None) -> DataFrame:
         """Writes the next version of a table's buckets (all: None) and returns it as stored; commit() makes it visible.
 
-        rows are all that these buckets hold from then on; a bucket without rows goes.
+        rows are all that these buckets hold from then on; a bucket without rows goes. Of a table in segments, rows are the
+        new segment, and buckets are its number with those of the segments it replaces.
         """
         kinds = StructType.fromDDL(SCHEMAS[name])
         to = f"{name}/v={self.version() + 1}"
-        own = self.bucket() if name in BY_PATH else F.lit(0)
+        own = self.bucket() if name in BY_PATH else F.lit(self.version() + 1 if name in SEGMENTED else 0)
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in kinds], own.alias("bucket"))
-        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *([*FILE] if name in BY_PATH else ["project"])).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{to}")
+        if name in SEGMENTED:
+            # ranges of whole rows: a common term is spread over files, and each file holds a range of terms
+            rows = rows.repartitionByRange(*kinds.names).sortWithinPartitions(*kinds.names)
+        else:
+            rows = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *([*FILE] if name in BY_PATH else ["project"]))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{to}")
         there = {int(d[7:]) for d in self._list(to) if d.startswith("bucket=")}
         every = (range(self.buckets) if name in BY_PATH else [0]) if buckets is None else buckets
         self.made[name] = to, {b: b in there for b in every}
         return self._read(name, {b: f"{to}/bucket={b}" for b in there}, None)
 
+    def segments(self) -> dict[int, int]:
+        """Bytes of the index's committed segments by their number."""
+        out: dict[int, int] = {}
+        for (name, number), d in self._dirs(self.version()).items():
+            if name in SEGMENTED:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{d}")
+                out[number] = out.get(number, 0) + at.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+        return out
+
     def last_batch(self, stream: str) -> int:
         """The number of the last batch of a stream that was committed, -1 before the first."""
         return int(self._dirs(self.version()).get((f"stream {stream}", 0), -1))
@@ -140,8 +157,8 @@ def totals(store: MemoryStore) -> DataFrame:
 
 
 def _apply(store: MemoryStore, plan: DataFrame, texts: DataFrame, now, config: Config) -> None:
-    """Carries out a stored plan: entries of touched files are replaced, files outside the plan stay, and links are
-    brought up to date. Only buckets of touched files are read and written, and those in which a link changes."""
+    """Carries out a stored plan: entries of touched files are replaced, files outside the plan stay, links and the index
+    are brought up to date. Only buckets of touched files are read and written, and those in which a link changes."""
     touched = plan.where(~F.col("status").isin(*index.KEEP))
     buckets = store.buckets_of(touched)
     if not buckets:
@@ -151,6 +168,9 @@ def _apply(store: MemoryStore, plan: DataFrame, texts: DataFrame, now, config: C
     stored_ = store.put("entries", index.upsert(store.table("entries", buckets), fresh, touched), buckets)
     _relink(store, touched, stored_.join(todo.select(FILE), FILE, "left_semi"), buckets)
     own, manifest = plan.where(store.bucket().isin(buckets)), store.table("manifest", buckets)
+    had = touched.join(manifest.select(FILE), FILE, "left_semi")
+    removed = store.table("entries", buckets).join(had.select(FILE), FILE, "left_semi")
+    postings.update(store, stored_.join(todo.select(FILE), FILE, "left_semi"), removed, had)
     outside = manifest.join(own.select(FILE), FILE, "left_anti")
     store.put("manifest", outside.unionByName(index.next_manifest(own, manifest, now)), buckets)
 
@@ -294,6 +314,8 @@ def answers(
 ) -> DataFrame:
     """(query_id, answer) over the entries and notes of each query's project, all in one job.
 
+    Entries are found by the stored index, so none is tokenised; notes, which are few, are searched as texts.
+
     queries: (query_id, variant, text[, project]); project is asked by all, if they name none. layer: all, doc, symbol, or
     experience for notes alone. Entries come first, then past problems with their solutions. A query that nothing
     matches is told what its project holds. expansions: a model's answers (query_id, answer) with variants of the
@@ -307,17 +329,16 @@ def answers(
     asked = queries.groupBy("query_id", "project").agg(F.min_by("text", "variant").alias("text"))
     parts, projects = asked.select("query_id"), asked.select("project").distinct()
     own = lambda name: store.table(name).join(projects, "project", "left_semi")
-    # ids are told apart by project while all projects are searched at once
-    ident = lambda c: F.concat("project", F.lit("\n"), c)
+    # ids are told apart by project and file while all projects are searched at once
     pooled = queries.withColumnRenamed("project", "pool")
     if layer != "experience":
         kinds = ("doc", "symbol") if layer == "all" else (layer,)
-        entries = own("entries").withColumn("id", ident("id"))
-        hits = rank.search(pooled, entries.where(F.col("type").isin(*kinds)).withColumn("pool", F.col("project")), entry_text(), limit)
-        cited = rank.cite(hits, entries, own("links").select(ident("doc_id").alias("doc_id"), ident("symbol_id").alias("symbol_id")))
+        entries = own("entries").withColumn("id", postings.ident("id", "path"))
+        hits = stored(postings.search(store, pooled.select("query_id", "variant", "text", "pool"), kinds, limit))
+        cited = rank.cite(hits, entries, own("links").select(postings.ident("doc_id", "path").alias("doc_id"), postings.ident("symbol_id", "symbol_path").alias("symbol_id")))
         parts = parts.join(rank.section(cited, rank.block(cited), f"## Memory ({'docs + symbols' if layer == 'all' else layer})", "entries"), "query_id", "left")
     if layer in ("all", "experience"):
-        pool = own("notes").withColumn("pool", F.col("project")).withColumn("own_id", F.col("id")).withColumn("id", ident("id"))
+        pool = own("notes").withColumn("pool", F.col("project")).withColumn("own_id", F.col("id")).withColumn("id", F.concat("project", F.lit("\n"), "id"))
         told = rank.search(pooled, pool, note_text(), limit).join(pool.drop("pool"), "id")
         source = F.when(F.coalesce("source_file", F.lit("")) != "", F.concat(F.lit(" (source: "), "source_file", F.lit(")"))).otherwise("")
         block = F.concat(F.lit("### Problem: "), F.coalesce("problem", F.lit("")), F.lit(" (score: "), F.col("rel_score").cast("string"), F.lit(", id: "), "own_id", F.lit(")\n- solution: "), F.coalesce("solution", F.lit("")), source, F.lit("\n- updated: "), F.coalesce(F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("")))

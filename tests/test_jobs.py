@@ -1,14 +1,16 @@
 """Whole jobs over a stored memory, on small trees."""
 
 import hashlib
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmem.config import Config
-from corpusmem.operators import links
-from corpusmem.plans import index, jobs
+from corpusmem.functions.text import entry_text
+from corpusmem.operators import links, rank
+from corpusmem.plans import index, jobs, postings
 
 PY = "class PaymentService:\n    def charge(self, amount):\n        return amount\n"
 FIRST = {("p", "a.md"): "# Fees\n\nabout charge and PaymentService", ("p", "b.py"): PY, ("p", "c.md"): "# Gone", ("q", "a.md"): "# Other\n\ncharge here too"}
@@ -199,3 +201,56 @@ def test_notes_and_many_projects(spark, store):
     assert "Other" in wider
     gone = jobs.forget(store, spark.createDataFrame([("p", "slow login"), ("q", "nothing like it")], "project string, query string"))
     assert {r["project"]: r["forgotten"] for r in gone.collect()} == {"p": 1, "q": 0} and store.table("notes").count() == 1
+
+
+def _found(hits):
+    return sorted((r["query_id"], r["pool"], r["rank"], r["id"], round(r["score"], 5)) for r in hits.collect())
+
+
+def test_stored_index_equals_search_over_texts(spark, store):
+    """Random inserts, changes and deletions: scores are those of the texts, counts those of a rebuild."""
+    rng, words = random.Random(5), ["fee", "charge", "refund", "ledger", "retry", "key", "中文", "x_1"]
+    files, numbers = {}, []
+    for day in range(1, 5):
+        for _ in range(4 if day > 1 else 30):
+            path = (rng.choice("pq"), f"d{rng.randrange(40)}.md")
+            files[path] = "\n\n".join(f"# {rng.choice(words)}\n\n{' '.join(rng.choices(words, k=rng.randrange(1, 30)))}" for _ in range(rng.randrange(1, 4)))
+        for path in rng.sample(sorted(files), 2) if day > 1 else []:
+            del files[path]
+        jobs.index_listing(store, _listing(spark, files), f"2024-01-0{day}")
+        numbers.append(sorted(store.segments()))
+    assert numbers[:2] == [[1], [1, 2]] and len(numbers[-1]) < 4  # segments of about one size have merged
+    asked = spark.createDataFrame([(1, 0, "fee ledger", "p"), (1, 1, "refund", "p"), (2, 0, "charge key 中文", "q"), (3, 0, "zebra", "q"), (4, 0, " ".join(words), "p"), (5, 0, None, "p")], "query_id int, variant int, text string, pool string")
+    entries = store.table("entries").withColumn("id", postings.ident("id", "path")).withColumn("pool", F.col("project"))
+    for kinds in (("doc", "symbol"), ("symbol",)):
+        want = _found(rank.search(asked, entries.where(F.col("type").isin(*kinds)), entry_text(), 20))
+        assert _found(postings.search(store, asked, kinds, 20)) == want and bool(want) == ("doc" in kinds)
+    rows = lambda df: sorted(map(str, df.select("term", "project", "type", "df", "total").collect()))
+    want = rows(postings.counted(postings.posted(store.table("entries"))))
+    assert rows(postings.summed(store.table("frequencies"))) == want
+    assert {r["version"] for r in postings.live(store.table("postings"), store.table("tombstones")).collect()} <= set(range(1, 5))
+    postings.update(store, store.table("entries").limit(0), store.table("entries"), store.table("manifest"))  # lost before its commit
+    assert rows(postings.summed(jobs.MemoryStore(spark, store.path).table("frequencies"))) == want
+    store = jobs.MemoryStore(spark, store.path)
+    postings.rebuild(store)
+    store.commit()
+    assert len(store.segments()) == 1 and rows(store.table("frequencies")) == want and store.table("tombstones").isEmpty()
+    before = _found(postings.search(store, asked, ("doc",), 20))
+    assert store.vacuum() > 0 and _found(postings.search(store, asked, ("doc",), 20)) == before
+
+
+def test_answers_tokenise_no_entry(spark, store, monkeypatch):
+    jobs.index_listing(store, _listing(spark, FIRST), "2024-01-01")
+    monkeypatch.setattr(postings, "entry_text", None)
+    asked = spark.createDataFrame([(1, 0, "charge fees")], "query_id int, variant int, text string")
+    assert "### Fees (score: 100)" in jobs.answers(store, asked, "p").first()["answer"]
+
+
+def test_segments_to_merge():
+    assert postings.to_merge({}) == [] and postings.to_merge({1: 5}) == [] and postings.to_merge({1: 100, 2: 5}) == []
+    assert postings.to_merge({1: 100, 2: 5, 3: 4}) == [3, 2] and postings.to_merge({1: 10, 2: 5, 3: 4}) == [3, 2, 1]
+    sizes = {}
+    for n in range(1, 200):  # a segment of one unit each time
+        merged = postings.to_merge(sizes)
+        sizes = {k: v for k, v in sizes.items() if k not in merged} | {n: 1 + sum(sizes[k] for k in merged)}
+    assert sum(sizes.values()) == 199 and len(sizes) < 10
