@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpusmem.config import CJK, WS
 from corpusmem.functions import text as fn
 from corpusmem.operators import chunk, links, models, notes, rank, symbols
-from corpusmem.plans import index, jobs
+from corpusmem.plans import index, jobs, postings
 from corpusmem.plans.scratch import shared_dir, stored
 from corpusmem.sources import files
 from corpusmem.streaming import observe
@@ -456,6 +456,32 @@ def _(rows):
     return rank.document_frequency(rank.postings(rows, F.col("txt"))).join(stats, "pool").select("pool", "term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
+#: Files of a memory before (benchmark items, and documents of which all but the English ones hold their source alone) and now.
+_NOW = "select 'f' || " + V("doc_id") + " || '.md' as path, '# ' || coalesce(lang, '') || chr(10) || chr(10) || coalesce(text, '') as text from {documents}"
+_BEFORE = "select 'f' || " + V("doc_id") + " || '.md' as path, '# ' || coalesce(lang, '') || chr(10) || chr(10) || coalesce(case when lang = 'en' then text else source end, '') as text from {documents} union all select 'b' || " + V("item_id") + " || '.md', text from {benchmark}"
+
+
+def _stored_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexes the files of before, then those of now, and returns the statistics of the stored index: counts are sums of
+    signed changes, tf those of the postings that no tombstone hides."""
+    store = jobs.MemoryStore(spark, f"{shared_dir(spark)}/r2-{uuid.uuid4().hex}", buckets=8)
+    for day, rows in enumerate((_BEFORE, _NOW), 1):
+        files_ = _rows(spark, sf_dir, rows).select(F.lit("p").alias("project"), "path", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"), "text")
+        jobs.index_listing(store, files_, f"2024-01-0{day}")
+    counts = postings.summed(store.table("frequencies"))
+    n = counts.where("term = ''").select(F.col("df").alias("n"), F.round(F.col("total") / F.col("df"), 6).alias("avgdl"))  # one row: one project and type
+    tf = postings.live(store.table("postings"), store.table("tombstones")).where("term <> ''").groupBy("term").agg(F.sum("tf").alias("tf"))
+    return counts.where("term <> '' and df > 0").join(tf, "term", "full").join(F.broadcast(n)).select("term", "df", "tf", "n", "avgdl")
+
+
+_Q["r2_stored_statistics"] = _stored_statistics
+_O["r2_stored_statistics"] = (
+    f"WITH e AS MATERIALIZED (SELECT path || '#' || chunk AS id, {_toks(_ENTRY_TEXT)} AS t FROM (SELECT path, chunk, title, {_summary('text')} AS summary, list_slice({_distinct(_toks('title'))}, 1, 5) AS keywords, path AS source_path "
+    f"FROM (SELECT path, chunk, CASE WHEN title <> '' THEN title ELSE path END AS title, text FROM ({_chunks_sql(3000, 40).replace('{0}', '(' + _duck(_NOW) + ')')})))), "
+    "s AS (SELECT count(*) AS n, round(avg(len(t)), 6) AS avgdl FROM e) SELECT term, df, tf, n, avgdl FROM (SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM e) GROUP BY term), s"
+)
+
+
 def _scored(queries, rows):
     terms = rank.query_terms(queries)
     few = rank.small(terms, rows)
