@@ -14,6 +14,7 @@ class Config:
     expand_queries: bool = False
     refresh_seconds: int = 15
     case_insensitive: bool = False
+    prompt_version: str = "1"
 
     def refresh_interval(self) -> int:
         """Seconds between refreshes, one at least."""

@@ -69,6 +69,16 @@ def ask(entries: DataFrame, model: Callable[[list[str]], list[str | None]], para
     return (rows.repartition(parallelism) if parallelism else rows).mapInPandas(run, "id string, answer string")
 
 
+def answer_key(prompt_version: str, text: Column) -> Column:
+    """What names an answer: the hash of the prompt's version and the whole chunk, wherever the chunk stands."""
+    return F.sha2(F.concat(F.lit(prompt_version + "\n"), text).cast("binary"), 256)
+
+
+def usable(answer: Column) -> Column:
+    """Whether an answer is a JSON object with a summary; others are failures, to be asked again."""
+    return F.coalesce(trim(parse_entry(answer)["summary"]) != "", F.lit(False))
+
+
 def expand(queries: DataFrame, answers: DataFrame | None, count: int = 6) -> DataFrame:
     """(query_id, variant, text): the first variants of a model's answer (query_id, answer), else the query itself."""
     if answers is None:

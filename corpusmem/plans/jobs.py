@@ -23,14 +23,16 @@ SCHEMAS = {
     "notes": notes.SCHEMA,
     "snapshot": "project string, path string, mtime double, size long",
     "roots": "project string, root string",
+    "answers": "key string, answer string",
+    "waiting": "project string, path string",
     "plan": "project string, path string, kind string, status string, sha256 string, size long",
 } | postings.SCHEMAS
 COMMITS = "name string, bucket int, dir string"
 FILE = ["project", "path"]
 #: Tables that are kept in buckets by project and path; of the others, each version is whole, but for segments.
-BY_PATH = ("manifest", "entries", "links", "snapshot")
+BY_PATH = ("manifest", "entries", "links", "snapshot", "waiting")
 #: Tables in segments: what a version puts is one more bucket, numbered by the version and sorted by the first column.
-SEGMENTED = tuple(postings.SCHEMAS)
+SEGMENTED = (*postings.SCHEMAS, "answers")
 
 
 class MemoryStore:
@@ -114,11 +116,11 @@ class MemoryStore:
         self.made[name] = to, {b: b in there for b in every}
         return self._read(name, {b: f"{to}/bucket={b}" for b in there}, None)
 
-    def segments(self) -> dict[int, int]:
-        """Bytes of the index's committed segments by their number."""
+    def segments(self, names: tuple[str, ...] = tuple(postings.SCHEMAS)) -> dict[int, int]:
+        """Bytes of committed segments by their number, those of the index if no others are named."""
         out: dict[int, int] = {}
         for (name, number), d in self._dirs(self.version()).items():
-            if name in SEGMENTED:
+            if name in names:
                 at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{d}")
                 out[number] = out.get(number, 0) + at.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
         return out
@@ -156,7 +158,38 @@ def totals(store: MemoryStore) -> DataFrame:
     return rows.join(linked, "project", "left").withColumn("links", F.coalesce("links", F.lit(0)))
 
 
-def _apply(store: MemoryStore, plan: DataFrame, texts: DataFrame, now, config: Config) -> None:
+Model = Callable[[list[str]], list[str | None]]
+
+
+def _answered(store: MemoryStore, fresh: DataFrame, touched: DataFrame, buckets: list[int], model: Model | None, version: str) -> DataFrame:
+    """fresh entries with a model's titles, summaries and keywords, without a model as they are.
+
+    Answers are kept by the content of the chunk and the prompt's version: a chunk that any file ever had is not asked
+    about again, equal chunks are asked about once. A failed answer isn't kept: the entry stays extractive, and its file
+    waits, to be taken up by the next run over its project.
+    """
+    late = touched.select(FILE).limit(0)
+    if model is not None:
+        keyed = stored(fresh.withColumn("key", F.when(F.col("type") == "doc", models.answer_key(version, F.col("text")))))
+        wanted = keyed.where("key is not null").groupBy("key").agg(F.first("text").alias("text"))
+        known = store.table("answers").join(wanted.select("key"), "key", "left_semi")
+        todo = wanted.join(known.select("key"), "key", "left_anti")
+        got = stored(models.ask(todo.select(F.col("key").alias("id"), "text"), model).where(models.usable(F.col("answer"))).select(F.col("id").alias("key"), "answer"))
+        merged = postings.to_merge(store.segments(("answers",)))
+        if not got.isEmpty():
+            store.put("answers", got.unionByName(store.table("answers", merged)), [store.version() + 1, *merged])
+        every = stored(known.unionByName(got))
+        late = keyed.where("key is not null").join(every, "key", "left_anti").select(FILE).distinct()
+        own = [c for c in fresh.columns if c != "id"]
+        with_key = keyed.withColumn("own", F.col("id")).withColumn("id", F.col("key")).drop("key")
+        fresh = models.entries_with_answers(with_key, every.withColumnRenamed("key", "id")).select(*own, F.col("own").alias("id"))
+    waiting = store.table("waiting", buckets)
+    if model is not None or not waiting.isEmpty():
+        store.put("waiting", waiting.join(touched.select(FILE).distinct(), FILE, "left_anti").unionByName(late), buckets)
+    return fresh
+
+
+def _apply(store: MemoryStore, plan: DataFrame, texts: DataFrame, now, config: Config, model: Model | None = None) -> None:
     """Carries out a stored plan: entries of touched files are replaced, files outside the plan stay, links and the index
     are brought up to date. Only buckets of touched files are read and written, and those in which a link changes."""
     touched = plan.where(~F.col("status").isin(*index.KEEP))
@@ -164,7 +197,7 @@ def _apply(store: MemoryStore, plan: DataFrame, texts: DataFrame, now, config: C
     if not buckets:
         return
     todo = plan.where(F.col("status").isin("new", "changed")).select(*FILE, "kind")
-    fresh = index.extract(texts.select(*FILE, "text").join(todo, FILE), config)
+    fresh = _answered(store, index.extract(texts.select(*FILE, "text").join(todo, FILE), config), touched, buckets, model, config.prompt_version)
     stored_ = store.put("entries", index.upsert(store.table("entries", buckets), fresh, touched), buckets)
     _relink(store, touched, stored_.join(todo.select(FILE), FILE, "left_semi"), buckets)
     own, manifest = plan.where(store.bucket().isin(buckets)), store.table("manifest", buckets)
@@ -194,17 +227,22 @@ def _relink(store: MemoryStore, touched: DataFrame, fresh: DataFrame, buckets: l
     store.put("links", stay.unionByName(added), buckets)
 
 
-def index_listing(store: MemoryStore, listing: DataFrame, now, config: Config = Config(), reindex: bool = False, pages: DataFrame | None = None) -> DataFrame:
+def index_listing(store: MemoryStore, listing: DataFrame, now, config: Config = Config(), reindex: bool = False, pages: DataFrame | None = None, model: Model | None = None) -> DataFrame:
     """Indexes whole projects and returns the report of each: counts of the run and totals of the memory.
 
     listing: (project, path, sha256, size, text[, failed]), all files of its projects; what else those projects have in
     the memory is removed, other projects stay. Running it twice changes nothing the second time. pages: (project, path,
     page, text) of files that come as pages, such as .pdf; without pages such a file fails and is tried again.
+    model: gives answers to batches of chunk texts, which take the place of extractive titles and summaries; see
+    _answered. With a model, files some answer of which failed count as changed, and only what is missing is asked again.
     """
     listing = index.with_pages(listing, pages, config.max_pages)
     mine = store.table("manifest").join(listing.select("project").distinct(), "project", "left_semi")
+    if model is not None:
+        late = store.table("waiting").withColumn("late", F.lit(True))
+        mine = mine.join(late, FILE, "left").withColumn("sha256", F.when(F.col("late"), "").otherwise(F.col("sha256"))).drop("late")
     plan = store.put("plan", index.change_plan(listing, mine, config.max_file_mb, reindex))
-    _apply(store, plan, listing, now, config)
+    _apply(store, plan, listing, now, config, model)
     store.commit()
     return index.report(plan).join(totals(store), "project", "left")
 

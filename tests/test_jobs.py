@@ -254,3 +254,32 @@ def test_segments_to_merge():
         merged = postings.to_merge(sizes)
         sizes = {k: v for k, v in sizes.items() if k not in merged} | {n: 1 + sum(sizes[k] for k in merged)}
     assert sum(sizes.values()) == 199 and len(sizes) < 10
+
+
+def test_model_answers_are_asked_once(spark, store, tmp_path):
+    asked, down = str(tmp_path / "asked"), str(tmp_path / "down")
+
+    def model(texts):
+        with open(asked, "a") as f:
+            f.writelines(t.replace("\n", " ") + "\n" for t in texts)
+        with open(down) as f:
+            failing = f.read()
+        return [None if failing and failing in t else '{"title": "T %d", "summary": "About %s.", "keywords": ["k"]}' % (len(t), t[-7:]) for t in texts]
+
+    def run(files, day, failing=""):
+        open(down, "w").write(failing), open(asked, "w").close()
+        report = jobs.index_listing(store, _listing(spark, files), day, model=model).first()
+        return report, sorted(open(asked).read().splitlines())
+
+    files = {("p", "a.md"): "# Fees\n\nabout refunds", ("p", "b.md"): "# Fees\n\nabout refunds", ("p", "c.md"): "# Late\n\nabout charges"}
+    assert run(files, "2024-01-01", "Late")[1] == ["# Fees  about refunds", "# Late  about charges"]  # equal chunks once
+    rows = lambda: {r["path"]: (r["id"], r["title"], r["summary"]) for r in store.table("entries").collect()}
+    assert rows() == {"a.md": ("a.md#0", "T 21", "About refunds."), "b.md": ("b.md#0", "T 21", "About refunds."), "c.md": ("c.md#0", "Late", "# Late about charges")}
+    assert [r["path"] for r in store.table("waiting").collect()] == ["c.md"]
+    report, again = run(files, "2024-01-02")
+    assert again == ["# Late  about charges"] and (report["docs"], report["skipped"]) == (1, 2)  # what failed is asked again
+    assert rows()["c.md"] == ("c.md#0", "T 21", "About charges.") and store.table("waiting").isEmpty()
+    report, third = run(files | {("p", "d.md"): "# Late\n\nabout charges"}, "2024-01-03")
+    assert third == [] and rows()["d.md"][1:] == ("T 21", "About charges.")  # a chunk that another file had
+    found = jobs.answers(store, spark.createDataFrame([(1, 0, "T")], "query_id int, variant int, text string"), "p").first()["answer"]
+    assert found.count("### T 21") == 4
