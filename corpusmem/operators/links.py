@@ -1,7 +1,12 @@
-"""Documents linked to the symbols they mention: a substring join, blocked by each name's rarest trigram."""
+"""Documents linked to the symbols they mention: a substring join, blocked by each name's rarest trigram. Token sets that overlap."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +14,12 @@ from pyspark.sql import functions as F
 from corpusmem.plans.scratch import stored
 
 MIN_NAME = 3
+#: Sets and tokens of a slice of a project, and left sets of a block: a tile holds two slices and the counts of one block.
+SETS, TOKENS, BLOCK = 16_384, 2_000_000, 1024
+#: Tokens that a larger share of a tile's pairs has are counted by products of matrices, so many columns at a time.
+DENSE, WIDTH = 0.01, 512
+#: Projects up to which their numbers of slices are broadcast.
+BROADCAST_PROJECTS = 500_000
 
 
 def _trigrams(text):
@@ -68,37 +79,118 @@ def distinct_sets(keyed: DataFrame) -> DataFrame:
     return stored(found.select("project", "set", F.size("tokens").alias("n"), "tokens", "first"))
 
 
-def _asked(small: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
-    """(project, t, small, n): the tokens by which a set is looked up in sets that are not smaller.
+def _dealt(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of distinct_sets dealt to tiles (project, i, j): each slice of a project's left sets meets each of its right ones.
 
-    A partner lacks at most n - ceil(threshold * n) of the set's n tokens, so it has one of any n - ceil(threshold * n) + 1.
-    Those in the fewest sets of the other side are taken; tokens that no such set has count among them and meet nothing.
+    A slice has about SETS sets or TOKENS tokens at most, so a side is sent once for each slice of the other, and a large
+    project is spread over its tiles.
     """
-    found = large.select("project", F.explode("tokens").alias("t")).groupBy("project", "t").agg(F.count("*").alias("k"))
-    mine = small.select("project", F.col("set").alias("small"), "n", F.explode("tokens").alias("t")).join(found, ["project", "t"], "left")
-    nth = F.row_number().over(W.partitionBy("project", "small").orderBy(F.coalesce("k", F.lit(0)), "t"))
-    most = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    return mine.withColumn("nth", nth).where(F.col("k").isNotNull() & (F.col("nth") <= most)).select("project", "t", "small", "n")
+    parts = lambda df, name: df.groupBy("project").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum("n") / TOKENS)).cast("int").alias(name))
+    tiles = stored(parts(a, "ni").join(parts(b, "nj"), "project"))
+    tiles = F.broadcast(tiles) if tiles.count() <= BROADCAST_PROJECTS else tiles
+    own = lambda n: F.pmod(F.xxhash64("set"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = a.join(tiles, "project").select("project", own("ni").alias("i"), every("nj").alias("j"), "set", "n", "tokens")
+    right = b.join(tiles, "project").select("project", every("ni").alias("i"), own("nj").alias("j"), "set", "n", "tokens", "first.seq", "first.id")
+    return left, right
+
 
+def _numbered(*tables: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each table the (row, token) of all its sets, by row; equal tokens have one number in all tables."""
+    lists = [t.column("tokens").combine_chunks() for t in tables]
+    names = pa.chunked_array([x.flatten() for x in lists], pa.string()).combine_chunks().dictionary_encode().indices.to_numpy()
+    sizes = [pc.list_value_length(x).to_numpy() for x in lists]
+    return list(zip([np.repeat(np.arange(len(n)), n) for n in sizes], np.split(names, [sizes[0].sum()]), strict=True))
 
-def _candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """(project, left, right) before verification, from both sides: of a pair the smaller set asks, of equal ones the left."""
-    every = lambda df: df.select("project", F.col("set").alias("large"), F.col("n").alias("m"), F.explode("tokens").alias("t"))
-    ahead = _asked(a, b, threshold).join(every(b), ["project", "t"]).where("n <= m").select("project", F.col("small").alias("left"), F.col("large").alias("right"))
-    back = _asked(b, a, threshold).join(every(a), ["project", "t"]).where("n < m").select("project", F.col("large").alias("left"), F.col("small").alias("right"))
-    return ahead.unionByName(back).distinct()
 
+def _shared(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, counts): how many tokens the left sets of a block share with each right one.
 
-def overlapping(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """(project, left, right, overlap, first): pairs of distinct_sets that share threshold of the smaller set or more.
+    Tokens of many pairs are counted by a product of matrices, the others by their postings.
+    """
+    (rows, tokens), (others, theirs) = _numbered(left, right)
+    n = int(max(tokens.max(initial=0), theirs.max(initial=0))) + 1
+    mine, found = np.bincount(tokens, minlength=n), np.bincount(theirs, minlength=n)
+    dense = mine * found > DENSE * len(left) * len(right)
+    column, width = np.cumsum(dense) - 1, int(dense.sum())
+
+    def matrix(rows: np.ndarray, tokens: np.ndarray, height: int) -> np.ndarray:
+        out, own = np.zeros((height, width), "uint8"), dense[tokens]
+        out[rows[own], column[tokens[own]]] = 1
+        return out
+
+    every, rare = matrix(others, theirs, len(right)), ~dense[theirs]
+    posted = others[rare][np.argsort(theirs[rare], kind="stable")]
+    until, met = np.cumsum(np.where(dense, 0, found)), ~dense & (found > 0)
+    for begin in range(0, len(left), BLOCK):
+        height = min(BLOCK, len(left) - begin)
+        own = slice(*np.searchsorted(rows, [begin, begin + height]))
+        at, asked = rows[own] - begin, tokens[own]
+        block, counts = matrix(at, asked, height), np.zeros((height, len(right)), "float32")
+        for c in range(0, width, WIDTH):
+            counts += block[:, c : c + WIDTH].astype("float32") @ every[:, c : c + WIDTH].astype("float32").T
+        at, asked = at[met[asked]], asked[met[asked]]
+        ends = np.searchsorted(at, np.arange(height + 1))
+        for k in np.unique(at):
+            counts[k] += np.bincount(np.concatenate([posted[until[t] - found[t] : until[t]] for t in asked[ends[k] : ends[k + 1]]]), minlength=len(right))
+        yield begin, counts
+
+
+def _least(table: pa.Table, threshold: float) -> np.ndarray:
+    """The smallest number of shared tokens that is threshold of each set or more; of two sets the smaller number counts."""
+    n = table.column("n").to_numpy().astype("float64")
+    least = np.ceil(n * threshold)
+    least -= (least - 1) / n >= threshold
+    least += least / n < threshold
+    return np.maximum(least, 1).astype("float32")
+
+
+def best_partners(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(project, set, overlap, first): of distinct_sets, each left set's best partner that shares threshold of the smaller set
+    or more; first is the partner's. The largest overlap wins, ties go to the smaller (seq, id).
+
+    All sets of a project are compared in tiles, each of which returns one row a left set at most.
+    """
 
-    first is the right set's. Candidates come by an asymmetric prefix filter and are verified on the whole sets.
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right, [("seq", "ascending"), ("id", "ascending")], null_placement="at_start"))
+        mine, theirs = _least(left, threshold), _least(right, threshold)
+        best, most = np.zeros(len(left), "int64"), np.zeros(len(left), "int32")
+        for at, counts in _shared(left, right) if len(left) and len(right) else ():
+            counts[counts < np.minimum(mine[at : at + len(counts), None], theirs)] = 0
+            best[at : at + len(counts)] = counts.argmax(1)  # the first of the largest
+            most[at : at + len(counts)] = counts.max(1)
+        own = np.flatnonzero(most)
+        left, right = left.select(["project", "set"]).take(own), right.select(["seq", "id"]).take(best[own])
+        return pa.table([*left.columns, pa.array(most[own]), *right.columns], names=["project", "set", "overlap", "seq", "id"])
+
+    left, right = _dealt(a, b)
+    kinds = dict(right.dtypes)
+    found = left.groupBy("project", "i", "j").cogroup(right.groupBy("project", "i", "j")).applyInArrow(tile, f"project {kinds['project']}, set string, overlap int, seq {kinds['seq']}, id {kinds['id']}")
+    best = found.groupBy("project", "set").agg(F.min(F.struct((-F.col("overlap")).alias("o"), F.struct("seq", "id").alias("first"))).alias("b"))
+    return best.select("project", "set", (-F.col("b.o")).alias("overlap"), "b.first")
+
+
+def met(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(project, set): of distinct_sets, the right sets that share threshold of the smaller set or more with a left one.
+
+    Tiles as for best_partners. The smallest left sets come first, since they are met most, and right sets that were met
+    aren't compared again in their tile.
     """
-    left = a.select("project", F.col("set").alias("left"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = b.select("project", F.col("set").alias("right"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), "first")
-    pairs = _candidates(a, b, threshold).join(left, ["project", "left"]).join(right, ["project", "right"])
-    pairs = pairs.select("project", "left", "right", F.size(F.array_intersect("ta", "tb")).alias("overlap"), F.least("na", "nb").alias("n"), "first")
-    return pairs.where(F.col("overlap") / F.col("n") >= threshold).drop("n")
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, out = left.sort_by("n"), []
+        for begin in range(0, len(left), BLOCK):
+            block = left.slice(begin, BLOCK)
+            for _, counts in _shared(block, right) if len(right) else ():
+                hit = (counts >= np.minimum(_least(block, threshold)[:, None], _least(right, threshold))).any(0)
+                out.append(right.select(["project", "set"]).filter(hit))
+                right = right.filter(~hit)
+        return pa.concat_tables(out) if out else right.select(["project", "set"]).slice(0, 0)
+
+    left, right = _dealt(a, b)
+    found = left.groupBy("project", "i", "j").cogroup(right.groupBy("project", "i", "j")).applyInArrow(tile, f"project {dict(right.dtypes)['project']}, set string")
+    return found.distinct()
 
 
 def best_overlap(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -108,9 +200,8 @@ def best_overlap(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> D
     Equal sets are compared once; rows without tokens, or without a project, have no partner.
     """
     rows = keyed_sets(left)
-    pairs = overlapping(distinct_sets(rows), distinct_sets(keyed_sets(right)), threshold)
-    best = pairs.groupBy("project", F.col("left").alias("set")).agg(F.min(F.struct((-F.col("overlap")).alias("o"), "first")).alias("b"))
-    return rows.join(best, ["project", "set"]).select("project", F.col("id").alias("left_id"), F.col("b.first.id").alias("right_id"), (-F.col("b.o")).cast("long").alias("overlap"))
+    best = best_partners(distinct_sets(rows), distinct_sets(keyed_sets(right)), threshold)
+    return rows.select("project", "set", "id").join(best, ["project", "set"]).select("project", F.col("id").alias("left_id"), F.col("first.id").alias("right_id"), F.col("overlap").cast("long").alias("overlap"))
 
 
 def compared_overlap(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusmem.functions.text import token_set
-from corpusmem.operators.links import best_overlap, distinct_sets, keyed_sets, overlapping
+from corpusmem.operators.links import best_overlap, distinct_sets, keyed_sets, met
 
 SCHEMA = "project string, id string, seq long, problem string, solution string, source_file string, created_at timestamp, updated_at timestamp"
 SUPERSEDE, FORGET = 0.6, 0.5
@@ -166,6 +166,6 @@ def forget(notes: DataFrame, requests: DataFrame) -> DataFrame:
     words = keyed_sets(others.select("project", F.col("query").alias("id"), F.lit(0).alias("seq"), token_set(F.col("query")).alias("tokens")))
     text = F.concat_ws(" ", F.coalesce("problem", F.lit("")), F.coalesce("solution", F.lit("")))
     sets = keyed_sets(_sets(notes, text))
-    hit = overlapping(distinct_sets(words), distinct_sets(sets), FORGET).select("project", F.col("right").alias("set")).distinct()
+    hit = met(distinct_sets(words), distinct_sets(sets), FORGET)
     named = sets.join(hit, ["project", "set"], "left_semi").select("project", "id")
     return notes.join(by_id.union(named).distinct(), ["project", "id"], "left_anti")

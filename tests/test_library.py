@@ -261,6 +261,25 @@ def test_overlap_of_copies_is_compared_once(spark):
     assert best.where("left_id = 'l300'").first()["right_id"] == "r300"
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.6])
+def test_overlap_in_tiles_equals_all_pairs(spark, monkeypatch, threshold):
+    """Slices and blocks of a few sets, common and rare tokens: what a tile returns is bounded by its sets, not by their pairs."""
+    for name, value in (("SETS", 16), ("TOKENS", 90), ("BLOCK", 5), ("WIDTH", 3)):
+        monkeypatch.setattr(links, name, value)
+    rnd = random.Random(8)
+    side = lambda name, n: spark.createDataFrame([("p", f"{name}{i}", rnd.randrange(9), list(dict.fromkeys(f"w{int(rnd.expovariate(0.04))}" for _ in range(rnd.randrange(1, 20))))) for i in range(n)], "project string, id string, seq long, tokens array<string>")
+    left, right = side("l", 90), side("r", 110)
+    want = links.compared_overlap(left, right, threshold).collect()
+    assert {tuple(r) for r in links.best_overlap(left, right, threshold).collect()} == {tuple(r) for r in want} and want
+    a, b = (links.distinct_sets(links.keyed_sets(x)).localCheckpoint() for x in (left, right))
+    dealt = [df.collect() for df in links._dealt(a, b)]
+    assert max(sum(r["i"] == i and r["j"] == 0 for r in dealt[0]) for i in range(9)) < 40 and len({(r["i"], r["j"]) for r in dealt[0]}) > 16
+    met = {r["set"] for r in links.met(a, b, threshold).collect()}
+    rows = {r["id"]: (set(r["tokens"]), r["set"]) for df in (links.keyed_sets(left), links.keyed_sets(right)) for r in df.collect()}
+    pairs = [(x, y) for x, (p, _) in rows.items() for y, (q, _) in rows.items() if x[0] == "l" and y[0] == "r" and len(p & q) / min(len(p), len(q)) >= threshold]
+    assert met == {rows[y][1] for _, y in pairs} and len(met) < len(pairs)
+
+
 def test_queries_read_all_rows(spark, tmp_path):
     import __spark_entry__ as entry
     from corpusmem import queries as own
