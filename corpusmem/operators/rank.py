@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from math import ceil
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ BROADCAST_TERMS = 500_000
 SLACK = 2e-6
 #: Rows scored whole for the threshold, times the limit; and the share of the threshold that inessential terms may reach.
 LEADERS, SHARE = 8, 0.6
+#: Scores (a row for a query variant and a row) that a task sums: some 100 bytes each, in two hash tables and a sort.
+PAIRS = 1_000_000
 
 
 def postings(rows: DataFrame, text, keys: tuple[str, ...] = ("pool", "id")) -> DataFrame:
@@ -58,18 +62,29 @@ def _sent(df: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
-def asked_postings(rows: DataFrame, text, terms: DataFrame, few: bool = False) -> DataFrame:
+def _parts(spark: SparkSession, pairs: int) -> int:
+    """Partitions in which a task sums PAIRS scores at most. The number is given, so that Spark, which sees only the few bytes
+    of the postings, doesn't join them."""
+    return max(spark.sparkContext.defaultParallelism, ceil(pairs / PAIRS))
+
+
+def scored_parts(terms: DataFrame, rows: DataFrame) -> int:
+    """Partitions by id in which all rows are scored for all query variants: every pair may have a score."""
+    return _parts(rows.sparkSession, terms.select("query_id", "variant").distinct().count() * rows.count())
+
+
+def asked_postings(rows: DataFrame, text, terms: DataFrame, few: bool = False, parts: int | None = None) -> DataFrame:
     """(pool, id, len, term, tf): postings of asked terms, and of the empty term once for every row, for the statistics.
 
     Each text is tokenised once; only tokens that are asked are shuffled, by id, so that neither the counts nor the sums
-    of scores by row need another shuffle.
+    of scores by row need another shuffle. parts: partitions, see scored_parts; left to Spark where no scores are summed in them.
     """
     bag = rows.select("pool", "id", tokens(text).alias("t"))
     # the length first: what is computed beside an explode would carry the whole array along with each of its tokens
     bag = bag.select("pool", "id", F.size("t").cast("long").alias("len"), F.concat(F.array(F.lit("")), "t").alias("t"))
     every = bag.select("pool", "id", "len", F.explode_outer("t").alias("term"))
     asked = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    found = every.join(_sent(asked, few), "term", "left_semi").repartition("id")
+    found = every.join(_sent(asked, few), "term", "left_semi").repartition(*([parts] if parts else []), "id")
     return found.groupBy("pool", "id", "len", "term").agg(F.count("*").alias("tf"))
 
 
@@ -83,16 +98,21 @@ def _part(tf, length, avgdl):
 
 
 def weighed(terms: DataFrame, stats: DataFrame, few: bool = False) -> DataFrame:
-    """(query_id, variant, pool, term, idf, avgdl, most): the terms of each query in each pool; most bounds a term's score."""
+    """(query_id, variant, pool, term, df, n, idf, avgdl, most): the terms of each query in each pool; most bounds a term's score."""
     pools = stats.where("term = ''").select("pool", F.col("df").alias("n"), F.when(F.col("total") > 0, F.col("total") / F.col("df")).otherwise(1.0).alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = stats.where("term <> ''").join(pools, "pool").select("pool", "term", "avgdl", idf.alias("idf"), (idf * _part(F.col("max_tf"), F.col("min_len"), F.col("avgdl"))).alias("most"))
+    known = stats.where("term <> ''").join(pools, "pool").select("pool", "term", "df", "n", "avgdl", idf.alias("idf"), (idf * _part(F.col("max_tf"), F.col("min_len"), F.col("avgdl"))).alias("most"))
     shared = ["term"] + (["pool"] if "pool" in terms.columns else [])
     return known.join(_sent(terms, few), shared)
 
 
-def _sums(posted: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
-    """(query_id, variant, pool, id, score): sums of term scores over equal terms."""
+def _sums(posted: DataFrame, wanted: DataFrame, few: bool, parts: int | None = None) -> DataFrame:
+    """(query_id, variant, pool, id, score): sums of term scores over equal terms.
+
+    parts: partitions by id to which the wanted postings, which are fewer than the scores, are dealt first.
+    """
+    if parts:
+        posted = posted.join(_sent(wanted.select("pool", "term").distinct(), few), ["pool", "term"], "left_semi").repartition(parts, "id")
     part = F.col("idf") * _part(F.col("tf"), F.col("len"), F.col("avgdl"))
     hits = posted.join(_sent(wanted.select(*ONE, "term", "idf", "avgdl"), few), ["pool", "term"])
     return hits.groupBy(*ONE, "id").agg(F.sum(part).alias("score"))
@@ -113,6 +133,13 @@ def _looked_up(hits: DataFrame, wanted: DataFrame, posted: DataFrame, few: bool)
     return asked.join(posted, ["pool", "id", "term"]).groupBy(*ONE, "id").agg(F.sum(part).alias("more"))
 
 
+def _extent(asked: DataFrame) -> tuple[bool, int]:
+    """Whether weighed terms are few enough to be broadcast, and the partitions for all scores that they may make."""
+    each = asked.groupBy(*ONE).agg(F.count("*").alias("terms"), F.least(F.sum("df"), F.max("n")).alias("pairs"))
+    found = each.agg(F.sum("terms"), F.sum("pairs")).first()
+    return (found[0] or 0) <= BROADCAST_TERMS, _parts(asked.sparkSession, found[1] or 0)
+
+
 def best_scores(terms: DataFrame, posted: DataFrame, limit: int, stats: DataFrame | None = None) -> DataFrame:
     """(query_id, variant, pool, id, score): the rows that can be among a query's best `limit`, with whole scores.
 
@@ -127,16 +154,16 @@ def best_scores(terms: DataFrame, posted: DataFrame, limit: int, stats: DataFram
     up = W.partitionBy(*ONE).orderBy("most", "term").rowsBetween(W.unboundedPreceding, W.currentRow)
     asked = weighed(terms, term_stats(posted) if stats is None else stats).withColumn("below", F.sum("most").over(up) * (1 + 1e-9)).withColumn("all", F.max("below").over(W.partitionBy(*ONE)))
     asked = stored(asked)  # a row a query term and pool
-    few = asked.count() <= BROADCAST_TERMS
+    few, parts = _extent(asked)
     order = W.partitionBy(*ONE).orderBy(F.col("score").desc())
-    first = _sums(posted, asked.where(F.col("below") > F.col("all") / 2), few)
+    first = _sums(posted, asked.where(F.col("below") > F.col("all") / 2), few, parts)
     leaders = first.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= LEADERS * limit)
     whole = _looked_up(leaders, asked, posted, few).withColumnRenamed("more", "score")
     reached = whole.withColumn("nth", F.row_number().over(order)).where(F.col("nth") == limit).select(*ONE, (F.col("score") * (1 - 1e-9) - SLACK).alias("reach"))
     asked = asked.join(_sent(reached, few), list(ONE), "left").withColumn("rest", F.col("below") < SHARE * F.coalesce("reach", F.lit(0.0)))
     asked = stored(asked)
     bound = asked.groupBy(*ONE).agg(F.coalesce(F.max("reach"), F.lit(0.0)).alias("reach"), F.coalesce(F.max(F.when(F.col("rest"), F.col("below"))), F.lit(0.0)).alias("lift"))
-    hits = _sums(posted, asked.where(~F.col("rest")), few).join(_sent(bound, few), list(ONE)).where((F.col("score") > 0) & (F.col("score") + F.col("lift") >= F.col("reach")))
+    hits = _sums(posted, asked.where(~F.col("rest")), few, parts).join(_sent(bound, few), list(ONE)).where((F.col("score") > 0) & (F.col("score") + F.col("lift") >= F.col("reach")))
     hits = stored(hits.select(*ONE, "id", "score"))  # some multiples of the limit a query
     more = _looked_up(hits, asked.where("rest"), posted, few)
     return hits.select(*ONE, "id", "score").join(more, [*ONE, "id"], "left").select(*ONE, "id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))

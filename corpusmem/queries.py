@@ -485,7 +485,7 @@ _O["r2_stored_statistics"] = (
 def _scored(queries, rows):
     terms = rank.query_terms(queries)
     few = rank.small(terms, rows)
-    return rank.scores(terms, rank.asked_postings(rows, F.col("txt"), terms, few), few)
+    return rank.scores(terms, rank.asked_postings(rows, F.col("txt"), terms, few, rank.scored_parts(terms, rows)), few)
 
 
 @_query("r3_bm25_scores", f"WITH {_bm25('SELECT * FROM {1}', 'SELECT * FROM {0}')} SELECT query_id, pool, id, round(score, 6) AS score FROM s", ASKED, DOC_ROWS)

@@ -124,6 +124,24 @@ def test_ranking(spark):
     assert _rank(spark, [("body", "a b", "zephyr wind"), ("head", "zephyr", "a b")], ["zephyr"])[0] == "head"
 
 
+def test_scores_of_a_task_are_bounded(spark, monkeypatch):
+    """Spark doesn't join the partitions of scores, however few bytes the postings have: a task sums PAIRS scores at most."""
+    rows = spark.range(600).selectExpr("'doc' as pool", "cast(id as string) as id", "concat('all w', id % 7) as txt")
+    asked = spark.range(10).selectExpr("id as query_id", "0 as variant", "concat('all w', id) as text")
+    terms = rank.query_terms(asked)
+    whole = lambda parts: rank.scores(terms, rank.asked_postings(rows, F.col("txt"), terms, True, parts), True)
+    want = {tuple(r) for r in whole(None).collect()}
+    monkeypatch.setattr(rank, "PAIRS", 500)
+    got = whole(rank.scored_parts(terms, rows)).withColumn("task", F.spark_partition_id()).collect()
+    assert {tuple(r)[:-1] for r in got} == want and len(got) == 6000
+    sums = [sum(r["task"] == t for r in got) for t in {r["task"] for r in got}]
+    assert len(sums) >= 11 and max(sums) < 1500
+    posted = rank.asked_postings(rows, F.col("txt"), terms, True).localCheckpoint()
+    weighed = rank.weighed(terms, rank.term_stats(posted), True)
+    assert rank._extent(weighed) == (True, 12)
+    assert {r["task"] for r in rank._sums(posted, weighed, *rank._extent(weighed)).withColumn("task", F.spark_partition_id()).collect()} == {r["task"] for r in got}
+
+
 def test_links_blocked_equal_nested(spark):
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 6)))
