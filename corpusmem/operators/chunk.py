@@ -7,13 +7,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import islice
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmem.config import WS, WS_CHARS
-from corpusmem.functions.text import mangled, summary, token_set, trim
+from corpusmem.functions.text import _let, mangled, summary, token_set, trim
 
 _HEADING = r"\A[^\S\n]*#{1,6}[^\S\n]"
 
@@ -74,7 +73,9 @@ def cuts(text: str, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def split_block(block: str, line: int, chunk_chars: int, max_chunks: int) -> list[dict]:
-    """The chunks of a long block with their first lines; a break between chunks counts as one line."""
+    """The chunks of a long block with their first lines; a break between chunks counts as one line.
+
+    The definition in Python, with which tests compare the column of chunks()."""
     out = []
     for begin, end in islice(cuts(block, chunk_chars), max_chunks + 1):
         out.append({"text": block[begin:end], "line": line})
@@ -82,23 +83,42 @@ def split_block(block: str, line: int, chunk_chars: int, max_chunks: int) -> lis
     return out
 
 
+def _split(body: Column, line: Column, limit: int, most: int) -> Column:
+    """split_block as a column: array of (text, line), `most` at most. Texts stay in the engine, a row at a time."""
+    last = lambda window, what: F.when(F.instr(window, what) > 0, F.length(window) - F.instr(F.reverse(window), what) + 1 - len(what)).otherwise(-1)
+    chars = F.lit(WS_CHARS)
+
+    def end(window: Column) -> Column:
+        blank, space = last(window, "\n\n"), last(F.substring(window, 1, limit + 1), " ")
+        return F.when(blank >= limit / 2, blank).otherwise(_let(space, lambda at: F.when(at >= limit / 2, at).otherwise(limit)))
+
+    def cut(rest: Column) -> Column:
+        parts = lambda at: F.struct(F.rtrim(F.substr(rest, F.lit(1), at), chars).alias("text"), F.ltrim(F.substr(rest, at + 1), chars).alias("rest"))
+        whole = F.struct(rest.alias("text"), F.lit("").alias("rest"))
+        return F.when(F.length(rest) > limit, _let(_let(F.substring(rest, 1, limit + 2), end), parts)).otherwise(whole)
+
+    def step(state: Column, _: Column) -> Column:
+        lines = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+        more = lambda p: F.struct(p["rest"].alias("rest"), (state["line"] + lines(p["text"])).alias("line"), F.concat(state["out"], F.array(F.struct(p["text"].alias("text"), state["line"].alias("line")))).alias("out"))
+        return F.when(state["rest"] == "", state).otherwise(_let(cut(state["rest"]), more))
+
+    none = F.array().cast("array<struct<text:string,line:int>>")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.struct(body.alias("rest"), line.alias("line"), none.alias("out")), step, lambda state: state["out"])
+
+
 def chunks(docs: DataFrame, chunk_chars: int = 3000, max_chunks: int = 40, key: str = "path", text: str = "text") -> DataFrame:
     """(key, chunk, title, text, line): the first max_chunks chunks of each document; sizes below 1 mean the defaults.
 
-    Sections and chunks are numbered within the document's row, so there is no shuffle. Only documents with a section
-    over the limit enter the Arrow function. Repeated rows are documents of their own.
+    Sections and chunks are numbered within the document's row, so there is no shuffle, and no batch of texts is held.
+    Repeated rows are documents of their own.
     """
     chunk_chars, max_chunks = (int(v) if v and v >= 1 else d for v, d in ((chunk_chars, 3000), (max_chunks, 40)))
-
-    @F.pandas_udf("array<struct<title:string,text:string,line:int>>")
-    def cut(found: pd.Series) -> pd.Series:
-        parts = lambda s: split_block(s["body"], s["line"], chunk_chars, max_chunks) if len(s["body"]) > chunk_chars else [{"text": s["body"], "line": s["line"]}]
-        return pd.Series([None if own is None else [{"title": s["title"], **c} for s in own for c in parts(s)][:max_chunks] for own in found])
-
-    long = F.exists("s", lambda s: F.length(s["body"]) > chunk_chars)
-    whole = F.transform("s", lambda s: F.struct(s["title"].alias("title"), s["body"].alias("text"), s["line"].alias("line")))
+    whole = lambda s: F.array(F.struct(s["body"].alias("text"), s["line"].alias("line")))
+    blocks = lambda s: F.when(F.length(s["body"]) > chunk_chars, _split(s["body"], s["line"], chunk_chars, max_chunks)).otherwise(whole(s))
+    titled = lambda s: F.transform(blocks(s), lambda c: F.struct(s["title"].alias("title"), c["text"].alias("text"), c["line"].alias("line")))
     rows = _with_sections(docs, key, text, max_chunks)
-    rows = rows.select(key, F.posexplode(F.slice(F.coalesce(cut(F.when(long, F.col("s"))), whole), 1, max_chunks)).alias("chunk", "c"))
+    # an outer generator: see sections
+    rows = rows.select(key, F.posexplode_outer(F.slice(F.flatten(F.transform("s", titled)), 1, max_chunks)).alias("chunk", "c")).where("chunk is not null")
     return rows.select(key, "chunk", F.col("c.title").alias("title"), F.col("c.text").alias("text"), F.col("c.line").alias("line"))
 
 

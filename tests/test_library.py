@@ -37,6 +37,21 @@ def test_chunk_limits(spark):
     assert [c["text"] for c in chunk.split_block("aa bb cc", 1, 3, 40)] == ["aa", "bb", "cc"]
 
 
+def test_chunks_stay_in_the_engine(spark):
+    """Long sections are cut as split_block cuts them, and no text goes through Python."""
+    rnd = random.Random(5)
+    pieces = ["a", "é", "中", "😀", " ", " ", "\n", "\n\n", "\u3000", "\n \n", "word"]
+    texts = [t for t in ("".join(rnd.choice(pieces) for _ in range(rnd.randrange(10, 300))).strip(chunk.WS_CHARS) for _ in range(150)) if t]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    for limit, most in ((1, 3), (7, 40), (20, 5), (33, 40)):
+        found = chunk.chunks(docs, limit, most)
+        got = {}
+        for r in found.orderBy("path", "chunk").collect():
+            got.setdefault(int(r["path"]), []).append({"text": r["text"], "line": r["line"]})
+        assert got == {i: chunk.split_block(t, 1, limit, most)[:most] if len(t) > limit else [{"text": t, "line": 1}] for i, t in enumerate(texts)}
+        assert not re.search("Python|Arrow|Pandas", found._jdf.queryExecution().executedPlan().toString())
+
+
 def test_symbols(spark):
     cs = "using System;\n\nclass Program {\n    static void Main(string[] args) {\n        if (args.Length > 0) return;\n        foreach (var a in args) { }\n    }\n\n    public string GetName() {\n        return Name();\n    }\n}\n"
     rust = "pub fn visible() {}\npub(crate) async fn scoped() {}\nfn hidden() {}\npub struct Thing {\n"
