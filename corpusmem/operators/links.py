@@ -18,6 +18,8 @@ MIN_NAME = 3
 SETS, TOKENS, BLOCK = 16_384, 2_000_000, 1024
 #: Tokens that a larger share of a tile's pairs has are counted by products of matrices, so many columns at a time.
 DENSE, WIDTH = 0.01, 512
+#: Trigrams of names (of each project) up to which they are broadcast: some tens of bytes each.
+BROADCAST_GRAMS = 500_000
 #: Projects up to which their numbers of slices are broadcast.
 BROADCAST_PROJECTS = 500_000
 
@@ -32,7 +34,8 @@ def links(docs: DataFrame, symbols: DataFrame | None = None, keys: tuple[str, ..
 
     docs and symbols: entries; without symbols, docs hold both. Names of three characters or more are looked up by one
     trigram, of theirs the one in fewest documents; only trigrams of names are taken from the documents, and candidates
-    are verified by `contains`. Distinct names are matched first and symbols joined to them afterwards. With keys, such
+    are verified by `contains`. Names with up to BROADCAST_GRAMS trigrams are sent to the documents, so that no text is
+    shuffled; beyond, both sides meet by trigram. Distinct names are matched first and symbols joined to them afterwards. With keys, such
     as the project, only rows that agree in them are linked. ident: further columns that name an entry, which come out
     with doc_ and symbol_ before their names.
     """
@@ -41,14 +44,15 @@ def links(docs: DataFrame, symbols: DataFrame | None = None, keys: tuple[str, ..
     docs = docs.select(*keys, F.struct(*ident).alias("doc"), hay.alias("hay")).where(F.length("hay") >= MIN_NAME)
     symbols = symbols.select(*keys, F.struct(*ident).alias("symbol"), F.lower(F.col("keywords")[0]).alias("name")).where(F.length("name") >= MIN_NAME)
     names = symbols.select(*keys, "name").distinct()
-    named = names.select(*keys, "name", F.explode_outer(_trigrams(F.col("name"))).alias("gram"))
+    named = stored(names.select(*keys, "name", F.explode_outer(_trigrams(F.col("name"))).alias("gram")))
+    sent = F.broadcast if named.count() <= BROADCAST_GRAMS else (lambda df: df)
     # outer generators: for an inner one Spark infers a filter, and makes the trigrams twice
     grams = docs.select(*keys, "doc", "hay", F.explode_outer(_trigrams(F.col("hay"))).alias("gram"))
-    grams = grams.join(named.select(*keys, "gram").distinct(), [*keys, "gram"], "left_semi")
+    grams = grams.join(sent(named.select(*keys, "gram").distinct()), [*keys, "gram"], "left_semi")
     counts = grams.groupBy(*keys, "gram").agg(F.count("*").alias("k"))
     rarest = named.join(counts, [*keys, "gram"], "left").groupBy(*keys, "name").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "gram")).alias("g"))
     rarest = rarest.where("g.k > 0").select(*keys, "name", F.col("g.gram").alias("gram"))
-    pairs = grams.join(rarest, [*keys, "gram"]).where(F.col("hay").contains(F.col("name"))).select(*keys, "doc", "name")
+    pairs = grams.join(sent(rarest), [*keys, "gram"]).where(F.col("hay").contains(F.col("name"))).select(*keys, "doc", "name")
     out = pairs.join(symbols, [*keys, "name"]).select(*keys, *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("doc", "symbol") for c in ident])
     return out.distinct()
 

@@ -24,6 +24,9 @@ def change_plan(listing: DataFrame, manifest: DataFrame, max_mb: float = 50, rei
     for c, t in optional.items():
         if c not in listing.columns:
             seen = seen.withColumn(c, F.lit(None).cast(t))
+    # the text is looked at before the join, which would carry it
+    dump = (F.col("kind") == "doc") & files.is_dump(F.coalesce("text", F.lit("")))
+    seen = seen.select("project", "path", "kind", "sha256", "size", "failed", dump.alias("dump"))
     old = manifest.select("project", "path", F.col("sha256").alias("old_sha"), F.col("kind").alias("old_kind"))
     rows = seen.join(old, ["project", "path"], "full_outer")
     status = (
@@ -31,7 +34,7 @@ def change_plan(listing: DataFrame, manifest: DataFrame, max_mb: float = 50, rei
         .when(F.coalesce(files.oversize(F.col("size"), max_mb), F.lit(False)), "oversize")
         .when((F.col("sha256") == F.col("old_sha")) & F.lit(not reindex), "unchanged")
         .when(F.coalesce("failed", F.lit(False)), "failed")
-        .when((F.col("kind") == "doc") & files.is_dump(F.coalesce("text", F.lit(""))), "dump")
+        .when(F.col("dump"), "dump")
         .when(F.col("old_sha").isNull(), "new")
         .otherwise("changed")
     )

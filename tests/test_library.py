@@ -165,6 +165,35 @@ def test_links_blocked_equal_nested(spark):
     assert sorted(links.links(table).collect()) == sorted(links.nested_loop_links(table).collect())
 
 
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """Plans of an indexing run: postings are counted within their entry, names go to the texts, a plan carries no text."""
+    from corpusmem.plans import postings
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    entries = spark.createDataFrame([(f"d{i}", "p", f"f{i}", "doc", f"t{i % 3} T", f"about Alpha{i} alpha {'alpha ' * i}", ["k", "t"], "f") for i in range(9)] + [("s1", "p", "g", "symbol", "alpha (function)", "x", ["alpha3"], "g"), ("s2", "p", "h", "symbol", "", None, None, None)], "id string, project string, path string, type string, title string, summary string, keywords array<string>, source_path string")
+    found = postings.posted(entries)
+    assert "Exchange" not in plan(found)
+    rows = entries.select(*postings.ENTRY, fn.tokens(fn.entry_text()).alias("t")).collect()
+    want = {(t, r["project"], r["type"], r["path"], r["id"], len(r["t"]), r["t"].count(t)) for r in rows for t in {"", *r["t"]}}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # what Spark broadcasts by itself in a small test doesn't count
+    few = links.links(entries)
+    joined = plan(few)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin [gram" in joined
+    monkeypatch.setattr(links, "BROADCAST_GRAMS", 0)
+    pairs = lambda df: {tuple(r) for r in df.collect()}
+    assert pairs(few) == pairs(links.links(entries)) == pairs(links.nested_loop_links(entries)) == {("d3", "s1")}
+    listing = spark.createDataFrame([("p", "a.md", "1", 9, "====\nVersion=1.2.3.4 "), ("p", "b.md", "2", 9, "text"), ("p", "c.py", "3", 9, "====\nVersion=1.2.3.4 ")], "project string, path string, sha256 string, size long, text string")
+    manifest = spark.createDataFrame([], "project string, path string, sha256 string, size long, kind string, indexed_at timestamp")
+    made = index.change_plan(listing, manifest)
+    assert {r["path"]: r["status"] for r in made.collect()} == {"a.md": "dump", "b.md": "new", "c.py": "new"}
+    carried = made._jdf.queryExecution().optimizedPlan().toString().split("Join FullOuter")[1]
+    assert "dump#" in carried.split("\n")[1]
+
+
 def test_entries_of_all_chunks_and_whole_queries(spark, tmp_path):
     import __spark_entry__ as entry
 
