@@ -20,6 +20,8 @@ SETS, TOKENS, BLOCK = 16_384, 2_000_000, 1024
 DENSE, WIDTH = 0.01, 512
 #: Trigrams of names (of each project) up to which they are broadcast: some tens of bytes each.
 BROADCAST_GRAMS = 500_000
+#: Tiles up to which each has a task of its own.
+MOST_TASKS = 4000
 #: Projects up to which their numbers of slices are broadcast.
 BROADCAST_PROJECTS = 500_000
 
@@ -83,28 +85,54 @@ def distinct_sets(keyed: DataFrame) -> DataFrame:
     return stored(found.select("project", "set", F.size("tokens").alias("n"), "tokens", "first"))
 
 
-def _dealt(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _pack(table: pa.Table) -> bytes:
+    """A slice in few bytes: each token once, sets as numbers of tokens, compressed."""
+    lists = table.column("tokens").combine_chunks()
+    numbered = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]), pa.int32()), lists.flatten().dictionary_encode())
+    table, out = table.set_column(table.column_names.index("tokens"), "tokens", numbered), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpack(table: pa.Table) -> pa.Table | None:
+    """The slice of a tile's side; None if the tile has none there."""
+    return pa.ipc.open_stream(table.column("packed")[0].as_py()).read_all() if len(table) else None
+
+
+def _dealt(a: DataFrame, b: DataFrame, left: tuple[str, ...] = ("set", "n", "tokens"), right: tuple[str, ...] = ("set", "n", "tokens", "first.seq", "first.id")) -> tuple[DataFrame, DataFrame]:
     """Both sides of distinct_sets dealt to tiles (project, i, j): each slice of a project's left sets meets each of its right ones.
 
-    A slice has about SETS sets or TOKENS tokens at most, so a side is sent once for each slice of the other, and a large
-    project is spread over its tiles.
+    A slice has about SETS sets or TOKENS tokens at most, so a large project is spread over its tiles. A slice is packed
+    once, with the columns named, and sent as one row for each slice of the other side: so what is sent again is a
+    fraction of what the sets themselves take.
     """
     parts = lambda df, name: df.groupBy("project").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum("n") / TOKENS)).cast("int").alias(name))
     tiles = stored(parts(a, "ni").join(parts(b, "nj"), "project"))
-    tiles = F.broadcast(tiles) if tiles.count() <= BROADCAST_PROJECTS else tiles
-    own = lambda n: F.pmod(F.xxhash64("set"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = a.join(tiles, "project").select("project", own("ni").alias("i"), every("nj").alias("j"), "set", "n", "tokens")
-    right = b.join(tiles, "project").select("project", every("ni").alias("i"), own("nj").alias("j"), "set", "n", "tokens", "first.seq", "first.id")
-    return left, right
+    projects, count = tiles.agg(F.count("*"), F.sum(F.col("ni").cast("long") * F.col("nj"))).first()
+    tiles = F.broadcast(tiles) if projects <= BROADCAST_PROJECTS else tiles
+
+    def packed(df: DataFrame, columns: tuple[str, ...], own: str, mine: str, other: str, others: str) -> DataFrame:
+        rows = df.join(tiles, "project").select("project", F.pmod(F.xxhash64("set"), F.col(mine)).cast("int").alias(own), F.col(others).alias("times"), *columns)
+
+        def pack(table: pa.Table) -> pa.Table:
+            head = table.select(["project", own, "times"]).slice(0, 1)
+            return head.append_column("packed", pa.array([_pack(table.drop_columns(["project", own, "times"]))], pa.binary()))
+
+        whole = rows.groupBy("project", own).applyInArrow(pack, f"project {dict(rows.dtypes)['project']}, {own} int, times int, packed binary")
+        sent = whole.select("project", own, F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias(other), "packed")
+        # packed slices are small, and a tile's work isn't: by size alone Spark would put many tiles into one task
+        return sent.repartition(max(1, min(count or 1, MOST_TASKS)), "project", "i", "j")
+
+    return packed(a, left, "i", "ni", "j", "nj"), packed(b, right, "j", "nj", "i", "ni")
 
 
 def _numbered(*tables: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each table the (row, token) of all its sets, by row; equal tokens have one number in all tables."""
     lists = [t.column("tokens").combine_chunks() for t in tables]
-    names = pa.chunked_array([x.flatten() for x in lists], pa.string()).combine_chunks().dictionary_encode().indices.to_numpy()
+    names = pa.chunked_array([x.flatten() for x in lists]).unify_dictionaries()
     sizes = [pc.list_value_length(x).to_numpy() for x in lists]
-    return list(zip([np.repeat(np.arange(len(n)), n) for n in sizes], np.split(names, [sizes[0].sum()]), strict=True))
+    return [(np.repeat(np.arange(len(n)), n), x.indices.to_numpy()) for n, x in zip(sizes, names.chunks, strict=True)]
 
 
 def _shared(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
@@ -156,21 +184,26 @@ def best_partners(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     All sets of a project are compared in tiles, each of which returns one row a left set at most.
     """
 
-    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+    def tile(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = _unpack(left), _unpack(right)
+        if left is None or right is None:
+            return none
         right = right.take(pc.sort_indices(right, [("seq", "ascending"), ("id", "ascending")], null_placement="at_start"))
         mine, theirs = _least(left, threshold), _least(right, threshold)
         best, most = np.zeros(len(left), "int64"), np.zeros(len(left), "int32")
-        for at, counts in _shared(left, right) if len(left) and len(right) else ():
-            counts[counts < np.minimum(mine[at : at + len(counts), None], theirs)] = 0
-            best[at : at + len(counts)] = counts.argmax(1)  # the first of the largest
-            most[at : at + len(counts)] = counts.max(1)
+        for at, counts in _shared(left, right):
+            counts *= counts >= np.minimum(mine[at : at + len(counts), None], theirs)
+            best[at : at + len(counts)] = own = counts.argmax(1)  # the first of the largest
+            most[at : at + len(counts)] = np.take_along_axis(counts, own[:, None], 1)[:, 0]
         own = np.flatnonzero(most)
-        left, right = left.select(["project", "set"]).take(own), right.select(["seq", "id"]).take(best[own])
-        return pa.table([*left.columns, pa.array(most[own]), *right.columns], names=["project", "set", "overlap", "seq", "id"])
-
-    left, right = _dealt(a, b)
-    kinds = dict(right.dtypes)
-    found = left.groupBy("project", "i", "j").cogroup(right.groupBy("project", "i", "j")).applyInArrow(tile, f"project {kinds['project']}, set string, overlap int, seq {kinds['seq']}, id {kinds['id']}")
+        left, right = left.column("set").take(own), right.select(["seq", "id"]).take(best[own])
+        return pa.table([pa.array([key[0].as_py()] * len(own), key[0].type), left, pa.array(most[own]), *right.columns], names=names)
+
+    left, right = _dealt(a, b, right=("n", "tokens", "first.seq", "first.id"))
+    kinds, names = dict(right.dtypes) | {x.name: x.dataType.simpleString() for x in b.schema["first"].dataType}, ["project", "set", "overlap", "seq", "id"]
+    schema = f"project {kinds['project']}, set string, overlap int, seq {kinds['seq']}, id {kinds['id']}"
+    none = a.sparkSession.createDataFrame([], schema).toArrow()
+    found = left.groupBy("project", "i", "j").cogroup(right.groupBy("project", "i", "j")).applyInArrow(tile, schema)
     best = found.groupBy("project", "set").agg(F.min(F.struct((-F.col("overlap")).alias("o"), F.struct("seq", "id").alias("first"))).alias("b"))
     return best.select("project", "set", (-F.col("b.o")).alias("overlap"), "b.first")
 
@@ -182,18 +215,24 @@ def met(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     aren't compared again in their tile.
     """
 
-    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+    def tile(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = _unpack(left), _unpack(right)
+        if left is None or right is None:
+            return none
         left, out = left.sort_by("n"), []
         for begin in range(0, len(left), BLOCK):
             block = left.slice(begin, BLOCK)
             for _, counts in _shared(block, right) if len(right) else ():
                 hit = (counts >= np.minimum(_least(block, threshold)[:, None], _least(right, threshold))).any(0)
-                out.append(right.select(["project", "set"]).filter(hit))
+                out.append(right.column("set").filter(hit))
                 right = right.filter(~hit)
-        return pa.concat_tables(out) if out else right.select(["project", "set"]).slice(0, 0)
+        found = pa.chunked_array([c for x in out for c in x.chunks], pa.string())
+        return pa.table([pa.array([key[0].as_py()] * len(found), key[0].type), found], names=["project", "set"])
 
-    left, right = _dealt(a, b)
-    found = left.groupBy("project", "i", "j").cogroup(right.groupBy("project", "i", "j")).applyInArrow(tile, f"project {dict(right.dtypes)['project']}, set string")
+    left, right = _dealt(a, b, ("n", "tokens"), ("set", "n", "tokens"))
+    schema = f"project {dict(right.dtypes)['project']}, set string"
+    none = a.sparkSession.createDataFrame([], schema).toArrow()
+    found = left.groupBy("project", "i", "j").cogroup(right.groupBy("project", "i", "j")).applyInArrow(tile, schema)
     return found.distinct()
 
 

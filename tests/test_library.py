@@ -342,6 +342,20 @@ def test_overlap_in_tiles_equals_all_pairs(spark, monkeypatch, threshold):
     assert met == {rows[y][1] for _, y in pairs} and len(met) < len(pairs)
 
 
+def test_slices_are_sent_packed(spark, monkeypatch):
+    """What meets a further slice is one row of a few bytes a token, not the sets again: the sets themselves move once."""
+    monkeypatch.setattr(links, "SETS", 250)
+    rnd = random.Random(4)
+    words = [f"token{i}" for i in range(500)]
+    side = lambda name: spark.createDataFrame([("p", f"{name}{i}", i, rnd.sample(words, 30)) for i in range(1000)], "project string, id string, seq long, tokens array<string>")
+    a, b = (links.distinct_sets(links.keyed_sets(side(x))).localCheckpoint() for x in "lr")
+    sets = sum(len(r["set"]) + sum(map(len, r["tokens"])) for r in a.collect())
+    for dealt in links._dealt(a, b):
+        rows = dealt.collect()
+        assert len(rows) == len({(r["i"], r["j"]) for r in rows}) == 16
+        assert sum(len(r["packed"]) for r in rows) < 4 * sets / 2
+
+
 def test_queries_read_all_rows(spark, tmp_path):
     import __spark_entry__ as entry
     from corpusmem import queries as own
