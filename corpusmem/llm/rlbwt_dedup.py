@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmem.llm.util import Work, extended, gram_hashes, lean, mix, range_hashes, slices, stored, text_bytes, utf8
+from corpusmem.llm.util import Work, extended, gram_hashes, lean, mix, power_sums, range_hashes, slices, stored, text_bytes, utf8
 
 LENGTH = 50
 GRAM = 20
 #: Bytes of text that a chunk of documents, and a bucket of anchors, stand for.
 CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 1_000_000
+#: Bytes of documents whose grams are hashed at once: their arrays stay in a core's cache.
+SLICE = 64_000
 _REACH = LENGTH - GRAM
 _SPAN = LENGTH + _REACH
 _TOP = np.uint32(0xFFFFFFFF)
@@ -43,12 +45,13 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a run of documents: grams that are least within one of their windows."""
+def anchors(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of a run of documents: grams that are least within one of their windows.
+    sums: of power_sums(data), if known."""
     n = len(data)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    full = gram_hashes(data, GRAM)
+    full = gram_hashes(data, GRAM, sums)
     h = (full >> np.uint64(33)).astype(np.uint32)  # 31 bits rank the grams
     for e in offsets[1:-1]:  # grams that cross into the next document
         h[max(0, e - GRAM + 1) : e] = _TOP
@@ -60,16 +63,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, full[at]
 
 
-def passages(data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def passages(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For anchors at `at`: their document, and the passage [begin, end) around each, with a hash of it."""
     doc = np.searchsorted(offsets, at, "right") - 1
     begin, end = np.maximum(at - _REACH, offsets[doc]), np.minimum(at + LENGTH, offsets[doc + 1])
-    return doc, begin, end, passage_hashes(data, begin, end, at)
+    return doc, begin, end, passage_hashes(data, begin, end, at, sums)
 
 
-def passage_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+def passage_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """Of each passage's bytes and of where its anchor stands in it; at most 80 bytes, so patterns don't break the hash."""
-    return mix(range_hashes(data, begin, end) ^ mix((at - begin).astype(np.uint64)))
+    return mix(range_hashes(data, begin, end, sums) ^ mix((at - begin).astype(np.uint64)))
 
 
 def repeated_windows(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
@@ -93,17 +96,28 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(7):
         key = key * 257 + np.where(place + k < stop, text[k : n + k], 0)
-    width = 7
-    while True:
-        order = np.argsort(key)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
-        if width > _SPAN:
+    order = np.argsort(key)
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    rank = np.empty(n, np.int64)  # the first place in order of those that are equal so far
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0))
+    width, shared = 7, np.zeros(n, np.int32)  # symbols that a row is known to share with the row above
+    while width <= _SPAN:  # suffixes that differ from all others keep their rank
+        tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+        if not len(tied):
             break
-        later = np.where(place + width < stop, rank[np.minimum(place + width, n - 1)] + 1, 0)
-        key, width = rank * (n + 1) + later, width * 2
+        at = order[tied]
+        key = rank[at] * (n + 1) + np.where(at + width < stop[at], rank[np.minimum(at + width, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        shared[tied[first & ~new[tied]]] = width
+        order[tied], new[tied], width = at, first, width * 2
+        rank[at] = np.maximum.accumulate(np.where(first, tied, 0))
+    shared[~new] = width
     # equal suffixes stand in order of their passages, which keeps runs consistent
-    suffix = np.argsort(rank * n + place)
+    tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+    suffix, at = order, order[tied]
+    suffix[tied] = at[np.argsort(rank[at] * n + at)]
     previous = np.concatenate([[0], text[: n - 1]]).astype(np.int64)
     previous[start[:-1]] = -1 - np.arange(len(sizes))
     before = previous[suffix]
@@ -112,15 +126,13 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
     common = np.full(n, -1, np.int64)
     rows = np.flatnonzero(head)
     a, b = suffix[np.maximum(rows - 1, 0)], suffix[rows]
-    same, alive = np.zeros(len(rows), np.int64), np.flatnonzero(rows > 0)
-    for k in range(_SPAN):
-        if not len(alive):
-            break
-        x, y = a[alive] + k, b[alive] + k
-        ok = (x < stop[a[alive]] - 1) & (y < stop[b[alive]] - 1)
-        alive = alive[ok]
-        alive = alive[text[a[alive] + k] == text[b[alive] + k]]
+    most = np.minimum(stop[a] - a, stop[b] - b) - 1
+    same = np.where(rows > 0, np.minimum(shared[rows], most), 0)
+    alive = np.flatnonzero((rows > 0) & (same < most))
+    while len(alive):
+        alive = alive[text[a[alive] + same[alive]] == text[b[alive] + same[alive]]]
         same[alive] += 1
+        alive = alive[same[alive] < most[alive]]
     common[b] = same
     sampled = np.flatnonzero(common >= 0)
     last = sampled[np.cumsum(common >= 0) - 1] if n else place
@@ -168,7 +180,8 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ids, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b in slices(offsets, 1_000_000):
                 off = offsets[a : b + 1] - offsets[a]
-                at, h = anchors(data[offsets[a] : offsets[b]], off)
+                each = [(x, *anchors(data[offsets[a + x] : offsets[a + y]], off[x : y + 1] - off[x])) for x, y in slices(off, SLICE)]
+                at, h = np.concatenate([off[x] + p for x, p, _ in each]), np.concatenate([g for *_, g in each])
                 doc = a + np.searchsorted(off, at, "right") - 1
                 # one entry for each anchor and chunk here, twice if the anchor stands in two documents of these
                 order = np.lexsort((ids[doc], own[doc], h))
@@ -215,14 +228,16 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         data, offsets = utf8(table.column("text"))
         for a, b in slices(offsets, 1_000_000):
             part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            at, h = anchors(part, off)
-            if len(hashes):
-                keep = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
+            found = []
+            for x, y in slices(off, SLICE):
+                some, at_zero = part[off[x] : off[y]], off[x : y + 1] - off[x]
+                sums = power_sums(some)
+                at, h = anchors(some, at_zero, sums)
+                keep = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h if len(hashes) else slice(0)
                 at, h = at[keep], h[keep]
-            else:
-                at, h = at[:0], h[:0]
-            doc, begin, end, prints = passages(part, off, at)
-            yield a, part, doc, begin, end, at, prints, h
+                doc, begin, end, prints = passages(some, at_zero, at, sums)
+                found.append((doc + x, begin + off[x], end + off[x], at + off[x], prints, h))
+            yield a, part, *(np.concatenate(c) for c in zip(*found, strict=True))
 
     def gather(table, hashes):
         """All slices of a chunk together: documents in order of id."""

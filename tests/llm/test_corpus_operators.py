@@ -259,6 +259,20 @@ def test_repeats(spark, docs, rows, empty, monkeypatch):
     assert got == brute_repeats(odd)
 
 
+def test_hashes_of_a_slice_are_made_once():
+    """Anchors and passages share one run of sums, and passages that differ in their last byte alone are told apart."""
+    data = np.frombuffer(b"the quick brown fox jumps over the lazy dog; " * 9 + bytes(range(32, 127)) * 3, np.uint8)
+    offsets = np.array([0, 200, len(data)])
+    sums = rlbwt_dedup.power_sums(data)
+    at, h = rlbwt_dedup.anchors(data, offsets)
+    assert len(at) and all((x == y).all() for x, y in zip((at, h), rlbwt_dedup.anchors(data, offsets, sums), strict=True))
+    assert all((x == y).all() for x, y in zip(rlbwt_dedup.passages(data, offsets, at), rlbwt_dedup.passages(data, offsets, at, sums), strict=True))
+    base = bytes(range(40, 119))
+    texts = [base + b"a", base + b"b", base + b"c", base[:55], b"x" + base]
+    want = [{i for i in range(len(t) - 49) if any(t[i : i + 50] in u for u in texts[:k])} for k, t in enumerate(texts)]
+    assert [{i for i in range(31) if int(m) >> i & 1} for m in rlbwt_dedup.repeated_windows(texts, np.arange(5))] == want
+
+
 def test_repeated_windows_by_index():
     rnd = random.Random(4)
     texts = list({bytes(rnd.choice(b"ab") for _ in range(3)) * 27 + bytes([rnd.choice(b"abc")]) for _ in range(40)})
