@@ -73,9 +73,9 @@ def nested_loop_links(entries: DataFrame) -> DataFrame:
 
 
 def keyed_sets(rows: DataFrame) -> DataFrame:
-    """rows (project, id, seq, tokens) with `set`, a name of the token set that equal sets share, stored; empty sets go.
-    Tokens are distinct within a row."""
-    name = F.sha2(F.to_json(F.array_sort("tokens")).cast("binary"), 256)
+    """rows (project, id, seq, tokens) with `set`, a name of the token set that equal sets share (128 bits of its hash),
+    stored; empty sets go. Tokens are distinct within a row."""
+    name = F.left(F.sha2(F.to_json(F.array_sort("tokens")).cast("binary"), 256), F.lit(32))
     return stored(rows.where(F.size("tokens") > 0).select("project", "id", "seq", name.alias("set"), "tokens"))
 
 
@@ -236,15 +236,20 @@ def met(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     return found.distinct()
 
 
+def partnered(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(project, id, seq, partner, overlap): the rows of best_overlap with the left row's seq."""
+    rows = keyed_sets(left)
+    best = best_partners(distinct_sets(rows), distinct_sets(keyed_sets(right)), threshold)
+    return rows.select("project", "set", "id", "seq").join(best, ["project", "set"]).select("project", "id", "seq", F.col("first.id").alias("partner"), F.col("overlap").cast("long").alias("overlap"))
+
+
 def best_overlap(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(left_id, right_id, overlap): of token sets (id, project, seq, tokens), each left row's best partner of its project.
+    """(project, left_id, right_id, overlap): of token sets (id, project, seq, tokens), each left row's best partner of its project.
 
     Partners share threshold of the smaller set or more; the largest overlap wins, ties go to the smaller seq, then id.
     Equal sets are compared once; rows without tokens, or without a project, have no partner.
     """
-    rows = keyed_sets(left)
-    best = best_partners(distinct_sets(rows), distinct_sets(keyed_sets(right)), threshold)
-    return rows.select("project", "set", "id").join(best, ["project", "set"]).select("project", F.col("id").alias("left_id"), F.col("first.id").alias("right_id"), F.col("overlap").cast("long").alias("overlap"))
+    return partnered(left, right, threshold).select("project", F.col("id").alias("left_id"), F.col("partner").alias("right_id"), "overlap")
 
 
 def compared_overlap(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusmem.functions.text import token_set
-from corpusmem.operators.links import best_overlap, distinct_sets, keyed_sets, met
+from corpusmem.operators.links import distinct_sets, keyed_sets, met, partnered
 
 SCHEMA = "project string, id string, seq long, problem string, solution string, source_file string, created_at timestamp, updated_at timestamp"
 SUPERSEDE, FORGET = 0.6, 0.5
@@ -36,17 +36,17 @@ def remember(notes: DataFrame, new: DataFrame) -> DataFrame:
     one stored note the last by seq stays. New notes do not see each other (see remember_in_order).
     """
     new = new.withColumn("id", note_id())
-    hit = best_overlap(_sets(new, F.col("problem")), _sets(notes, F.col("problem")), SUPERSEDE)
-    matched = new.join(hit.select("project", F.col("left_id").alias("id"), F.col("right_id").alias("old")), ["project", "id"], "left")
-    last = W.partitionBy("project", "old").orderBy(F.col("seq").desc())
-    update = matched.where("old is not null").withColumn("r", F.row_number().over(last)).where("r = 1")
-    update = update.select("project", F.col("old").alias("id"), F.struct("problem", "solution", "source_file", "updated_at").alias("u"))
-    kept = notes.join(update, ["project", "id"], "left").select(
-        "project", "id", "seq", F.coalesce("u.problem", "problem").alias("problem"), F.when(F.col("u").isNotNull(), F.col("u.solution")).otherwise(F.col("solution")).alias("solution"),
-        F.coalesce("u.source_file", "source_file").alias("source_file"), "created_at", F.coalesce("u.updated_at", "updated_at").alias("updated_at"),
-    )
-    added = matched.where("old is null").select(*kept.columns)
-    return kept.unionByName(added)
+    hit = partnered(_sets(new, F.col("problem")), _sets(notes, F.col("problem")), SUPERSEDE).withColumnRenamed("partner", "old")
+    # which new note stays is decided without texts; these are then sent once to their hit and once to the stored note's place
+    last = W.partitionBy("project", "old").orderBy(F.col("seq").desc(), "id")
+    hit = hit.select("project", "id", "old", F.row_number().over(last).alias("r"))
+    given = new.join(hit, ["project", "id"], "left").where("old is null or r = 1").drop("r")
+    placed = lambda df, place, added: df.withColumns({"place": place, "added": added})
+    both = placed(notes.withColumn("old", F.lit(None).cast("string")), F.col("id"), F.lit(False)).unionByName(placed(given, F.coalesce("old", "id"), F.col("old").isNull()))
+    update = F.when(F.col("old").isNotNull(), F.struct("problem", "solution", "source_file", "updated_at"))
+    both = both.withColumn("u", F.max(update).over(W.partitionBy("project", "place", "added"))).where("old is null")
+    after = {c: F.coalesce(F.col("u")[c], c) for c in ("problem", "source_file", "updated_at")} | {"solution": F.when(F.col("u").isNull(), F.col("solution")).otherwise(F.col("u.solution"))}
+    return both.select([after.get(c, F.col(c)).alias(c) for c in ("project", "id", "seq", "problem", "solution", "source_file", "created_at", "updated_at")])
 
 
 def prune(notes: DataFrame, files: DataFrame) -> DataFrame:

@@ -284,6 +284,21 @@ def test_notes_batch_and_prune(spark):
     assert len(kept) == 120 and "n9" not in kept and "n10" in kept and "n129" in kept
 
 
+def test_remember_reads_texts_once_and_settles_ties(spark, tmp_path):
+    old = [_note(1, "build script breaks on linux"), _note(2, "login page is slow"), _note(3, "...")]
+    new = [_note(7, "build script breaks"), _note(7, "script breaks on linux"), _note(8, "..."), _note(9, "login page slow now")]
+    for name, rows in (("old", old), ("new", new)):
+        spark.createDataFrame(rows, NOTE).write.parquet(str(tmp_path / name))
+    old, new = (spark.read.parquet(str(tmp_path / name)) for name in ("old", "new"))
+    after = notes.remember(old, new)
+    got = {(r["id"], r["problem"]) for r in after.collect()}
+    ids = {r["problem"]: r["id"] for r in new.select("problem", notes.note_id().alias("id")).collect()}
+    first = min(("build script breaks", "script breaks on linux"), key=ids.get)
+    assert got == {("n1", first), ("n2", "login page slow now"), ("n3", "..."), (ids["..."], "...")}
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ReadSchema: struct<[^>]*solution", plan)) == 2
+
+
 def test_forget(spark):
     table = spark.createDataFrame([_note(1, "build script breaks"), _note(2, "login page is slow")], NOTE)
     by_id = notes.forget(table, spark.createDataFrame([("p", "n1")], "project string, query string"))
