@@ -137,6 +137,27 @@ def test_search_by_steps(spark, monkeypatch):
         assert [tuple(r) for r in bm25_search.top_k(table, asked, 4).orderBy("query_id", "rank").collect()] == want
 
 
+def test_search_sends_few_rows(spark, monkeypatch):
+    """Over many shards a query's hits are those above its floor, not k a shard; floors leave out no hit, ties included."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(5, 60)) % 300) for _ in range(600)]
+    table = spark.createDataFrame([(i, texts[i % 590]) for i in range(600)], "doc_id long, text string")
+    asked = table.where("doc_id % 20 = 0")
+    want = [tuple(r) for r in bm25_search.top_k(table, asked, 4).orderBy("query_id", "rank").collect()]
+    made, store = [], util.Work.store
+
+    def counted(work, df):
+        out = store(work, df)
+        if out.columns == ["query_id", "id", "score"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(util.Work, "store", counted)
+    monkeypatch.setattr(bm25_search, "SHARD_BYTES", 2_000)
+    assert [tuple(r) for r in bm25_search.top_k(table, asked, 4).orderBy("query_id", "rank").collect()] == want
+    assert len(want) == 120 and 120 <= sum(made) < 120 * 18
+
+
 def test_cut_texts(spark):
     long = "This sentence has rather more than fifty bytes in it, surely. "
     table = spark.createDataFrame([(1, "a" + long, "x"), (2, long + "é", "y"), (3, None, "z")], "doc_id long, text string, spans string")
