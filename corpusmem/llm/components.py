@@ -18,7 +18,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", keep: Work | None =
     """
     work = Work(edges.sparkSession)
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    both = work.store(pairs.union(pairs.select("b", "a")).distinct())
+    # both directions of one evaluation: links that merely span a component may come out otherwise in the next
+    both = work.store(pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
     rounds = [Work(edges.sparkSession)]
     labels = rounds[-1].store(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
     while True:

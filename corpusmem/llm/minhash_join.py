@@ -10,9 +10,13 @@ confirmed on their full sets; at the linking threshold of 0.85 fewer agree with
 * Counting. Short posting lists are merged: each pair of their documents is a collision, and collisions are counted by
   pair. A document with f long lists in its prefix must still collide MORE - f times in short ones.
 * Skipping. Long lists aren't merged into pairs, whatever their length. They only matter between documents that both
-  have MORE long lists or more: each such document is tied to the least of its list, so a list of n makes n ties.
+  have MORE long lists or more. Such documents are posted again, under two coordinates and their values at once:
+  coordinates lie in MATCHES - 1 parts, so of MATCHES equal ones two share a part. Unlike documents seldom meet there.
+* Checking. All that meet are compared by a print of their signatures, in tiles of two bounded slices of a list. Only
+  pairs that reach MATCHES count, of these as many as hold a list's documents together: a list of n makes n at most. What
+  a few coordinates bring together by chance, the more the larger the input, so ties no groups and sends no texts.
 
-Documents that candidates and ties hold together form groups. Within a group, in tiles of two bounded slices, equal
+Documents that these pairs hold together form groups. Within a group, in tiles of two bounded slices, equal
 coordinates are counted; a pair that reaches MATCHES is confirmed on full sets unless confirmed links already join it.
 So a group of copies of one original costs about one comparison a copy in each tile.
 """
@@ -20,6 +24,7 @@ So a group of copies of one original costs about one comparison a copy in each t
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,8 @@ COORDS, MATCHES, MORE = 32, 15, 3
 SHORT = 6
 #: Bits of the hashed table of posting lengths: 2 ** 18 counts, whatever the input.
 TABLE = 18
+#: Documents in one slice of a list of two coordinates, and rows of lists that a task gets at once.
+LIST, ROWS = 4_000, 20_000
 #: Sets, and shingles of all of them, in one slice of a group; a tile is two slices.
 SLICE, SLICE_SHINGLES = 1_000, 750_000
 
@@ -123,24 +130,97 @@ def prefixes(classes: DataFrame, lengths) -> DataFrame:
     return classes.select("id", "n", "sig").mapInArrow(run, "id long, n long, tok long")
 
 
+def twos(classes: DataFrame) -> DataFrame:
+    """(id, tok): a token for each two coordinates of one part. Of any MATCHES coordinates, two lie in one of the parts."""
+    parts = MATCHES - 1
+    both = np.array([c for p in range(parts) for c in combinations(range(p, COORDS, parts), 2)])
+
+    @lean
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, COORDS)
+            tok = mix(mix(tokens[:, both[:, 0]]) + tokens[:, both[:, 1]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(tok)), len(both)))), pa.array(tok.ravel())], ["id", "tok"])
+
+    return classes.select("id", "sig").mapInArrow(run, "id long, tok long")
+
+
+def prints(classes: DataFrame) -> DataFrame:
+    """(id, print): two bytes of each coordinate. Equal coordinates have equal ones, others with probability 2 ** -16."""
+
+    @lean
+    def run(batches):
+        for batch in batches:
+            short = (batch.column(1).flatten().to_numpy().view(np.uint64) >> _U(48)).astype(np.uint16).reshape(-1, COORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in short], pa.binary())], ["id", "print"])
+
+    return classes.select("id", "sig").mapInArrow(run, "id long, print binary")
+
+
+def alike(prints: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of places that hold together what is equal in MATCHES coordinates; own ones meet all others."""
+    label, pairs = np.arange(len(prints)), []
+    for i in np.flatnonzero(own).tolist():
+        other = np.flatnonzero(label != label[i])
+        if not len(other):
+            break
+        near = other[(prints[other] == prints[i]).sum(1) >= MATCHES]
+        if len(near):
+            joined, first = np.unique(label[near], return_index=True)
+            pairs += [(i, j) for j in near[first].tolist()]
+            label[np.isin(label, joined)] = label[i]
+    return pairs
+
+
+def checked(lists: DataFrame, printed: DataFrame, work: Work) -> DataFrame:
+    """(a, b): pairs that hold together the documents of each list that agree in MATCHES coordinates. lists: (tok, id, k),
+    k the list's length; printed: (id, print). Of a list longer than LIST, slices meet."""
+    cut = lists.withColumn("k", F.ceil(F.col("k") / LIST).cast("int")).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("k").cast("long")).cast("int"))
+    cut = work.store(cut)
+    total = cut.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    slot, t = F.col("slot"), F.col("t")
+    spread = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("t")).select("tok", "id", F.least(slot, t).alias("p"), F.greatest(slot, t).alias("q"), (slot <= t).alias("own"))
+    spread = spread.join(printed, "id").withColumn("task", F.pmod(F.xxhash64("tok", "p", "q"), F.lit(total // ROWS + 1)))
+
+    @lean
+    def run(key, table: pa.Table) -> pa.Table:
+        of = [table.column(c).to_numpy() for c in ("tok", "p", "q")]
+        order = np.lexsort(of)
+        ids, own = table.column("id").to_numpy()[order], table.column("own").to_numpy(zero_copy_only=False)[order]
+        flat = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint16).reshape(-1, COORDS)[order]
+        new = np.logical_or.reduce([np.concatenate([[True], x[order][1:] != x[order][:-1]]) for x in of])
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(ids)))
+        two = begin[size == 2]  # most lists
+        two = two[((flat[two] == flat[two + 1]).sum(1) >= MATCHES) & (own[two] | own[two + 1])]
+        pairs = [np.stack([two, two + 1], 1)]
+        for x, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            if found := alike(flat[x : x + n], own[x : x + n]):
+                pairs.append(x + np.array(found))
+        a, b = ids[np.concatenate(pairs)].T
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return spread.groupBy("task").applyInArrow(run, "a long, b long").where("a < b").distinct()
+
+
 def candidates(classes: DataFrame, work: Work, threshold: tuple[int, int]) -> DataFrame:
-    """(a, b) pairs that tie all sets whose signatures agree in MATCHES coordinates (and others). classes: (id, n, sig)."""
+    """(a, b) pairs, which agree in MATCHES coordinates, that hold all such sets together. classes: (id, n, sig)."""
     num, den = threshold
     posted = prefixes(classes, classes.sparkSession.sparkContext.broadcast(posting_lengths(classes)))
     shared = posted.groupBy("tok").agg(F.count("*").alias("k")).where("k > 1")
     posted = work.store(posted.join(shared.hint("shuffle_hash"), "tok"))
     long = posted.where(F.col("k") > SHORT)
-    need = long.groupBy("id").agg((MORE - F.count("*")).alias("need"))  # collisions still asked in short lists
+    need = work.store(long.groupBy("id").agg((MORE - F.count("*")).alias("need")))  # collisions still asked in short lists
     short = posted.where(F.col("k") <= SHORT).select("tok", "id", "n")
     left, right = short.toDF("tok", "a", "na"), short.toDF("tok", "b", "nb")
     # at most SHORT documents a list
     pairs = left.join(right, "tok").where((F.col("a") < F.col("b")) & (den * F.least("na", "nb") >= num * F.greatest("na", "nb"))).groupBy("a", "b").agg(F.count("*").alias("k"))
     pairs = pairs.join(need.toDF("a", "wa"), "a", "left").join(need.toDF("b", "wb"), "b", "left")
-    pairs = pairs.where(F.col("k") >= F.greatest(F.coalesce("wa", F.lit(MORE)), F.coalesce("wb", F.lit(MORE)))).select("a", "b")
-    heavy = long.join(need.where("need <= 0").select("id"), "id", "left_semi").select("tok", "id")
-    heads = heavy.groupBy("tok").agg(F.min("id").alias("b"), F.count("*").alias("k")).where("k > 1").select("tok", "b")
-    ties = heavy.join(heads, "tok").where("id <> b").select(F.col("id").alias("a"), "b")
-    return pairs.union(ties).distinct()
+    asked = F.greatest(F.coalesce("wa", F.lit(MORE)), F.coalesce("wb", F.lit(MORE)))
+    pairs = pairs.where((asked > 0) & (F.col("k") >= asked)).select(F.xxhash64("a", "b").alias("tok"), F.explode(F.array("a", "b")).alias("id"), F.lit(2).cast("long").alias("k"))
+    heavy = work.store(twos(classes.join(need.where("need <= 0"), "id", "left_semi")))
+    lists = heavy.groupBy("tok").agg(F.count("*").alias("k")).where("k > 1")
+    return checked(heavy.join(lists, "tok").select("tok", "id", "k").union(pairs), prints(classes), work)
 
 
 def confirm(tile: pa.Table, threshold: tuple[int, int], size: int) -> list[tuple[int, int]]:
@@ -243,8 +323,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, siz
     table = work.store(signed_sets(docs, size, id_col, text_col))
     real = table.where("n > 0 and id is not null")
     classes = work.store(real.groupBy("d1", "d2", "n").agg(F.min(F.col("id").cast("long")).alias("id"), F.first("sig").alias("sig")))
-    ties = work.store(candidates(classes.select("id", "n", "sig"), work, threshold))
-    groups = components(ties, keep=work).join(classes.select("id", "d1", "n", "sig"), "id")
+    met = work.store(candidates(classes.select("id", "n", "sig"), work, threshold))
+    groups = components(met, keep=work).join(classes.select("id", "d1", "n", "sig"), "id")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     linked = components(confirmed(groups, texts, threshold, size), keep=work)
     whole = classes.join(linked, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("c"))

@@ -5,9 +5,12 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusmem.llm import centroids, hard_negatives, minhash_join
+from corpusmem.llm.components import components
+from corpusmem.llm.util import Work
 from pyspark.sql import functions as F
 
 VECTORS = "vec_id long, label int, embedding array<float>, q string, score double, block int"
@@ -211,3 +214,34 @@ def test_signatures_agree_as_sets_do():
             s = minhash_join.signatures([a, other])
             same.append((s[0] == s[1]).mean())
         assert abs(np.mean(same) - share) < 0.03
+
+
+def test_chance_agreement_ties_no_documents(spark, monkeypatch):
+    monkeypatch.setattr(minhash_join, "SHORT", 2)
+    monkeypatch.setattr(minhash_join, "LIST", 9, raising=False)
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = []
+    for _ in range(25):  # three near copies each; all share a third of their shingles, so they meet in coordinates
+        own = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+        sets += [np.unique(np.concatenate([common, own, rng.integers(0, 1 << 63, 4).astype(np.uint64)])) for _ in range(3)]
+    sig = minhash_join.signatures(sets)
+    classes = spark.createDataFrame([(i, len(s), x.tolist()) for i, (s, x) in enumerate(zip(sets, sig, strict=True))], "id long, n long, sig array<long>")
+    work = Work(spark)
+    found = {tuple(r) for r in minhash_join.candidates(classes, work, minhash_join.THRESHOLD).collect()}
+    agree = {(i, j) for i in range(75) for j in range(i + 1, 75) if (sig[i] == sig[j]).sum() >= minhash_join.MATCHES}
+    assert found <= agree
+    reach = lambda pairs: {tuple(r) for r in components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    assert reach(found) == reach(agree)
+    work.clear()
+
+
+def test_components_read_edges_once(spark):
+    def stars(batches):  # whichever documents span a group, other ones each time
+        for batch in batches:
+            for g in batch.column(0).to_pylist():
+                middle = 10 * g + int(np.random.default_rng().integers(10))
+                yield pa.RecordBatch.from_pydict({"a": [middle] * 9, "b": [i for i in range(10 * g, 10 * g + 10) if i != middle]})
+
+    edges = spark.range(8).mapInArrow(stars, "a long, b long")
+    assert sorted(map(tuple, components(edges).collect())) == [(i, i - i % 10) for i in range(80)]
