@@ -28,6 +28,10 @@ LENGTH = 50
 GRAM = 20
 #: Bytes of text that a chunk of documents, and a bucket of anchors, stand for.
 CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 1_000_000
+#: Buckets that lie together in one row of what is dealt: rows grow as groups times chunks, and so must be few.
+GROUP = 8
+#: Bytes of text whose anchors are dealt at once.
+DEAL_BYTES = 16_000_000
 #: Bytes of documents whose grams are hashed at once: their arrays stay in a core's cache.
 SLICE = 64_000
 _REACH = LENGTH - GRAM
@@ -158,6 +162,18 @@ def _firsts(doc: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return np.sort(order[np.concatenate([[True], prints[order][1:] != prints[order][:-1]])]) if len(order) else order
 
 
+def _cuts(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of equal keys."""
+    edge = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1], [True]])) if len(sorted_keys) else np.zeros(1, np.int64)
+    return edge[:-1], edge[1:]
+
+
+def _packed(a: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The bytes of a's runs from each of `begin` to the next, as binary values."""
+    offsets = (np.append(begin, len(a)) * a.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(a))])
+
+
 def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), cut_texts: bool = False) -> DataFrame:
     """(id, text, spans[, the columns of `keep`]): text as read, spans an array of (start, end) byte ranges to remove, ascending and apart.
     cut_texts: instead, (id, text[, ...]) with the spans cut out, see without_repeats().
@@ -166,38 +182,48 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own document stays. Rows with one id count as one document: neither repeats the other. Rows with a null id come
     before all ids, as one document. Chunks and buckets follow the total of bytes, and documents are dealt by hash, so
     neither a hot source nor a group of copies lands in one task; a passage of thousands of copies is sent once a chunk.
+    What is dealt has a row for each chunk and group of buckets, and each is cut by one sort, not by a search a bucket.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"keep_{k}") for k, c in enumerate(keep)])
     kept = [f"keep_{k}" for k in range(len(keep))]
     total = text_bytes(rows)
     chunks, buckets = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // BUCKET_BYTES))
+    bucket_of = lambda h: (h % np.uint64(buckets)).astype(np.int32)
     chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")
 
+    def deal(h, c, i):
+        """One entry for each anchor and chunk here, 0 for its document if the anchor stands in two; a row for each group."""
+        order = np.lexsort((i, c, h))
+        h, c, i = h[order], c[order], i[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        first = new | np.concatenate([[True], c[1:] != c[:-1]])
+        group = np.cumsum(new) - 1
+        many = np.zeros(group[-1] + 1, bool)
+        many[group[np.concatenate([[False], ~new[1:] & (i[1:] != i[:-1])])]] = True
+        h, c, i = h[first], c[first].astype(np.int32), np.where(many[group[first]], 0, mix(i[first].astype(np.uint64)) | np.uint64(1)).astype(np.uint64)
+        group = bucket_of(h) // GROUP
+        order = np.argsort(group, kind="stable")
+        begin, _ = _cuts(group[order])
+        return pa.RecordBatch.from_arrays([pa.array(group[order][begin], pa.int32()), *(_packed(x[order], begin) for x in (h, c, i))], ["bucket", "h", "c", "i"])
+
     @lean
     def find(batches):
+        held, size = [], 0
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             ids, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, b in slices(offsets, 1_000_000):
+            for a, b in slices(offsets, SLICE):
                 off = offsets[a : b + 1] - offsets[a]
-                each = [(x, *anchors(data[offsets[a + x] : offsets[a + y]], off[x : y + 1] - off[x])) for x, y in slices(off, SLICE)]
-                at, h = np.concatenate([off[x] + p for x, p, _ in each]), np.concatenate([g for *_, g in each])
+                at, h = anchors(data[offsets[a] : offsets[b]], off)
                 doc = a + np.searchsorted(off, at, "right") - 1
-                # one entry for each anchor and chunk here, twice if the anchor stands in two documents of these
-                order = np.lexsort((ids[doc], own[doc], h))
-                h, c, i = h[order], own[doc][order], ids[doc][order]
-                first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.zeros(0, bool)
-                other = np.concatenate([[False], (h[1:] == h[:-1]) & (i[1:] != i[:-1])]) if len(h) else first
-                group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1 if len(h) else np.zeros(0, np.int64)
-                many = np.zeros(group[-1] + 1 if len(h) else 0, bool)
-                np.logical_or.at(many, group, other)
-                h, c, many, i = h[first], c[first], many[group[first]], i[first]
-                bucket = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else []
-                for lo, hi in zip(cut, [*cut[1:], len(order)], strict=False):
-                    k = order[lo:hi]
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket[k[0]]], pa.int32()), "h": pa.array([h[k].tobytes()], pa.binary()), "c": pa.array([c[k].astype(np.int32).tobytes()], pa.binary()), "i": pa.array([np.where(many[k], 0, mix(i[k].astype(np.uint64)) | np.uint64(1)).astype(np.uint64).tobytes()], pa.binary())})
+                held.append((h, own[doc], ids[doc]))
+                size += off[-1]
+                if size >= DEAL_BYTES:
+                    if sum(len(x) for x, *_ in held):
+                        yield deal(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size = [], 0
+        if sum(len(x) for x, *_ in held):
+            yield deal(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     found = rows.withColumn("chunk", chunk).select("id", "chunk", "text").mapInArrow(find, "bucket int, h binary, c binary, i binary")
 
@@ -256,34 +282,48 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @lean
     def send(key, table, repeated):
-        table, ids, parts, doc, prints, first, slice_of = gather(table, known(repeated))
-        out = []
-        base = 0
-        for k, (_, part, _, begin, end, at, pr, h) in enumerate(parts):
-            raw = part.tobytes()
-            mine = first[slice_of[first] == k] - base
-            bucket = (h[mine] % np.uint64(buckets)).astype(np.int64)
-            for b in np.unique(bucket):
-                j = mine[bucket == b]
-                lengths, places = (end[j] - begin[j]).astype(np.uint8), (at[j] - begin[j]).astype(np.uint8)
-                out.append((int(b), int(key[0].as_py()), b"".join(raw[x:y] for x, y in zip(begin[j].tolist(), end[j].tolist(), strict=True)), lengths.tobytes(), places.tobytes(), ids[doc[base + j]].astype(np.int64).tobytes()))
-            base += len(pr)
-        names = ["bucket", "chunk", "bytes", "lengths", "places", "ids"]
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        return pa.table([pa.array([x[k] for x in out], kinds[k]) for k in range(6)], names)
+        table, ids, parts, doc, prints, first, _ = gather(table, known(repeated))
+        data, offsets = utf8(table.column("text"))
+        begin, end, at, h = ([np.concatenate([p[k] + (offsets[p[0]] if k < 6 else 0) for p in parts]) for k in (3, 4, 5, 7)]) if parts else [np.zeros(0, np.int64)] * 4
+        bucket = bucket_of(h[first].astype(np.uint64))
+        order = np.argsort(bucket, kind="stable")
+        j, bucket = first[order], bucket[order]
+        cut, stop = _cuts(bucket // GROUP)
+        counts = np.bincount(np.repeat(np.arange(len(cut)), stop - cut) * GROUP + bucket % GROUP, minlength=len(cut) * GROUP).astype(np.int32)
+        raw, x, y = data.tobytes(), begin[j].tolist(), end[j].tolist()
+        passages = [b"".join(raw[x[k] : y[k]] for k in range(lo, hi)) for lo, hi in zip(cut.tolist(), stop.tolist(), strict=True)]
+        packed = [_packed(v, cut) for v in ((end[j] - begin[j]).astype(np.uint8), (at[j] - begin[j]).astype(np.uint8), ids[doc[j]].astype(np.int64))]
+        chunk = pa.array(np.full(len(cut), key[0].as_py()), pa.int32())
+        return pa.table([pa.array(bucket[cut] // GROUP, pa.int32()), chunk, _packed(counts, np.arange(0, len(counts), GROUP)), pa.array(passages, pa.binary()), *packed], ["bucket", "chunk", "counts", "bytes", "lengths", "places", "ids"])
 
     dealt = rows.withColumn("chunk", chunk)
     work = Work(docs.sparkSession)  # gone once the marks are stored
-    sent = work.store(dealt.select("id", "text", "chunk").groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, bytes binary, lengths binary, places binary, ids binary"))
+    sent = work.store(dealt.select("id", "text", "chunk").groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, counts binary, bytes binary, lengths binary, places binary, ids binary"))
 
     @lean
     def index(key, table):
-        chunk_of = np.concatenate([np.full(len(x), c, np.int64) for c, x in zip(table.column("chunk").to_pylist(), table.column("lengths").to_pylist(), strict=True)])
-        lengths = np.frombuffer(b"".join(table.column("lengths").to_pylist()), np.uint8).astype(np.int64)
-        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
-        raw = b"".join(table.column("bytes").to_pylist())
+        whole = {c: [memoryview(x.as_buffer()) for x in table.column(c)] for c in ("counts", "bytes", "lengths", "places", "ids")}
+        chunk_of = table.column("chunk").to_numpy()
+        counts = np.frombuffer(b"".join(whole["counts"]), np.int32).reshape(-1, GROUP)
+        ends = np.cumsum(counts, axis=1)
+        # the bytes of a row's buckets end where their passages do
+        byte_ends = np.array([np.concatenate([[0], np.cumsum(np.frombuffer(x, np.uint8), dtype=np.int64)])[e] for x, e in zip(whole["lengths"], ends, strict=True)]).reshape(-1, GROUP)
+        found = []
+        for b in range(GROUP):
+            some = np.flatnonzero(counts[:, b]).tolist()
+            if some:
+                part = lambda name, to, size: b"".join(whole[name][r][size * (to[r, b - 1] if b else 0) : size * to[r, b]] for r in some)  # noqa: B023, E731
+                found.append((np.repeat(chunk_of[some], counts[some, b]), *marked(part("bytes", byte_ends, 1), np.frombuffer(part("lengths", ends, 1), np.uint8).astype(np.int64), np.frombuffer(part("places", ends, 1), np.uint8), np.frombuffer(part("ids", ends, 8), np.int64))))
+        chunk, prints, mask = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = np.flatnonzero(mask > 0)
+        order = keep[np.argsort(chunk[keep], kind="stable")]
+        begin, _ = _cuts(chunk[order])
+        return pa.table({"chunk": pa.array(chunk[order][begin], pa.int32()), "prints": _packed(prints[order], begin), "masks": _packed(mask[order], begin)})
+
+    def marked(raw, lengths, places, ids):
+        """A bucket's passages, as chunks sent them: hashes, and the windows that smaller documents have."""
         ends = np.cumsum(lengths)
-        data, at = np.frombuffer(raw, np.uint8), ends - lengths + np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint8)
+        data, at = np.frombuffer(raw, np.uint8), ends - lengths + places
         prints = passage_hashes(data, ends - lengths, ends, at)
         order = np.lexsort((ids, prints))
         new = np.concatenate([[True], prints[order][1:] != prints[order][:-1]])
@@ -299,13 +339,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
         # a copy of a passage that a smaller document has is covered whole; the smallest document's by its windows
-        mask = np.where(ids > least[group], every[group], masks[group])
-        keep = mask > 0
-        out = []
-        for c in np.unique(chunk_of[keep]):
-            j = np.flatnonzero(keep & (chunk_of == c))
-            out.append((int(c), prints[j].tobytes(), mask[j].astype(np.uint64).tobytes()))
-        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int32()), "prints": pa.array([x[1] for x in out], pa.binary()), "masks": pa.array([x[2] for x in out], pa.binary())})
+        return prints, np.where(ids > least[group], every[group], masks[group]).astype(np.uint64)
 
     marks = stored(sent.groupBy("bucket").applyInArrow(index, "chunk int, prints binary, masks binary"))
     work.clear()

@@ -171,3 +171,48 @@ def test_mixed_documents(spark):
     rows = fair_mix.mixed_documents(table).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(taken) and {r["size"] for r in rows} == {"own"}
     assert token_count.count_tokens(table.limit(0), tokenizer_path("byte_bpe_50k.json")).collect() == []
+
+
+def test_search_unpacks_parts_of_queries(spark, monkeypatch):
+    """A shard meets a block of queries whole, but holds only a part of it; parts give what one block gives."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(5, 60)) % 300)) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = table.where("doc_id % 3 = 0")
+    want = [tuple(r) for r in bm25_search.top_k(table, asked, 4).orderBy("query_id", "rank").collect()]
+    held, store = [], util.Work.store
+
+    def measured(work, df):
+        out = store(work, df)
+        if "offsets" in out.columns:
+            held.extend(len(bm25_search.spread(r["at"], np.int32)) for r in out.select("at").collect())
+        return out
+
+    monkeypatch.setattr(util.Work, "store", measured)
+    monkeypatch.setattr(bm25_search, "QUERY_TERMS", 2_000)
+    monkeypatch.setattr(bm25_search, "SHARD_BYTES", 9_000)
+    assert [tuple(r) for r in bm25_search.top_k(table, asked, 4).orderBy("query_id", "rank").collect()] == want
+    assert sum(held) > 2_000 and max(held) <= 1_000
+
+
+def test_repeats_are_dealt_in_few_rows(spark, monkeypatch):
+    """Rows that chunks send grow with groups of buckets, not with buckets, and marks stay the same."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 9))
+    common = [" ".join(word() for _ in range(9)) for _ in range(40)]
+    table = spark.createDataFrame([(i, " ".join([word(), common[i % 40], word(), common[(7 * i) % 40]])) for i in range(200)], "doc_id long, text string")
+    want = sorted(map(str, rlbwt_dedup.mark_repeats(table).collect()))
+    rows, store = [], util.Work.store
+
+    def counted(work, df):
+        out = store(work, df)
+        if "places" in out.columns:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(util.Work, "store", counted)
+    monkeypatch.setattr(rlbwt_dedup, "CHUNK_BYTES", 5_000)
+    monkeypatch.setattr(rlbwt_dedup, "BUCKET_BYTES", 600)
+    assert sorted(map(str, rlbwt_dedup.mark_repeats(table).collect())) == want
+    chunks, buckets = -(-sum(len(r["text"]) for r in table.collect()) // 5_000), -(-sum(len(r["text"]) for r in table.collect()) // 600)
+    assert 0 < rows[0] <= chunks * -(-buckets // 8)
