@@ -173,26 +173,24 @@ def test_mixed_documents(spark):
     assert token_count.count_tokens(table.limit(0), tokenizer_path("byte_bpe_50k.json")).collect() == []
 
 
-def test_search_unpacks_parts_of_queries(spark, monkeypatch):
-    """A shard meets a block of queries whole, but holds only a part of it; parts give what one block gives."""
+def test_queries_are_packed_in_parts(spark, monkeypatch):
+    """A block of queries is merged from packed parts: never are all its (query, term) pairs in order at once."""
     rng = np.random.default_rng(6)
-    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(5, 60)) % 300)) for i in range(600)]
+    sizes = rng.integers(1, 40, 90)
+    term = np.concatenate([rng.choice(500, n, replace=False) for n in sizes]).astype(np.int64) * 7
+    idf, ids = np.sqrt(term % 13), np.arange(90) * 3
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    part = lambda x, y: bm25_search.packed_queries(ids[x:y], sizes[x:y], term[edge[x] : edge[y]], idf[edge[x] : edge[y]])
+    one, four = part(0, 90), bm25_search.merged_queries([part(0, 20), part(20, 21), part(21, 60), part(60, 90)])
+    assert all((one[k] == four[k]).all() for k in one)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(5, 60)) % 300)) for i in range(400)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    asked = table.where("doc_id % 3 = 0")
-    want = [tuple(r) for r in bm25_search.top_k(table, asked, 4).orderBy("query_id", "rank").collect()]
-    held, store = [], util.Work.store
-
-    def measured(work, df):
-        out = store(work, df)
-        if "offsets" in out.columns:
-            held.extend(len(bm25_search.spread(r["at"], np.int32)) for r in out.select("at").collect())
-        return out
-
-    monkeypatch.setattr(util.Work, "store", measured)
-    monkeypatch.setattr(bm25_search, "QUERY_TERMS", 2_000)
-    monkeypatch.setattr(bm25_search, "SHARD_BYTES", 9_000)
-    assert [tuple(r) for r in bm25_search.top_k(table, asked, 4).orderBy("query_id", "rank").collect()] == want
-    assert sum(held) > 2_000 and max(held) <= 1_000
+    results = []
+    for parts, terms in ((1, 10**6), (4, 10**6), (3, 900)):
+        monkeypatch.setattr(bm25_search, "PARTS", parts)
+        monkeypatch.setattr(bm25_search, "QUERY_TERMS", terms)
+        results.append([tuple(r) for r in bm25_search.top_k(table, table.where("doc_id % 3 = 0"), 4).orderBy("query_id", "rank").collect()])
+    assert results[0] == results[1] == results[2] and results[0]
 
 
 def test_repeats_are_dealt_in_few_rows(spark, monkeypatch):
